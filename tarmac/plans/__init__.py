@@ -3,6 +3,6 @@
 
 def load_all():
     """Import every query module so the registry is complete."""
-    from tarmac.plans import q_clean, q_features  # noqa: F401
+    from tarmac.plans import q_clean, q_features, q_metrics  # noqa: F401
     from tarmac.plans.registry import QUERIES
     return QUERIES
