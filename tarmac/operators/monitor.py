@@ -74,8 +74,8 @@ def recent_rows(log: DataFrame, limit: int = 100, ts_col: str = "timestamp",
 
 
 def session_sequence(log: DataFrame, ts_col: str = "timestamp", key_col: str = "flight_id") -> DataFrame:
-    """Per prediction: position, probability (from its percent text), delayed
-    flag, the 0.5 line and the running delay rate of the session."""
+    """Per prediction: position, probability (as read back from its percent
+    text), delayed flag and the 0.5 line; plus the session's delay rate."""
     from tarmac.functions.scalar import percent_value
     from tarmac.operators.ranking import global_row_number
     key = F.unix_micros(F.col(ts_col).cast("timestamp"))
@@ -83,7 +83,8 @@ def session_sequence(log: DataFrame, ts_col: str = "timestamp", key_col: str = "
     d = (F.col("prediction") == F.lit(DELAYED)).cast("int")
     out = seq.select(key_col, "seq", percent_value(percent_text(F.col("probability"))).alias("probability_shown"),
                      d.alias("is_delayed"), F.lit(0.5).alias("threshold"))
-    return out
+    rate = log.agg(F.avg((F.col("prediction") == F.lit(DELAYED)).cast("double")).alias("session_delay_rate"))
+    return out.crossJoin(F.broadcast(rate))  # rate: one row
 
 
 def recent_window(log: DataFrame, as_of, window_days: int = DRIFT_WINDOW_DAYS,
@@ -142,6 +143,7 @@ def monitoring_report(log: DataFrame, as_of, **drift_args) -> DataFrame:
     )
     drift = drift_check(log, as_of, **drift_args)
     z = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    r6 = lambda c: F.round(z(c), 6)
     three = lambda c: F.format_string("%.3f", F.round(z(c), 3))
     row = stats.crossJoin(drift)  # both one row
     def item(section, metric, value, text):
@@ -150,16 +152,16 @@ def monitoring_report(log: DataFrame, as_of, **drift_args) -> DataFrame:
 
     none = F.lit(None)
     items = F.array(
-        item("PREDICTION STATS", "total_predictions", z("total_predictions"),
+        item("PREDICTION STATS", "total_predictions", r6("total_predictions"),
              F.col("total_predictions").cast("string")),
-        item("PREDICTION STATS", "delay_rate", z("delay_rate"), percent_text(z("delay_rate"))),
-        item("PREDICTION STATS", "avg_probability", z("avg_probability"), three("avg_probability")),
-        item("PREDICTION STATS", "high_risk_count", z("high_risk_count"),
+        item("PREDICTION STATS", "delay_rate", r6("delay_rate"), percent_text(z("delay_rate"))),
+        item("PREDICTION STATS", "avg_probability", r6("avg_probability"), three("avg_probability")),
+        item("PREDICTION STATS", "high_risk_count", r6("high_risk_count"),
              F.col("high_risk_count").cast("string")),
         item("DRIFT ANALYSIS", "status", none, F.coalesce(F.col("alert"), F.lit("N/A"))),
-        item("DRIFT ANALYSIS", "baseline_rate", z("baseline_delay_rate"), percent_text(z("baseline_delay_rate"))),
-        item("DRIFT ANALYSIS", "recent_rate", z("recent_delay_rate"), percent_text(z("recent_delay_rate"))),
-        item("DRIFT ANALYSIS", "drift", z("drift_magnitude"), percent_text(z("drift_magnitude"))),
+        item("DRIFT ANALYSIS", "baseline_rate", r6("baseline_delay_rate"), percent_text(z("baseline_delay_rate"))),
+        item("DRIFT ANALYSIS", "recent_rate", r6("recent_delay_rate"), percent_text(z("recent_delay_rate"))),
+        item("DRIFT ANALYSIS", "drift", r6("drift_magnitude"), percent_text(z("drift_magnitude"))),
         item("DRIFT ANALYSIS", "recommendation", none, F.coalesce(F.col("recommendation"), F.lit("N/A"))),
         item("REPORT", "generated", none, F.lit(str(as_of))),
     )

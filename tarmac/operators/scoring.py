@@ -55,10 +55,10 @@ def respond(df: DataFrame, prob_col: str, model_name: str, timestamp: str | Colu
     return out
 
 
-def log_rows(resp: DataFrame, ts_col: str = "response_ts") -> DataFrame:
+def log_rows(resp: DataFrame, ts_col: str = "response_ts", keep=()) -> DataFrame:
     """Response -> inference-log row (the values, not empty columns)."""
     return resp.select(
-        F.col(ts_col).alias("timestamp"), F.col("OP_CARRIER").alias("airline"),
+        *keep, F.col(ts_col).alias("timestamp"), F.col("OP_CARRIER").alias("airline"),
         F.col("ORIGIN").alias("origin"), F.col("DEST").alias("destination"),
         F.col("DISTANCE").alias("distance"), "prediction",
         F.col("delay_probability").alias("probability"))
