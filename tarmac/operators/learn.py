@@ -87,13 +87,8 @@ class Presets:
     seed: int = 42
 
 
-def make_estimators(p: Presets, n_train: int) -> dict:
-    """Scaler + classifier pipelines, in the fixed comparison order."""
-    def pipe(clf):
-        return Pipeline(stages=[
-            VectorAssembler(inputCols=ALL_FEATURES, outputCol="raw_features", handleInvalid="error"),
-            StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-            clf])
+def make_classifiers(p: Presets, n_train: int) -> dict:
+    """The four classifiers, in the fixed comparison order."""
     # L2 with C: sum(loss) * C + |w|^2 / 2  ==  mean(loss) + |w|^2 / (2 C n)
     lr = LogisticRegression(labelCol="label", featuresCol="features", maxIter=p.lr_max_iter,
                             regParam=1.0 / (p.lr_c * max(1, n_train)), elasticNetParam=0.0,
@@ -108,8 +103,14 @@ def make_estimators(p: Presets, n_train: int) -> dict:
                           maxDepth=p.gbt_depth, stepSize=p.gbt_step, subsamplingRate=p.gbt_subsample,
                           featureSubsetStrategy=p.gbt_feature_fraction, maxBins=64,
                           minInstancesPerNode=20, seed=p.seed + 1)
-    return {"LogisticRegression": pipe(lr), "RandomForest": pipe(rf), "GBT_A": pipe(gbt_a),
-            "GBT_B": pipe(gbt_b)}
+    return {"LogisticRegression": lr, "RandomForest": rf, "GBT_A": gbt_a, "GBT_B": gbt_b}
+
+
+def scaler_pipeline() -> Pipeline:
+    """Feature vector + standardisation (zero mean, unit variance)."""
+    return Pipeline(stages=[
+        VectorAssembler(inputCols=ALL_FEATURES, outputCol="raw_features", handleInvalid="error"),
+        StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)])
 
 
 def training_frame(features: DataFrame, label_col: str = "is_delayed", id_col: str = "flight_id") -> DataFrame:
@@ -128,7 +129,7 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 @dataclass
 class TrainResult:
-    models: dict
+    models: dict                # name -> PipelineModel (vector, scaler, classifier)
     metrics: DataFrame          # one row per model, comparison order
     best_name: str | None
     runs: list = field(default_factory=list)
@@ -136,29 +137,38 @@ class TrainResult:
 
 def train_all(spark: SparkSession, labelled: DataFrame, presets: Presets = Presets(),
               models: list[str] = MODEL_ORDER, test_fraction: float = 0.2, seed: int = 42,
-              id_col: str = "flight_id") -> TrainResult:
-    """Split, fit each model on one persisted train frame, evaluate on test,
-    pick the best (strictly greater AUC wins; the first wins a tie; no winner
-    if every AUC is 0)."""
+              id_col: str = "flight_id", parallelism: int = 4) -> TrainResult:
+    """Split, standardise once (fitted on train only), fit the classifiers
+    concurrently on one persisted vector frame (``parallelism`` jobs at a
+    time, as Spark ML's tuning does), evaluate on test and pick the best:
+    strictly greater AUC wins, the first in comparison order wins a tie, no
+    winner if every AUC is 0."""
+    from concurrent.futures import ThreadPoolExecutor
+
     split = stratified_split(labelled, "label", id_col, test_fraction, seed)
     split = split.persist(StorageLevel.MEMORY_AND_DISK)
-    train = split.where(F.col("split") == "train")
-    test = split.where(F.col("split") == "test")
     sizes = split_stats(split, "label").first()
     n_train = int(sizes["train_size"])
-    ests = make_estimators(presets, n_train)
-    fitted, scored_parts, runs = {}, [], []
+    prep = scaler_pipeline().fit(split.where(F.col("split") == "train"))
+    vec = prep.transform(split).select(id_col, "label", "split", "features") \
+              .persist(StorageLevel.MEMORY_AND_DISK)
+    train = vec.where(F.col("split") == "train")
+    test = vec.where(F.col("split") == "test")
+    clfs = make_classifiers(presets, n_train)
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        futures = {name: pool.submit(clfs[name].fit, train) for name in models}
+        fitted_clf = {name: f.result() for name, f in futures.items()}
+    fitted = {name: PipelineModel(stages=[*prep.stages, m]) for name, m in fitted_clf.items()}
+    scored = None
     for name in models:
-        m = ests[name].fit(train)
-        fitted[name] = m
-        scored_parts.append(score(m, test).select(F.lit(name).alias("model"), "label", "probability",
-                                                  "prediction"))
-    scored = scored_parts[0]
-    for p in scored_parts[1:]:
-        scored = scored.unionByName(p)
+        part = fitted_clf[name].transform(test).select(
+            F.lit(name).alias("model"), "label",
+            vector_to_array(F.col("probability")).getItem(1).alias("probability"),
+            F.col("prediction").cast("int").alias("prediction"))
+        scored = part if scored is None else scored.unionByName(part)
     metrics = binary_metrics(scored, by=["model"], pred_col="prediction")
     rows = {r["model"]: r.asDict() for r in metrics.collect()}  # one row per model
-    best, best_auc = None, 0.0
+    best, best_auc, runs = None, 0.0, []
     for name in models:
         auc = rows[name]["roc_auc"] or 0.0
         if auc > best_auc:
@@ -171,10 +181,13 @@ def train_all(spark: SparkSession, labelled: DataFrame, presets: Presets = Prese
             "metrics": {k: float(rows[name][k]) for k in ["roc_auc", "accuracy", "precision", "recall", "f1"]
                         if rows[name][k] is not None},
         })
+    metrics_df = spark.createDataFrame(
+        [(i, n, *[rows[n][k] for k in ["roc_auc", "accuracy", "precision", "recall", "f1"]])
+         for i, n in enumerate(models)],
+        "position int, model string, roc_auc double, accuracy double, precision double, recall double, f1 double")
+    vec.unpersist()
     split.unpersist()
-    pos = spark.createDataFrame(list(enumerate(models)), "position int, model string")
-    ordered = metrics.join(F.broadcast(pos), "model").orderBy("position")
-    return TrainResult(fitted, ordered, best, runs)
+    return TrainResult(fitted, metrics_df, best, runs)
 
 
 # ---------------------------------------------------------------- importance
