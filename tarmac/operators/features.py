@@ -182,3 +182,15 @@ def request_record(req: DataFrame) -> DataFrame:
 def score_features(req: DataFrame, dictionary: Dictionary | None) -> DataFrame:
     """Score-time feature pipeline on any number of request rows."""
     return encode(engineer(request_record(req)), dictionary)
+
+
+def save_dictionary(dictionary: Dictionary, path: str) -> str:
+    """Persist the dictionary as a small parquet table."""
+    dictionary.table.write.mode("overwrite").parquet(path)
+    return path
+
+
+def load_dictionary(spark: SparkSession, path: str) -> Dictionary:
+    table = spark.read.parquet(path).cache()
+    cols = tuple(sorted({r[0] for r in table.select("column_name").distinct().collect()}))  # <= 3 rows
+    return Dictionary(table, table.count(), cols)

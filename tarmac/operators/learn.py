@@ -9,6 +9,7 @@ frame; nothing is collected but model parameters.
 from __future__ import annotations
 
 import datetime as dt
+import math
 import uuid
 from dataclasses import dataclass, field
 from decimal import ROUND_HALF_UP, Decimal
@@ -29,6 +30,9 @@ from tarmac.schema import ALL_FEATURES
 
 MODEL_ORDER = ["LogisticRegression", "RandomForest", "GBT_A", "GBT_B"]
 
+# Rows per partition of the persisted training vectors.
+ROWS_PER_TRAIN_PARTITION = 1_000_000
+
 
 # ---------------------------------------------------------------- split
 def split_hash(id_col: str, seed: int = 42):
@@ -84,6 +88,7 @@ class Presets:
     gbt_step: float = 0.05
     gbt_subsample: float = 0.8
     gbt_feature_fraction: str = "0.8"
+    tree_memory_mb: int = 1024
     seed: int = 42
 
 
@@ -95,7 +100,7 @@ def make_classifiers(p: Presets, n_train: int) -> dict:
                             standardization=False)
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=p.rf_trees,
                                 maxDepth=p.rf_depth, minInstancesPerNode=p.rf_min_leaf,
-                                featureSubsetStrategy="sqrt", seed=p.seed)
+                                featureSubsetStrategy="sqrt", maxMemoryInMB=p.tree_memory_mb, seed=p.seed)
     gbt_a = GBTClassifier(labelCol="label", featuresCol="features", maxIter=p.gbt_rounds,
                           maxDepth=p.gbt_depth, stepSize=p.gbt_step, subsamplingRate=p.gbt_subsample,
                           featureSubsetStrategy=p.gbt_feature_fraction, seed=p.seed)
@@ -150,8 +155,12 @@ def train_all(spark: SparkSession, labelled: DataFrame, presets: Presets = Prese
     sizes = split_stats(split, "label").first()
     n_train = int(sizes["train_size"])
     prep = scaler_pipeline().fit(split.where(F.col("split") == "train"))
+    # iterative fits run ~10 jobs per boosting round: size the persisted
+    # vectors by rows (>= the cluster's parallelism), not by upstream shuffles
+    parts = max(spark.sparkContext.defaultParallelism,
+                math.ceil((n_train + int(sizes["test_size"])) / ROWS_PER_TRAIN_PARTITION))
     vec = prep.transform(split).select(id_col, "label", "split", "features") \
-              .persist(StorageLevel.MEMORY_AND_DISK)
+              .repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
     train = vec.where(F.col("split") == "train")
     test = vec.where(F.col("split") == "test")
     clfs = make_classifiers(presets, n_train)

@@ -87,35 +87,37 @@ def session_sequence(log: DataFrame, ts_col: str = "timestamp", key_col: str = "
     return out.crossJoin(F.broadcast(rate))  # rate: one row
 
 
+def _cutoff(as_of, window_days: int):
+    return F.lit(as_of).cast("timestamp") - F.make_interval(days=F.lit(window_days))
+
+
+def _recent_pred(log: DataFrame, as_of, window_days: int, ts_col: str) -> Column:
+    """timestamp >= as_of - window_days; on a date-partitioned log also a
+    predicate on the partition column, so the scan prunes to those days."""
+    cutoff = _cutoff(as_of, window_days)
+    cond = F.col(ts_col).isNotNull() & (F.col(ts_col).cast("timestamp") >= cutoff)
+    if "log_date" in log.columns:
+        cond = cond & (F.col("log_date") >= F.to_date(cutoff))
+    return cond
+
+
 def recent_window(log: DataFrame, as_of, window_days: int = DRIFT_WINDOW_DAYS,
                   ts_col: str = "timestamp") -> DataFrame:
     """Rows with timestamp >= as_of - window_days (missing timestamps out)."""
-    cutoff = F.lit(as_of).cast("timestamp") - F.make_interval(days=F.lit(window_days))
-    return log.where(F.col(ts_col).isNotNull() & (F.col(ts_col).cast("timestamp") >= cutoff))
+    return log.where(_recent_pred(log, as_of, window_days, ts_col))
 
 
-def drift_check(log: DataFrame, as_of, baseline: float = DRIFT_BASELINE,
-                window_days: int = DRIFT_WINDOW_DAYS, threshold: float = DRIFT_THRESHOLD,
-                min_rows: int = DRIFT_MIN_ROWS, ts_col: str = "timestamp") -> DataFrame:
-    """One row with a fixed schema for every outcome: no data, too few recent
-    rows (not detected), or evaluated (detected when |rate - baseline| >
-    threshold, strictly)."""
-    cutoff = F.lit(as_of).cast("timestamp") - F.make_interval(days=F.lit(window_days))
-    recent = F.col(ts_col).isNotNull() & (F.col(ts_col).cast("timestamp") >= cutoff)
-    agg = log.agg(
-        F.count(F.lit(1)).alias("n_all"),
-        F.count(F.when(recent, 1)).alias("recent_predictions"),
-        F.count(F.when(recent & (F.col("prediction") == F.lit(DELAYED)), 1)).alias("_recent_delayed"),
-    )
-    n_all, n = F.col("n_all"), F.col("recent_predictions")
-    evaluated = (n_all > 0) & (n >= min_rows)
+def _drift_columns(baseline: float, window_days: int, threshold: float, min_rows: int) -> list[Column]:
+    """Drift row from ``has_rows``, ``recent_predictions``, ``_recent_delayed``."""
+    has, n = F.col("has_rows"), F.col("recent_predictions")
+    evaluated = has & (n >= min_rows)
     rate = F.when(evaluated, F.col("_recent_delayed") / n.cast("double"))
     drift = F.abs(rate - F.lit(baseline))
     detected = F.coalesce(evaluated & (drift > F.lit(threshold)), F.lit(False))
     alert = F.when(evaluated & detected, F.concat(F.lit("⚠️ Data drift detected! ("), percent_text(drift),
                                                    F.lit(" > "), percent_text(F.lit(threshold)), F.lit(")"))) \
              .when(evaluated, F.lit("✅ No significant drift"))
-    return agg.select(
+    return [
         detected.alias("drift_detected"),
         F.when(evaluated, F.lit(baseline)).alias("baseline_delay_rate"),
         rate.alias("recent_delay_rate"),
@@ -126,26 +128,48 @@ def drift_check(log: DataFrame, as_of, baseline: float = DRIFT_BASELINE,
         alert.alias("alert"),
         F.when(evaluated & detected, F.lit("Consider retraining model"))
          .when(evaluated, F.lit("Model healthy")).alias("recommendation"),
-        F.when(n_all == 0, F.lit("No data"))
+        F.when(~has, F.lit("No data"))
          .when(~evaluated, F.concat(F.lit("Insufficient recent data ("), n.cast("string"), F.lit(" predictions)")))
          .alias("message"),
-    )
+    ]
 
 
-def monitoring_report(log: DataFrame, as_of, **drift_args) -> DataFrame:
-    """Report rows (section, metric, value, text): prediction stats and drift;
-    missing values read as 0 as in the text report."""
-    stats = log.agg(
+def drift_check(log: DataFrame, as_of, baseline: float = DRIFT_BASELINE,
+                window_days: int = DRIFT_WINDOW_DAYS, threshold: float = DRIFT_THRESHOLD,
+                min_rows: int = DRIFT_MIN_ROWS, ts_col: str = "timestamp") -> DataFrame:
+    """One row with a fixed schema for every outcome: no data, too few recent
+    rows (not detected), or evaluated (detected when |rate - baseline| >
+    threshold, strictly). Reads the trailing window only (pruned on a
+    date-partitioned log) plus a one-row probe for "no data"."""
+    recent = recent_window(log, as_of, window_days, ts_col)
+    counts = recent.agg(
+        F.count(F.lit(1)).alias("recent_predictions"),
+        F.count(F.when(F.col("prediction") == F.lit(DELAYED), 1)).alias("_recent_delayed"))
+    probe = log.select(F.lit(1).alias("_one")).limit(1).agg((F.count(F.lit(1)) > 0).alias("has_rows"))
+    return counts.crossJoin(probe).select(*_drift_columns(baseline, window_days, threshold, min_rows))
+
+
+def monitoring_report(log: DataFrame, as_of, baseline: float = DRIFT_BASELINE,
+                      window_days: int = DRIFT_WINDOW_DAYS, threshold: float = DRIFT_THRESHOLD,
+                      min_rows: int = DRIFT_MIN_ROWS, ts_col: str = "timestamp") -> DataFrame:
+    """Report rows (section, metric, value, text): prediction stats and drift
+    from one pass over the log; missing values read as 0 as in the text
+    report."""
+    recent = _recent_pred(log, as_of, window_days, ts_col)
+    row = log.agg(
         F.count(F.lit(1)).alias("total_predictions"),
         F.avg(F.coalesce(F.col("prediction") == F.lit(DELAYED), F.lit(False)).cast("double")).alias("delay_rate"),
         F.avg("probability").alias("avg_probability"),
         F.count(F.when(F.col("probability") > F.lit(HIGH_RISK_PROBABILITY), 1)).alias("high_risk_count"),
-    )
-    drift = drift_check(log, as_of, **drift_args)
+        F.count(F.when(recent, 1)).alias("recent_predictions"),
+        F.count(F.when(recent & (F.col("prediction") == F.lit(DELAYED)), 1)).alias("_recent_delayed"),
+    ).withColumn("has_rows", F.col("total_predictions") > 0)
+    row = row.select("total_predictions", "delay_rate", "avg_probability", "high_risk_count",
+                     *_drift_columns(baseline, window_days, threshold, min_rows))
     z = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     r6 = lambda c: F.round(z(c), 6)
     three = lambda c: F.format_string("%.3f", F.round(z(c), 3))
-    row = stats.crossJoin(drift)  # both one row
+
     def item(section, metric, value, text):
         return F.struct(F.lit(section).alias("section"), F.lit(metric).alias("metric"),
                         value.cast("double").alias("value"), text.cast("string").alias("text"))
