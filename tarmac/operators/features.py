@@ -68,12 +68,11 @@ def fit_dictionary(df: DataFrame, max_classes: int = MAX_CLASSES) -> Dictionary:
     if not present:
         empty = spark.createDataFrame([], "column_name string, value string, code int")
         return Dictionary(empty, 0, ())
-    parts = [df.select(F.lit(c).alias("column_name"), category_text(F.col(c)).alias("value"))
-             for c in present]
-    distinct = parts[0]
-    for p in parts[1:]:
-        distinct = distinct.unionByName(p)
-    distinct = distinct.distinct()
+    # one scan: each row yields its (column, value) pairs; distinct runs with
+    # map-side partial aggregation before the shuffle
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), category_text(F.col(c)).alias("value"))
+                      for c in present])
+    distinct = df.select(F.explode(pairs).alias("kv")).select("kv.column_name", "kv.value").distinct()
     w = Window.partitionBy("column_name").orderBy("value")
     table = distinct.withColumn("code", (F.row_number().over(w) - 1).cast("int")).cache()
     counts = {r["column_name"]: r["n"] for r in table.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -138,6 +138,15 @@ class TrainResult:
     metrics: DataFrame          # one row per model, comparison order
     best_name: str | None
     runs: list = field(default_factory=list)
+    test: DataFrame | None = None   # the held-out rows (id, label, features)
+
+    def scored_test(self) -> DataFrame:
+        """model, label, probability, prediction for every model on the test rows."""
+        out = None
+        for name, m in self.models.items():
+            part = score(m, self.test).select(F.lit(name).alias("model"), "label", "probability", "prediction")
+            out = part if out is None else out.unionByName(part)
+        return out
 
 
 def train_all(spark: SparkSession, labelled: DataFrame, presets: Presets = Presets(),
@@ -150,8 +159,10 @@ def train_all(spark: SparkSession, labelled: DataFrame, presets: Presets = Prese
     winner if every AUC is 0."""
     from concurrent.futures import ThreadPoolExecutor
 
+    # the split makes several passes (class counts, bucket totals, rows):
+    # they read the persisted feature rows, not the upstream pipeline
+    labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)
     split = stratified_split(labelled, "label", id_col, test_fraction, seed)
-    split = split.persist(StorageLevel.MEMORY_AND_DISK)
     sizes = split_stats(split, "label").first()
     n_train = int(sizes["train_size"])
     prep = scaler_pipeline().fit(split.where(F.col("split") == "train"))
@@ -161,6 +172,8 @@ def train_all(spark: SparkSession, labelled: DataFrame, presets: Presets = Prese
                 math.ceil((n_train + int(sizes["test_size"])) / ROWS_PER_TRAIN_PARTITION))
     vec = prep.transform(split).select(id_col, "label", "split", "features") \
               .repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    vec.count()
+    labelled.unpersist()  # the fits and the evaluation read the vectors
     train = vec.where(F.col("split") == "train")
     test = vec.where(F.col("split") == "test")
     clfs = make_classifiers(presets, n_train)
@@ -195,8 +208,8 @@ def train_all(spark: SparkSession, labelled: DataFrame, presets: Presets = Prese
          for i, n in enumerate(models)],
         "position int, model string, roc_auc double, accuracy double, precision double, recall double, f1 double")
     vec.unpersist()
-    split.unpersist()
-    return TrainResult(fitted, metrics_df, best, runs)
+    test_rows = split.where(F.col("split") == "test").drop("split")
+    return TrainResult(fitted, metrics_df, best, runs, test_rows)
 
 
 # ---------------------------------------------------------------- importance

@@ -168,3 +168,21 @@ def model_comparison(metrics: DataFrame, model_col: str = "model") -> DataFrame:
     """Wide metrics (one row per model) -> long (model, metric, value)."""
     return metrics.select(model_col, *METRIC_NAMES).unpivot(
         [model_col], METRIC_NAMES, "metric", "value")
+
+
+def full_evaluation(scored_by_model, best: str, label_col: str = "label",
+                    prob_col: str = "probability", pred_col: str | None = "prediction") -> dict:
+    """All evaluation tables of a training run from one scored test table
+    (columns model, label, probability, prediction): the long comparison of
+    every model, and ROC points, confusion cells and the classification
+    report of the best model. Lazy DataFrames; the caller may cache
+    ``scored_by_model`` once if it materialises several of them."""
+    wide = binary_metrics(scored_by_model, label_col, prob_col, by=["model"], pred_col=pred_col)
+    one = scored_by_model.where(F.col("model") == F.lit(best))
+    return {
+        "metrics": wide,
+        "comparison": model_comparison(wide),
+        "roc": roc_points(one, label_col, prob_col),
+        "confusion": confusion_matrix(one, label_col, prob_col, pred_col),
+        "report": classification_report(one, label_col, prob_col, pred_col),
+    }

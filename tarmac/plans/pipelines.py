@@ -90,3 +90,17 @@ def start_scoring_stream(spark: SparkSession, requests_dir: str, schema, artifac
          .option("checkpointLocation", checkpoint).option("path", log_path))
     w = w.trigger(processingTime=f"{trigger_seconds} seconds") if trigger_seconds else w.trigger(availableNow=True)
     return w.start()
+
+
+def model_info(spark: SparkSession, artifacts: Artifacts) -> DataFrame:
+    """One row: best model name, its metrics, the feature list and the known
+    airlines and airports (sorted)."""
+    from tarmac.schema import ALL_FEATURES
+    best = L.best_run(spark, artifacts.runs)
+    d = FE.load_dictionary(spark, artifacts.dictionary).table
+    vocab = d.agg(
+        F.array_sort(F.collect_list(F.when(F.col("column_name") == "OP_CARRIER", F.col("value")))).alias("airlines"),
+        F.array_sort(F.collect_list(F.when(F.col("column_name") == "ORIGIN", F.col("value")))).alias("airports"))
+    return best.crossJoin(vocab).select(  # both one row; the vocabulary is bounded by MAX_CLASSES
+        F.col("model").alias("model_name"), "metrics",
+        F.array(*[F.lit(f) for f in ALL_FEATURES]).alias("features"), "airlines", "airports")

@@ -17,6 +17,7 @@ def spark():
     s = (SparkSession.builder.master("local[4]")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
+         .config("spark.driver.memory", "4g")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tarmac-test-ckpt-"))
          .getOrCreate())

@@ -18,6 +18,13 @@ def test_end_to_end(spark):
     art = P.Artifacts(root + "/artifacts")
     res = P.training_run(spark, synthetic.generate(spark, 800, seed=5), art, SMALL)
     assert res.best_name in L.MODEL_ORDER
+    info = P.model_info(spark, art).first()
+    assert info["model_name"] == res.best_name and len(info["features"]) == 12
+    assert info["airlines"] == sorted(info["airlines"]) and len(info["airports"]) > 0
+    from tarmac.operators.metrics import full_evaluation
+    ev = full_evaluation(res.scored_test().cache(), res.best_name)
+    assert ev["comparison"].count() == 20 and ev["confusion"].count() == 4 and ev["report"].count() == 5
+    assert ev["roc"].count() >= 2
 
     up = spark.createDataFrame(
         [("AA", "JFK", "LAX", "20", "2475", "5", "7", "14"), ("DL", "ATL", "ORD", "0", "718", "2", "3", "9"),
