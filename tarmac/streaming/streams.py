@@ -65,8 +65,9 @@ def drift_windows(log: DataFrame, window_days: int = DRIFT_WINDOW_DAYS, slide_da
                   ts_col: str = "timestamp") -> DataFrame:
     """T2: per event-time window (``window_days`` long, sliding by
     ``slide_days``): predictions, delay rate and the drift rule. Rows later
-    than the watermark are dropped; a window is emitted once the watermark
-    passes its end. State is one row per open window."""
+    than the watermark are dropped (Spark filters late input with the
+    watermark reached by the previous micro-batch); a window is emitted once
+    the watermark passes its end. State is one row per open window."""
     s = log.withColumn("_ts", F.col(ts_col).cast("timestamp")).withWatermark("_ts", delay)
     agg = s.groupBy(F.window("_ts", f"{window_days} days", f"{slide_days} day").alias("w")).agg(
         F.count(F.lit(1)).alias("n"),
