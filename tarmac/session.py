@@ -89,3 +89,24 @@ def ensure_parent(path: str) -> None:
     if is_local_path(path):
         p = path[len("file:"):] if path.startswith("file:") else path
         os.makedirs(os.path.dirname(os.path.abspath(p)), exist_ok=True)
+
+
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Total size of the files under ``path`` (Hadoop file system summary)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(p).getLength())
+
+
+def size_shuffles(spark: SparkSession, data_bytes: int, target_bytes: int = 256 << 20,
+                  max_partitions: int = 200_000) -> int:
+    """Initial shuffle partitions ~ data / target (AQE coalesces small ones
+    and splits skewed ones around the same advisory size). Returns the count."""
+    import math
+    n = max(spark.sparkContext.defaultParallelism, math.ceil(data_bytes / max(1, target_bytes)))
+    n = min(n, max_partitions)
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(min(target_bytes, 512 << 20)))
+    return n

@@ -117,3 +117,17 @@ def test_confidence(spark):
     got = _bands(spark, values, B.confidence)
     assert got == [_py_confidence(p) for p in values]
     assert got[:3] == ["HIGH", "HIGH", "MEDIUM"]  # margin .35 is not above .35
+
+
+def test_size_shuffles(spark):
+    from tarmac.session import input_bytes, size_shuffles
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+            "spark.sql.files.maxPartitionBytes"]
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        assert input_bytes(spark, "/root/testdata/sf0.001/events.parquet") > 0
+        assert size_shuffles(spark, 100 * (1 << 40)) == 200_000  # 100 TB: capped
+        assert size_shuffles(spark, 10 << 30) == 40               # 10 GB / 256 MB
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
