@@ -99,6 +99,21 @@ def encode(df: DataFrame, dictionary: Dictionary | None,
     return out
 
 
+def decode(df: DataFrame, dictionary: Dictionary,
+           max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Codes back to category text (the inverse of ``encode`` on known
+    values): adds ``<column>_DECODED`` for each encoded column present."""
+    out = df
+    for col, enc in ENCODED_COLUMNS:
+        if enc not in df.columns or col not in dictionary.columns:
+            continue
+        dim = dictionary.for_column(col).select(F.col("code").alias("_c"), F.col("value").alias("_v"))
+        out = lookup_join(out, dim, F.col(enc) == F.col("_c"), dim_rows=dictionary.n_rows,
+                          max_broadcast_rows=max_broadcast_rows)
+        out = out.withColumnRenamed("_v", f"{col}_DECODED").drop("_c")
+    return out
+
+
 def feature_columns(df: DataFrame, keep=()) -> DataFrame:
     """The 12 features in fixed order (absent -> 0), plus ``keep`` columns."""
     cols = set(df.columns)

@@ -97,7 +97,8 @@ def roc_points(scored: DataFrame, label_col: str = "label", prob_col: str = "pro
     c = prefix_sums(g, "score", ["pos", "neg"], descending=True, index_col="i", partition=by)
     c = c.select(*by, "score", "i", F.col("cum_pos").alias("tps"), F.col("cum_neg").alias("fps"))
     tot = c.groupBy(*by).agg(F.max("i").alias("m"), F.max("tps").alias("P"), F.max("fps").alias("N"))
-    pts = c.join(F.broadcast(tot) if not by else tot, by, "left") if by else c.crossJoin(F.broadcast(tot))
+    # totals: one row per group
+    pts = c.join(F.broadcast(tot), by, "left") if by else c.crossJoin(F.broadcast(tot))
     if drop_intermediate:
         prev = c.select(*by, (F.col("i") + 1).alias("i"), F.col("tps").alias("tp0"), F.col("fps").alias("fp0"))
         nxt = c.select(*by, (F.col("i") - 1).alias("i"), F.col("tps").alias("tp2"), F.col("fps").alias("fp2"))

@@ -132,3 +132,12 @@ def test_batch_upload_defaults(spark):
     out = batch_requests(up).orderBy("airline").collect()
     assert (out[0]["airline"], out[0]["departure_delay"], out[0]["hour"], out[0]["is_valid"]) == ("AA", 0.0, 12, True)
     assert (out[1]["is_valid"], out[1]["reject_reason"]) == (False, "distance: missing")
+
+
+def test_encode_then_decode_is_identity(spark):
+    raw = synthetic.generate(spark, 300, seed=9)
+    enc, d = FE.build_features(C.clean(raw))
+    dec = FE.decode(enc, d)
+    bad = dec.where((F.col("OP_CARRIER") != F.col("OP_CARRIER_DECODED")) |
+                    (F.col("ORIGIN") != F.col("ORIGIN_DECODED")) | (F.col("DEST") != F.col("DEST_DECODED")))
+    assert bad.count() == 0 and dec.count() == enc.count()

@@ -142,3 +142,17 @@ def test_histogram_matches_numpy(spark):
     same = spark.createDataFrame([(0.4,), (0.4,)], "probability double")
     h = probability_histogram(same).orderBy("bin").collect()
     assert len(h) == 30 and abs(h[0]["bin_start"] + 0.1) < 1e-12 and sum(r["n"] for r in h) == 2
+
+
+def test_partition_invariance(spark):
+    from tarmac.operators import scoring as SC
+    rows, df = _scored(spark, 2000)
+    ts = df.withColumn("ts", F.timestamp_seconds((F.col("id") % 97) * 60))
+    aucs, ids = set(), []
+    for parts in (1, 4, 16):
+        aucs.add(M.roc_auc(df.repartition(parts)).first()["roc_auc"])
+        out = SC.inference_ids(ts.repartition(parts), "ts", "id")
+        ids.append(sorted((r["id"], r["inference_id"]) for r in out.collect()))
+    assert len(aucs) == 1
+    assert ids[0] == ids[1] == ids[2]
+    assert sorted(i for _, i in ids[0]) == [f"INF-{k:06d}" for k in range(1, 2001)]
