@@ -1,8 +1,5 @@
 """Learning (small presets), persistence, synthetic data, files and streams."""
 
-import os
-import tempfile
-
 import pytest
 from pyspark.sql import functions as F
 
