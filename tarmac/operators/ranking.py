@@ -69,16 +69,22 @@ def range_bucket(col: Column, splits: list[float]) -> Column:
 
 def with_range_bucket(df: DataFrame, in_col: str, out_col: str, splits: list[float],
                       only_if: Column | None = None) -> DataFrame:
-    """Add ``out_col`` = interval index of ``in_col`` (0 where ``only_if`` is false)."""
+    """Add ``out_col`` = interval index of ``in_col`` (0 where ``only_if`` is
+    false). A NULL key gets bucket -1: NULLs sort first, as in SQL's
+    ascending order."""
+    key = F.col(in_col)
     if len(splits) - 1 <= CASE_TREE_MAX:
-        b = range_bucket(F.col(in_col), splits)
-        return df.withColumn(out_col, b if only_if is None else F.when(only_if, b).otherwise(F.lit(0)))
-    from pyspark.ml.feature import Bucketizer
-    tmp = f"{out_col}_raw"
-    out = Bucketizer(splits=splits, inputCol=in_col, outputCol=tmp,
-                     handleInvalid="keep").transform(df)
-    b = F.col(tmp).cast("int")
-    return out.withColumn(out_col, b if only_if is None else F.when(only_if, b).otherwise(F.lit(0))).drop(tmp)
+        b = range_bucket(key, splits)
+        out = df
+    else:
+        from pyspark.ml.feature import Bucketizer
+        tmp, safe = f"{out_col}_raw", f"{out_col}_in"
+        out = Bucketizer(splits=splits, inputCol=safe, outputCol=tmp, handleInvalid="keep").transform(
+            df.withColumn(safe, F.coalesce(key, F.lit(0.0))))
+        b = F.col(tmp).cast("int")
+    b = F.when(key.isNull(), F.lit(-1)).otherwise(b)
+    out = out.withColumn(out_col, b if only_if is None else F.when(only_if, b).otherwise(F.lit(0)))
+    return out.drop(*[c for c in (f"{out_col}_raw", f"{out_col}_in") if c in out.columns])
 
 
 def _offsets(totals: DataFrame, order: list[str], sum_cols: list[str],

@@ -156,3 +156,16 @@ def test_partition_invariance(spark):
     assert len(aucs) == 1
     assert ids[0] == ids[1] == ids[2]
     assert sorted(i for _, i in ids[0]) == [f"INF-{k:06d}" for k in range(1, 2001)]
+
+
+def test_row_number_nulls_first_and_bucketizer_path(spark):
+    rows = [(i, None if i % 10 == 0 else float(i % 500)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, k double")
+    old = R.MIN_BUCKETS
+    R.MIN_BUCKETS = 100  # > CASE_TREE_MAX: exercises the Bucketizer path
+    try:
+        out = R.global_row_number(df, F.col("k"), F.col("id"), "rn").collect()
+    finally:
+        R.MIN_BUCKETS = old
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] if r[1] is not None else 0, r[0]))
+    assert {r["id"]: r["rn"] for r in out} == {k: n + 1 for n, (k, _) in enumerate(order)}
