@@ -92,7 +92,27 @@ class Presets:
     seed: int = 42
 
 
-def make_classifiers(p: Presets, n_train: int) -> dict:
+def _memory_mb(spark: SparkSession) -> int:
+    """Memory of one executor (the driver in local mode), in MB."""
+    conf = spark.sparkContext.getConf()
+    local = spark.sparkContext.master.startswith("local")
+    text = conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g").strip().lower()
+    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+    try:
+        if text[-1] in units:
+            return int(float(text[:-1]) * units[text[-1]])
+        return int(float(text) / (1 << 20))
+    except ValueError:
+        return 1024
+
+
+def node_memory_mb(spark: SparkSession, requested: int) -> int:
+    """Tree node-statistics budget: at most 1/8 of an executor's memory, not
+    below Spark's default 256 MB."""
+    return max(256, min(requested, _memory_mb(spark) // 8))
+
+
+def make_classifiers(p: Presets, n_train: int, tree_memory_mb: int | None = None) -> dict:
     """The four classifiers, in the fixed comparison order."""
     # L2 with C: sum(loss) * C + |w|^2 / 2  ==  mean(loss) + |w|^2 / (2 C n)
     lr = LogisticRegression(labelCol="label", featuresCol="features", maxIter=p.lr_max_iter,
@@ -100,7 +120,8 @@ def make_classifiers(p: Presets, n_train: int) -> dict:
                             standardization=False)
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=p.rf_trees,
                                 maxDepth=p.rf_depth, minInstancesPerNode=p.rf_min_leaf,
-                                featureSubsetStrategy="sqrt", maxMemoryInMB=p.tree_memory_mb, seed=p.seed)
+                                featureSubsetStrategy="sqrt", maxMemoryInMB=tree_memory_mb or p.tree_memory_mb,
+                                seed=p.seed)
     gbt_a = GBTClassifier(labelCol="label", featuresCol="features", maxIter=p.gbt_rounds,
                           maxDepth=p.gbt_depth, stepSize=p.gbt_step, subsamplingRate=p.gbt_subsample,
                           featureSubsetStrategy=p.gbt_feature_fraction, seed=p.seed)
@@ -176,7 +197,7 @@ def train_all(spark: SparkSession, labelled: DataFrame, presets: Presets = Prese
     labelled.unpersist()  # the fits and the evaluation read the vectors
     train = vec.where(F.col("split") == "train")
     test = vec.where(F.col("split") == "test")
-    clfs = make_classifiers(presets, n_train)
+    clfs = make_classifiers(presets, n_train, node_memory_mb(spark, presets.tree_memory_mb))
     # boosting runs ~7 small jobs per round, so per-task overhead dominates
     # at small sizes: it reads the cached vectors through half as many tasks
     # (a narrow coalesce, no shuffle); the forest keeps full parallelism
