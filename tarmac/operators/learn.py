@@ -172,12 +172,13 @@ class TrainResult:
 
 def train_all(spark: SparkSession, labelled: DataFrame, presets: Presets = Presets(),
               models: list[str] = MODEL_ORDER, test_fraction: float = 0.2, seed: int = 42,
-              id_col: str = "flight_id", parallelism: int = 4) -> TrainResult:
+              id_col: str = "flight_id", parallelism: int = 4, evaluate: bool = True) -> TrainResult:
     """Split, standardise once (fitted on train only), fit the classifiers
     concurrently on one persisted vector frame (``parallelism`` jobs at a
     time, as Spark ML's tuning does), evaluate on test and pick the best:
     strictly greater AUC wins, the first in comparison order wins a tie, no
-    winner if every AUC is 0."""
+    winner if every AUC is 0. ``evaluate=False`` returns the fitted models
+    without the test-set metrics."""
     from concurrent.futures import ThreadPoolExecutor
 
     # the split makes several passes (class counts, bucket totals, rows):
@@ -207,6 +208,10 @@ def train_all(spark: SparkSession, labelled: DataFrame, presets: Presets = Prese
         futures = {name: pool.submit(clfs[name].fit, inputs[name]) for name in models}
         fitted_clf = {name: f.result() for name, f in futures.items()}
     fitted = {name: PipelineModel(stages=[*prep.stages, m]) for name, m in fitted_clf.items()}
+    if not evaluate:  # fitted models only; the first in comparison order is returned as best
+        vec.unpersist()
+        test_rows = split.where(F.col("split") == "test").drop("split")
+        return TrainResult(fitted, None, models[0], [], test_rows)
     scored = None
     for name in models:
         part = fitted_clf[name].transform(test).select(

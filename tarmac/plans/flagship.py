@@ -15,7 +15,7 @@ from tarmac.sources import tables
 
 def risk_band_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tf, d = labelled_features(spark, sf_dir)
-    res = L.train_all(spark, tf, L.Presets(), models=["LogisticRegression"])
+    res = L.train_all(spark, tf, L.Presets(), models=["LogisticRegression"], evaluate=False)
     req = validate_requests(tables.requests(spark, sf_dir)).where("is_valid")
     scored = SC.batch_score(req, d, model=res.models["LogisticRegression"])
     return scored.groupBy("risk_level").agg(
