@@ -115,9 +115,15 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: list[str], descending:
         base = base.withColumn("_one", F.lit(1).cast("bigint"))
     totals = base.groupBy(*partition, "_b").agg(*[F.sum(c).alias(c) for c in cols])
     # bounded: one row per bucket and group
-    offs = F.broadcast(_offsets(totals, ["_b"], cols, partition))
+    offs = _offsets(totals, ["_b"], cols, partition)
+    ren = {c: f"_o_{c}" for c in [*partition, "_b"]}
+    offs = F.broadcast(offs.withColumnsRenamed(ren))
+    cond = None
+    for c, o in ren.items():  # null-safe: a NULL group keeps its rows
+        e = F.col(c).eqNullSafe(F.col(o))
+        cond = e if cond is None else cond & e
     w = Window.partitionBy(*partition, "_b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    out = base.join(offs, [*partition, "_b"], "left")
+    out = base.join(offs, cond, "left").drop(*ren.values())
     new = {f"cum_{c}": F.sum(c).over(w) + F.col(f"_off_{c}") for c in sum_cols}
     if index_col:
         new[index_col] = F.sum("_one").over(w) + F.col("_off__one")
@@ -168,8 +174,10 @@ def first_n_per_group(df: DataFrame, group_col: str, hash_col: str, quota_col: s
     # bounded: groups x 16^digits rows
     offs = totals.select(group_col, "_p", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"),
                          "_n")
-    offs = F.broadcast(offs)
-    joined = base.join(offs, [group_col, "_p"], "left")
+    offs = F.broadcast(offs.withColumnRenamed(group_col, "_g").withColumnRenamed("_p", "_pp"))
+    # null-safe on the group: rows of a NULL group are kept and ranked too
+    joined = base.join(offs, F.col(group_col).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_pp")),
+                       "left").drop("_g", "_pp")
     q = F.col(quota_col)
     whole_in = (F.col("_before") + F.col("_n")) <= q
     whole_out = F.col("_before") >= q

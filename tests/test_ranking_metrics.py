@@ -169,3 +169,13 @@ def test_row_number_nulls_first_and_bucketizer_path(spark):
         R.MIN_BUCKETS = old
     order = sorted(rows, key=lambda r: (r[1] is not None, r[1] if r[1] is not None else 0, r[0]))
     assert {r["id"]: r["rn"] for r in out} == {k: n + 1 for n, (k, _) in enumerate(order)}
+
+
+def test_first_n_keeps_null_group(spark):
+    rows = [(i, None if i % 5 == 0 else i % 2) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, g int").withColumn("h", F.md5(F.col("id").cast("string"))) \
+        .withColumn("q", F.lit(50).cast("long"))
+    out = R.first_n_per_group(df, "g", "h", "q", "sel")
+    assert out.count() == 1000
+    got = {r[0]: r[1] for r in out.groupBy("g").agg(F.sum(F.col("sel").cast("int"))).collect()}
+    assert got == {None: 50, 0: 50, 1: 50}
