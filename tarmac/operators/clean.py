@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarmac.functions.coerce import DEFAULT_DATE_FORMATS, coerce_columns, to_int
 from tarmac.functions.scalar import hour_from_dep_time, iso_weekday
@@ -64,7 +65,14 @@ def derive(df: DataFrame, threshold=DELAY_THRESHOLD) -> DataFrame:
 
 
 def clean(df: DataFrame, threshold=DELAY_THRESHOLD, formats=DEFAULT_DATE_FORMATS) -> DataFrame:
-    """Raw flights -> cleaned flights with ``is_delayed``, ``MONTH``, ``HOUR``."""
+    """Raw flights -> cleaned flights with ``is_delayed``, ``MONTH``, ``HOUR``.
+
+    On numeric input the target-range filter runs on the raw column, before
+    coercion, so it reaches the Parquet scan as pushed filters; the result is
+    the same (NaN sorts above every number, so ``NaN < high`` is false)."""
+    df = trim_headers(df)
+    if isinstance(df.schema["ARR_DELAY"].dataType, T.NumericType):
+        return derive(coerce(df.where(in_range(F.col("ARR_DELAY"))), formats), threshold)
     typed = coerce(df, formats)
     kept = typed.where(in_range(F.col("ARR_DELAY")))
     return derive(kept, threshold)

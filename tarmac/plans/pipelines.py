@@ -104,3 +104,17 @@ def model_info(spark: SparkSession, artifacts: Artifacts) -> DataFrame:
     return best.crossJoin(vocab).select(  # both one row; the vocabulary is bounded by MAX_CLASSES
         F.col("model").alias("model_name"), "metrics",
         F.array(*[F.lit(f) for f in ALL_FEATURES]).alias("features"), "airlines", "airports")
+
+
+def start_drift_stream(spark: SparkSession, log_path: str, out_path: str, checkpoint: str,
+                       trigger_seconds: int | None = 60):
+    """Continuous drift: the (date-partitioned) inference log as a stream ->
+    7-day windows sliding by a day -> appended once the watermark closes them."""
+    from tarmac.schema import INFERENCE_LOG_SCHEMA
+    from pyspark.sql import types as T
+    schema = T.StructType(INFERENCE_LOG_SCHEMA.fields + [T.StructField("log_date", T.DateType())])
+    windows = ST.drift_windows(ST.read_stream(spark, log_path, schema))
+    w = (windows.writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", checkpoint).option("path", out_path))
+    w = w.trigger(processingTime=f"{trigger_seconds} seconds") if trigger_seconds else w.trigger(availableNow=True)
+    return w.start()

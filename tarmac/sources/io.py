@@ -100,3 +100,37 @@ def write_report(report: DataFrame, path: str) -> str:
     ensure_parent(path)
     report.coalesce(1).write.mode("overwrite").option("header", True).csv(path)  # bounded: report rows
     return path
+
+
+def read_inference_log_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A log written as CSV text: timestamp parsed (bad -> NULL), numbers
+    coerced; an empty log with the log schema if the path is absent."""
+    from tarmac.functions.coerce import to_double
+    from pyspark.sql import types as T
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], INFERENCE_LOG_SCHEMA)
+    raw = read_text_csv(spark, path)
+    text = T.StringType()
+    ts = F.coalesce(F.try_to_timestamp(F.col("timestamp"), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")),
+                    F.try_to_timestamp(F.col("timestamp"), F.lit("yyyy-MM-dd'T'HH:mm:ss")),
+                    F.try_to_timestamp(F.col("timestamp"), F.lit("yyyy-MM-dd HH:mm:ss")))
+    cols = {f.name for f in INFERENCE_LOG_SCHEMA.fields}
+    return raw.select(
+        ts.alias("timestamp"),
+        *[F.col(c) for c in ["airline", "origin", "destination", "prediction"] if c in raw.columns],
+        *[to_double(F.col(c), text).alias(c) for c in ["distance", "probability"] if c in raw.columns],
+        *[F.col(c) for c in raw.columns if c not in cols])
+
+
+def normalise_flights(spark: SparkSession, csv_path: str, parquet_path: str) -> DataFrame:
+    """Raw flight CSV -> coerced, typed Parquet (partitioned by month of the
+    flight date). Cleaning the typed copy pushes the target-range filter into
+    the Parquet scan and prunes columns, which text CSV cannot."""
+    from tarmac.operators.clean import coerce
+    typed = coerce(load_flights_csv(spark, csv_path, list(RAW_COLUMNS) + ["flight_id"]))
+    part = []
+    if "FL_DATE" in typed.columns:
+        typed = typed.withColumn("fl_month", F.date_format("FL_DATE", "yyyy-MM"))
+        part = ["fl_month"]
+    save_parquet(typed, parquet_path, part)
+    return spark.read.parquet(parquet_path)

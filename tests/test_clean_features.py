@@ -141,3 +141,9 @@ def test_encode_then_decode_is_identity(spark):
     bad = dec.where((F.col("OP_CARRIER") != F.col("OP_CARRIER_DECODED")) |
                     (F.col("ORIGIN") != F.col("ORIGIN_DECODED")) | (F.col("DEST") != F.col("DEST_DECODED")))
     assert bad.count() == 0 and dec.count() == enc.count()
+
+
+def test_typed_input_nan_and_inf_excluded(spark):
+    df = spark.createDataFrame([(float("nan"),), (float("inf"),), (-float("inf"),), (10.0,), (None,), (700.0,)],
+                               "ARR_DELAY double")
+    assert [r["ARR_DELAY"] for r in C.clean(df).collect()] == [10.0]

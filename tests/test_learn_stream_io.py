@@ -116,3 +116,23 @@ def test_stream_equals_batch(spark):
     out = ST.run_available(ST.score_requests_stream(ST.read_stream(spark, src, req.schema), d, rule=rule),
                            sink, ckpt)
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_log_csv_and_normalised_flights(spark):
+    root = work_dir(spark, "io2")
+    log = spark.createDataFrame([("2024-01-02T10:00:00.123456", "AA", "JFK", "LAX", "2475.0", "Delayed", "0.81"),
+                                 ("bad", "DL", "ATL", "ORD", "718", "On Time", "x")],
+                                "timestamp string, airline string, origin string, destination string, "
+                                "distance string, prediction string, probability string")
+    io.save_csv(log, root + "/log.csv")
+    back = io.read_inference_log_csv(spark, root + "/log.csv").orderBy("airline").collect()
+    assert back[0]["timestamp"] is not None and back[0]["probability"] == 0.81
+    assert back[1]["timestamp"] is None and back[1]["probability"] is None
+    assert io.read_inference_log_csv(spark, root + "/absent").count() == 0
+
+    io.save_csv(synthetic.generate(spark, 200, seed=3), root + "/flights")
+    typed = io.normalise_flights(spark, root + "/flights", root + "/flights_pq")
+    cleaned = C.clean(typed)
+    plan = cleaned._jdf.queryExecution().executedPlan().toString()
+    assert "ARR_DELAY" in plan.split("PushedFilters")[1].split("]")[0]
+    assert cleaned.count() == C.clean(synthetic.generate(spark, 200, seed=3)).count()
