@@ -51,6 +51,10 @@ def test_end_to_end(spark):
     assert log.count() == 60
     assert log.where(F.col("origin") == "JFK").count() == 60
 
+    dq = P.start_drift_stream(spark, root + "/log", root + "/drift", root + "/drift_ckpt", trigger_seconds=None)
+    dq.awaitTermination(300)
+    assert dq.exception() is None  # one hour of log: no window closed yet
+
     rep = P.monitoring_run(spark, root + "/log", "2024-01-31 00:00:00", root + "/report")
     d = {r["metric"]: r for r in rep.collect()}
     assert d["total_predictions"]["value"] == 60.0
