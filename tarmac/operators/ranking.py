@@ -136,25 +136,37 @@ def global_row_number(df: DataFrame, key: Column, tie: Column, out_col: str = "r
     """1-based position of each row in the order (key, tie), plus ``start - 1``.
 
     ``key`` is numeric; ``tie`` is numeric and unique. A key value holding
-    more than one bucket's worth of rows is split by ``tie``."""
+    more than one bucket's worth of rows is split by ``tie`` into buckets
+    sized like the others."""
     n = df.count() if n_rows is None else n_rows
     B = bucket_count(n)
     base = df.withColumn("_k", key.cast("double")).withColumn("_t", tie.cast("double"))
-    splits, heavy = _splits(_quantiles(base, "_k", B))
+    raw = _quantiles(base, "_k", B)
+    splits, heavy = _splits(raw)
     base = with_range_bucket(base, "_k", "_b1", splits)
     if heavy:
+        # rows of the heavy values, estimated from the quantiles they span
+        hot_rows = sum(raw.count(v) for v in heavy) * n / B
         hot = base.where(F.col("_k").isin(heavy))
-        tsplits, _ = _splits(_quantiles(hot, "_t", B))
+        tsplits, _ = _splits(_quantiles(hot, "_t", bucket_count(int(hot_rows))))
         base = with_range_bucket(base, "_t", "_b2", tsplits, only_if=F.col("_k").isin(heavy))
     else:
         base = base.withColumn("_b2", F.lit(0))
     totals = base.groupBy("_b1", "_b2").agg(F.count(F.lit(1)).alias("_n"))
-    # bounded: at most B * (B + 1) rows
-    offs = F.broadcast(_offsets(totals, ["_b1", "_b2"], ["_n"]))
+    # level 1: per range bucket (at most ~2B rows), offsets in one small window
+    t1 = totals.groupBy("_b1").agg(F.sum("_n").alias("_n1"))
+    off1 = F.broadcast(_offsets(t1, ["_b1"], ["_n1"]))
+    # level 2: tie buckets within a range bucket (only heavy values have
+    # several), a window partitioned by the range bucket
+    w2 = Window.partitionBy("_b1").orderBy("_b2").rowsBetween(Window.unboundedPreceding, -1)
+    off2 = totals.select("_b1", "_b2", F.coalesce(F.sum("_n").over(w2), F.lit(0)).alias("_off2"))
+    offs = off2.join(off1, "_b1").select("_b1", "_b2", (F.col("_off__n1") + F.col("_off2")).alias("_off"))
+    # joined on the window's own partition keys: no extra shuffle of the rows,
+    # and AQE broadcasts the offsets when their measured size is small
     w = Window.partitionBy("_b1", "_b2").orderBy("_k", "_t")
     out = base.join(offs, ["_b1", "_b2"], "left")
-    out = out.withColumn(out_col, (F.row_number().over(w) + F.col("_off__n") + F.lit(start - 1)).cast("bigint"))
-    return out.drop("_k", "_t", "_b1", "_b2", "_off__n")
+    out = out.withColumn(out_col, (F.row_number().over(w) + F.col("_off") + F.lit(start - 1)).cast("bigint"))
+    return out.drop("_k", "_t", "_b1", "_b2", "_off")
 
 
 def first_n_per_group(df: DataFrame, group_col: str, hash_col: str, quota_col: str,
