@@ -85,8 +85,12 @@ def stream_log_dedup(spark, sf):
     src, sink, ckpt = ST.fresh_paths(spark, "stream-log")
     log = tables.inference_log(spark, sf)
     ST.stage_as_files(log, src, copies=2)
-    stream = ST.read_stream(spark, src, log.schema)
-    out = ST.run_available(ST.dedup_log_stream(stream), sink, ckpt)
+    stream = ST.read_stream(spark, src, log.schema, max_files=1)  # copies arrive in separate batches
+    q = ST.append_log_stream(stream, sink, ckpt)
+    q.awaitTermination(600)
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    out = spark.read.parquet(sink).drop("log_date")
     return out.withColumn("timestamp", F.col("timestamp").cast("string"))
 
 

@@ -59,6 +59,36 @@ def dedup_log_stream(log: DataFrame, key: str = "flight_id", ts_col: str = "time
     return s.dropDuplicatesWithinWatermark([key])
 
 
+def append_log_stream(log: DataFrame, sink: str, checkpoint: str, key: str = "flight_id",
+                      ts_col: str = "timestamp", horizon: str = "1 hour", available_now: bool = True,
+                      trigger_seconds: int = 10):
+    """T3, skew-proof: every micro-batch is de-duplicated as a batch
+    (``dropDuplicates`` combines map-side, so a key re-delivered millions of
+    times is reduced before the shuffle), then anti-joined with the keys
+    already in the log from ``horizon`` before the batch's first timestamp
+    (a date-pruned read), then appended. A batch commits atomically, so a
+    replayed batch finds its own rows and writes nothing twice."""
+    spark = log.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn(ts_col, F.col(ts_col).cast("timestamp")).dropDuplicates([key])
+        from tarmac.sources.io import path_exists
+        if path_exists(spark, sink):
+            first = rows.agg(F.min(ts_col)).first()[0]  # one row
+            if first is None:
+                return
+            lo = F.lit(first) - F.expr(f"INTERVAL {horizon}")
+            seen = (spark.read.parquet(sink)
+                    .where((F.col("log_date") >= F.to_date(lo)) & (F.col(ts_col) >= lo))
+                    .select(key))
+            rows = rows.join(seen, key, "left_anti")
+        rows.withColumn("log_date", F.to_date(ts_col)).write.mode("append").partitionBy("log_date").parquet(sink)
+
+    w = log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{trigger_seconds} seconds")
+    return w.start()
+
+
 def drift_windows(log: DataFrame, window_days: int = DRIFT_WINDOW_DAYS, slide_days: int = 1,
                   delay: str = "1 day", baseline: float = DRIFT_BASELINE,
                   threshold: float = DRIFT_THRESHOLD, min_rows: int = DRIFT_MIN_ROWS,

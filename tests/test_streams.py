@@ -60,3 +60,18 @@ def test_auc_with_a_hot_score(spark):
     assert abs(M.roc_auc(df).first()["roc_auc"] - s / (len(pos) * len(neg))) < 1e-12
     pts = M.roc_points(df).where(F.col("threshold") == 0.5).collect()
     assert len(pts) == 1
+
+
+def test_append_log_hot_duplicate_key(spark):
+    src, sink, ckpt = ST.fresh_paths(spark, "t-append")
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i % 50 if i % 3 else 7, base + dt.timedelta(minutes=i % 50 if i % 3 else 7), "AA", "JFK", "LAX", 1.0,
+             "Delayed", 0.7) for i in range(3000)]  # key 7 holds a third of the rows
+    schema = "flight_id long, " + INFERENCE_LOG_SCHEMA.simpleString()[len("struct<"):-1].replace(":", " ")
+    df = spark.createDataFrame(rows, schema)
+    ST.stage_as_files(df.repartition(3), src, copies=2)
+    q = ST.append_log_stream(ST.read_stream(spark, src, df.schema, max_files=2), sink, ckpt)
+    q.awaitTermination(300)
+    assert q.exception() is None
+    out = spark.read.parquet(sink)
+    assert out.count() == 50 and out.select("flight_id").distinct().count() == 50
