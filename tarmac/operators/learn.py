@@ -188,7 +188,7 @@ def train_all(spark: SparkSession, labelled: DataFrame, presets: Presets = Prese
     sizes = split_stats(split, "label").first()
     n_train = int(sizes["train_size"])
     prep = scaler_pipeline().fit(split.where(F.col("split") == "train"))
-    # iterative fits run ~10 jobs per boosting round: size the persisted
+    # iterative fits run ~7 jobs per boosting round: size the persisted
     # vectors by rows (>= the cluster's parallelism), not by upstream shuffles
     parts = max(spark.sparkContext.defaultParallelism,
                 math.ceil((n_train + int(sizes["test_size"])) / ROWS_PER_TRAIN_PARTITION))
