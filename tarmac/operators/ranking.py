@@ -101,8 +101,8 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: list[str], descending:
                 partition: list[str] = ()) -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over all rows up to and including this
     one, in the order of ``order_col`` (unique per row and partition,
-    non-null), separately per ``partition`` group (few groups). With
-    ``index_col`` also the 1-based position."""
+    non-null), separately per ``partition`` group. With ``index_col`` also
+    the 1-based position."""
     partition = list(partition)
     n = df.count() if n_rows is None else n_rows
     B = bucket_count(n)
@@ -114,10 +114,14 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: list[str], descending:
     if index_col:
         base = base.withColumn("_one", F.lit(1).cast("bigint"))
     totals = base.groupBy(*partition, "_b").agg(*[F.sum(c).alias(c) for c in cols])
-    # bounded: one row per bucket and group
+    # one row per bucket and group; with groups the offsets window runs per
+    # group, and the join below is on the final window's own keys, so it adds
+    # no shuffle of the rows (AQE broadcasts the offsets when measured small)
     offs = _offsets(totals, ["_b"], cols, partition)
     ren = {c: f"_o_{c}" for c in [*partition, "_b"]}
-    offs = F.broadcast(offs.withColumnsRenamed(ren))
+    offs = offs.withColumnsRenamed(ren)
+    if not partition:
+        offs = F.broadcast(offs)  # bounded: one row per bucket
     cond = None
     for c, o in ren.items():  # null-safe: a NULL group keeps its rows
         e = F.col(c).eqNullSafe(F.col(o))
