@@ -57,7 +57,8 @@ def stratified_split(df: DataFrame, label_col: str, id_col: str, test_fraction:
         cond = F.col(label_col).isNull() if k is None else (F.col(label_col) == F.lit(k))
         quota = F.when(cond, q) if quota is None else quota.when(cond, q)
     base = df.withColumn("_h", split_hash(id_col, seed)).withColumn("_q", quota if quota is not None else F.lit(0))
-    marked = first_n_per_group(base, label_col, "_h", "_q", "_test", n_rows=sum(counts.values()))
+    marked = first_n_per_group(base, label_col, "_h", "_q", "_test", n_rows=sum(counts.values()),
+                               n_groups=len(counts))
     return marked.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_h", "_q", "_test")
 
 

@@ -173,14 +173,20 @@ def global_row_number(df: DataFrame, key: Column, tie: Column, out_col: str = "r
     return out.drop("_k", "_t", "_b1", "_b2", "_off")
 
 
+# Offsets tables up to this many rows are broadcast by hint.
+OFFSETS_BROADCAST_MAX_ROWS = 200_000
+
+
 def first_n_per_group(df: DataFrame, group_col: str, hash_col: str, quota_col: str,
-                      out_col: str, n_rows: int | None = None) -> DataFrame:
+                      out_col: str, n_rows: int | None = None, n_groups: int | None = None) -> DataFrame:
     """``out_col`` = this row is among the first ``quota`` rows of its group in
     the order of ``hash_col`` (lower-case hex of a uniform hash, unique).
 
     Buckets are hash prefixes (uniform by construction). Whole buckets before
     a group's boundary bucket are in, after it out; only the rows of the one
-    boundary bucket per group are ranked, so only they are shuffled."""
+    boundary bucket per group are ranked, so only they are shuffled. The
+    offsets (groups x buckets) are broadcast when ``n_groups`` proves them
+    small."""
     n = df.count() if n_rows is None else n_rows
     # at most 16^4 buckets per group keeps the broadcast offsets small
     digits = max(1, min(4, math.ceil(math.log(max(2, n / 200_000), 16))))
@@ -190,7 +196,10 @@ def first_n_per_group(df: DataFrame, group_col: str, hash_col: str, quota_col: s
     # bounded: groups x 16^digits rows
     offs = totals.select(group_col, "_p", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"),
                          "_n")
-    offs = F.broadcast(offs.withColumnRenamed(group_col, "_g").withColumnRenamed("_p", "_pp"))
+    offs = offs.withColumnRenamed(group_col, "_g").withColumnRenamed("_p", "_pp")
+    if n_groups is not None and n_groups * 16 ** digits <= OFFSETS_BROADCAST_MAX_ROWS:
+        offs = F.broadcast(offs)  # size proven by the group count
+    # else: a join AQE plans from the measured size of the offsets
     # null-safe on the group: rows of a NULL group are kept and ranked too
     joined = base.join(offs, F.col(group_col).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_pp")),
                        "left").drop("_g", "_pp")
