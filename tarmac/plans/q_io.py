@@ -81,7 +81,8 @@ def stream_score(spark, sf):
 
 @register("stream_log_dedup", operators=("T3", "S5", "S6"), oracle=QUERIES["log_projection"].oracle)
 def stream_log_dedup(spark, sf):
-    """Every log row delivered twice; the stream keeps each prediction once."""
+    """Every log row delivered twice, in separate micro-batches; the
+    exactly-once append keeps each prediction once."""
     src, sink, ckpt = ST.fresh_paths(spark, "stream-log")
     log = tables.inference_log(spark, sf)
     ST.stage_as_files(log, src, copies=2)
