@@ -4,7 +4,7 @@ a top-k) over the log; the log is read once per report."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions.scalar import percent_text
@@ -66,11 +66,12 @@ def recent_rows(log: DataFrame, limit: int = 100, ts_col: str = "timestamp",
     """The last ``limit`` rows by (timestamp, key), each with the count and
     delay rate of those rows (a top-k: per-partition top-k, then merge)."""
     last = log.orderBy(F.desc(ts_col), F.desc(key_col)).limit(limit)
-    summary = last.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.coalesce(F.avg((F.col("prediction") == F.lit(DELAYED)).cast("double")), F.lit(0.0)).alias("window_delay_rate"),
-    )
-    return last.crossJoin(F.broadcast(summary))  # summary: one row
+    w = Window.partitionBy()  # bounded: the ``limit`` rows of the top-k
+    delayed = (F.col("prediction") == F.lit(DELAYED)).cast("double")
+    return last.withColumns({
+        "total": F.count(F.lit(1)).over(w),
+        "window_delay_rate": F.coalesce(F.avg(delayed).over(w), F.lit(0.0)),
+    })
 
 
 def session_sequence(log: DataFrame, ts_col: str = "timestamp", key_col: str = "flight_id") -> DataFrame:
