@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarmac.schema import DAY_NAMES, MONTH_NAMES
 
+# Fixed values of the data model.
 # Distance bucket edges: (0,250] -> 0, (250,500] -> 1, ..., (2000,6000] -> 5.
 # Anything else (<= 0, > 6000, missing) falls in the default bucket 2.
 DISTANCE_EDGES = [0, 250, 500, 1000, 1500, 2000, 6000]
@@ -15,10 +16,6 @@ DISTANCE_DEFAULT_BUCKET = 2
 # Rush hours, both ends inclusive.
 PEAK_HOURS = [(6, 9), (16, 20)]
 
-# Month -> season: winter 0, spring 1, summer 2, autumn 3.
-SEASON_OF_MONTH = {12: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: 2, 7: 2, 8: 2,
-                   9: 3, 10: 3, 11: 3}
-
 
 def distance_bucket(distance: Column) -> Column:
     """Right-closed intervals (pandas ``cut``); not ``Bucketizer``, which is
@@ -44,10 +41,10 @@ def is_peak_hour(hour: Column) -> Column:
 
 
 def season(month: Column) -> Column:
-    expr = None
-    for m, s in sorted(SEASON_OF_MONTH.items()):
-        expr = F.when(month == m, F.lit(s)) if expr is None else expr.when(month == m, F.lit(s))
-    return expr.otherwise(F.lit(0))
+    """Winter 0 (December to February), spring 1, summer 2, autumn 3; winter
+    for anything that is no month."""
+    quarter = F.floor(month % 12 / F.lit(3)).cast("int")
+    return F.when(month.between(1, 12), quarter).otherwise(F.lit(0))
 
 
 def hour_from_dep_time(dep_time: Column) -> Column:
@@ -67,11 +64,11 @@ def iso_weekday(date: Column) -> Column:
 
 
 def day_name(day: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(n) for n in DAY_NAMES]), day)
+    return F.when(day.between(1, 7), F.element_at(F.array(*[F.lit(n) for n in DAY_NAMES]), day))
 
 
 def month_name(month: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(n) for n in MONTH_NAMES]), month)
+    return F.when(month.between(1, 12), F.element_at(F.array(*[F.lit(n) for n in MONTH_NAMES]), month))
 
 
 def day_number(name: Column) -> Column:

@@ -11,14 +11,14 @@ from tarmac.functions.scalar import distance_bucket, is_peak_hour, is_weekend, s
 from tarmac.operators.lookup import BROADCAST_MAX_ROWS, lookup_join
 from tarmac.schema import (ALL_FEATURES, ENCODED_COLUMNS, FALLBACK_AIRLINES,
                            FALLBACK_AIRPORTS, MISSING_CATEGORY)
+from tarmac.session import work_dir
 
 # Integer-valued features (the rest are doubles).
 INT_FEATURES = {"HOUR", "DAY_OF_WEEK", "MONTH", "DIST_BUCKET", "IS_WEEKEND",
                 "IS_PEAK_HOUR", "SEASON", "AIRLINE_ENC", "ORIGIN_ENC", "DEST_ENC"}
 
-# A category column with more distinct values than this is not a category;
-# fitting fails loudly instead of building an unbounded dictionary.
-MAX_CLASSES = 1_000_000
+# Leading characters that group dictionary values for the ranking.
+HEAD_CHARS = 4
 
 
 def engineer(df: DataFrame) -> DataFrame:
@@ -58,11 +58,15 @@ class Dictionary:
         return self.for_column(name).orderBy("value").select("value")
 
 
-def fit_dictionary(df: DataFrame, max_classes: int = MAX_CLASSES) -> Dictionary:
-    """Distinct values of OP_CARRIER / ORIGIN / DEST -> codes 0..n-1.
+def fit_dictionary(df: DataFrame) -> Dictionary:
+    """Distinct values of OP_CARRIER / ORIGIN / DEST -> codes 0..n-1, for any
+    number of values.
 
     Distinct runs with map-side partial aggregation, so a hot category costs
-    nothing extra; the ranking window runs over the distinct values only."""
+    nothing extra. The values of a column are ranked in two levels: counts per
+    first characters, an offset from the preceding ones, and a window among
+    the values that share them; so a column with very many values is not
+    sorted by one task."""
     present = [c for c, _ in ENCODED_COLUMNS if c in df.columns]
     spark = df.sparkSession
     if not present:
@@ -73,14 +77,18 @@ def fit_dictionary(df: DataFrame, max_classes: int = MAX_CLASSES) -> Dictionary:
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), category_text(F.col(c)).alias("value"))
                       for c in present])
     distinct = df.select(F.explode(pairs).alias("kv")).select("kv.column_name", "kv.value").distinct()
-    w = Window.partitionBy("column_name").orderBy("value")
-    table = distinct.withColumn("code", (F.row_number().over(w) - 1).cast("int")).cache()
-    counts = {r["column_name"]: r["n"] for r in table.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
-    too_big = {c: n for c, n in counts.items() if n > max_classes}
-    if too_big:
-        table.unpersist()
-        raise ValueError(f"category columns exceed {max_classes} classes: {too_big}")
-    return Dictionary(table, int(sum(counts.values())), tuple(present))
+    # the stored values are read by the ranking, the lookups and the caller: written once
+    distinct = distinct.withColumn("head", F.substring("value", 1, HEAD_CHARS))
+    path = work_dir(spark, "dictionary")
+    distinct.write.parquet(path)
+    distinct = spark.read.parquet(path)
+    heads = distinct.groupBy("column_name", "head").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("column_name").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select("column_name", "head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("column_name", "head").orderBy("value")
+    table = (distinct.withColumn("pos", F.row_number().over(inside)).join(heads, ["column_name", "head"])
+             .select("column_name", "value", (F.col("offset") + F.col("pos") - 1).cast("int").alias("code")))
+    return Dictionary(table, distinct.count(), tuple(present))
 
 
 def encode(df: DataFrame, dictionary: Dictionary | None,
@@ -124,14 +132,6 @@ def feature_columns(df: DataFrame, keep=()) -> DataFrame:
     return df.select(*sel)
 
 
-def assemble(df: DataFrame, output_col: str = "features", keep=("is_delayed",)) -> DataFrame:
-    """Feature vector for Spark ML over the complete rows."""
-    from pyspark.ml.feature import VectorAssembler
-    feats = feature_columns(df, keep=keep).where(complete_rows_expr())
-    return VectorAssembler(inputCols=ALL_FEATURES, outputCol=output_col,
-                           handleInvalid="error").transform(feats)
-
-
 def complete_rows_expr():
     """Predicate: every feature known (MONTH is NULL for a bad date)."""
     cond = None
@@ -205,6 +205,6 @@ def save_dictionary(dictionary: Dictionary, path: str) -> str:
 
 
 def load_dictionary(spark: SparkSession, path: str) -> Dictionary:
-    table = spark.read.parquet(path).cache()
+    table = spark.read.parquet(path)
     cols = tuple(sorted({r[0] for r in table.select("column_name").distinct().collect()}))  # <= 3 rows
     return Dictionary(table, table.count(), cols)

@@ -14,14 +14,18 @@ from tarmac.schema import (DELAYED, DRIFT_BASELINE, DRIFT_MIN_ROWS, DRIFT_THRESH
 HIST_BINS = 30
 
 
+def _delayed() -> Column:
+    """Is the prediction 'Delayed'; a missing prediction is not."""
+    return F.coalesce(F.col("prediction") == F.lit(DELAYED), F.lit(False))
+
+
 def prediction_stats(log: DataFrame) -> DataFrame:
     """count, share 'Delayed' (a missing prediction counts as not delayed),
     mean probability, count of probability > 0.7, first and last timestamp.
     No rows for an empty log."""
-    delayed = F.coalesce(F.col("prediction") == F.lit(DELAYED), F.lit(False))
     agg = log.agg(
         F.count(F.lit(1)).alias("total_predictions"),
-        F.avg(delayed.cast("double")).alias("delay_rate"),
+        F.avg(_delayed().cast("double")).alias("delay_rate"),
         F.avg("probability").alias("avg_probability"),
         F.count(F.when(F.col("probability") > F.lit(HIGH_RISK_PROBABILITY), 1)).alias("high_risk_count"),
         F.min("timestamp").alias("start"),
@@ -67,7 +71,7 @@ def recent_rows(log: DataFrame, limit: int = 100, ts_col: str = "timestamp",
     delay rate of those rows (a top-k: per-partition top-k, then merge)."""
     last = log.orderBy(F.desc(ts_col), F.desc(key_col)).limit(limit)
     w = Window.partitionBy()  # bounded: the ``limit`` rows of the top-k
-    delayed = (F.col("prediction") == F.lit(DELAYED)).cast("double")
+    delayed = _delayed().cast("double")
     return last.withColumns({
         "total": F.count(F.lit(1)).over(w),
         "window_delay_rate": F.coalesce(F.avg(delayed).over(w), F.lit(0.0)),
@@ -81,10 +85,10 @@ def session_sequence(log: DataFrame, ts_col: str = "timestamp", key_col: str = "
     from tarmac.operators.ranking import global_row_number
     key = F.unix_micros(F.col(ts_col).cast("timestamp"))
     seq = global_row_number(log, key, F.col(key_col), "seq")
-    d = (F.col("prediction") == F.lit(DELAYED)).cast("int")
+    d = _delayed().cast("int")
     out = seq.select(key_col, "seq", percent_value(percent_text(F.col("probability"))).alias("probability_shown"),
                      d.alias("is_delayed"), F.lit(0.5).alias("threshold"))
-    rate = log.agg(F.avg((F.col("prediction") == F.lit(DELAYED)).cast("double")).alias("session_delay_rate"))
+    rate = log.agg(F.avg(_delayed().cast("double")).alias("session_delay_rate"))
     return out.crossJoin(F.broadcast(rate))  # rate: one row
 
 
@@ -159,7 +163,7 @@ def monitoring_report(log: DataFrame, as_of, baseline: float = DRIFT_BASELINE,
     recent = _recent_pred(log, as_of, window_days, ts_col)
     row = log.agg(
         F.count(F.lit(1)).alias("total_predictions"),
-        F.avg(F.coalesce(F.col("prediction") == F.lit(DELAYED), F.lit(False)).cast("double")).alias("delay_rate"),
+        F.avg(_delayed().cast("double")).alias("delay_rate"),
         F.avg("probability").alias("avg_probability"),
         F.count(F.when(F.col("probability") > F.lit(HIGH_RISK_PROBABILITY), 1)).alias("high_risk_count"),
         F.count(F.when(recent, 1)).alias("recent_predictions"),
@@ -168,7 +172,6 @@ def monitoring_report(log: DataFrame, as_of, baseline: float = DRIFT_BASELINE,
     row = row.select("total_predictions", "delay_rate", "avg_probability", "high_risk_count",
                      *_drift_columns(baseline, window_days, threshold, min_rows))
     z = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    r6 = lambda c: F.round(z(c), 6)
     three = lambda c: F.format_string("%.3f", F.round(z(c), 3))
 
     def item(section, metric, value, text):
@@ -177,16 +180,16 @@ def monitoring_report(log: DataFrame, as_of, baseline: float = DRIFT_BASELINE,
 
     none = F.lit(None)
     items = F.array(
-        item("PREDICTION STATS", "total_predictions", r6("total_predictions"),
+        item("PREDICTION STATS", "total_predictions", z("total_predictions"),
              F.col("total_predictions").cast("string")),
-        item("PREDICTION STATS", "delay_rate", r6("delay_rate"), percent_text(z("delay_rate"))),
-        item("PREDICTION STATS", "avg_probability", r6("avg_probability"), three("avg_probability")),
-        item("PREDICTION STATS", "high_risk_count", r6("high_risk_count"),
+        item("PREDICTION STATS", "delay_rate", z("delay_rate"), percent_text(z("delay_rate"))),
+        item("PREDICTION STATS", "avg_probability", z("avg_probability"), three("avg_probability")),
+        item("PREDICTION STATS", "high_risk_count", z("high_risk_count"),
              F.col("high_risk_count").cast("string")),
         item("DRIFT ANALYSIS", "status", none, F.coalesce(F.col("alert"), F.lit("N/A"))),
-        item("DRIFT ANALYSIS", "baseline_rate", r6("baseline_delay_rate"), percent_text(z("baseline_delay_rate"))),
-        item("DRIFT ANALYSIS", "recent_rate", r6("recent_delay_rate"), percent_text(z("recent_delay_rate"))),
-        item("DRIFT ANALYSIS", "drift", r6("drift_magnitude"), percent_text(z("drift_magnitude"))),
+        item("DRIFT ANALYSIS", "baseline_rate", z("baseline_delay_rate"), percent_text(z("baseline_delay_rate"))),
+        item("DRIFT ANALYSIS", "recent_rate", z("recent_delay_rate"), percent_text(z("recent_delay_rate"))),
+        item("DRIFT ANALYSIS", "drift", z("drift_magnitude"), percent_text(z("drift_magnitude"))),
         item("DRIFT ANALYSIS", "recommendation", none, F.coalesce(F.col("recommendation"), F.lit("N/A"))),
         item("REPORT", "generated", none, F.lit(str(as_of))),
     )

@@ -1,83 +1,88 @@
 """Scoring-request validation and normalisation.
 
-A request table is validated row by row: normalised codes, defaults, and a
-``reject_reason`` listing every failed rule ('' when valid). Bad rows are
-kept apart instead of failing the whole batch.
+A request table is checked row by row: normalised codes, defaults for absent
+optional values, and a ``reject_reason`` listing every failed rule ('' when
+valid). Bad rows are kept apart instead of failing the whole batch.
+
+Only an absent or empty optional value takes its default. A value that is
+there but is no finite number (NaN, infinity, other text) rejects its row.
+Whole-number fields drop their fraction.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tarmac.functions.coerce import to_double, to_int
+from tarmac.functions.coerce import na_text_to_null, to_double
 from tarmac.functions.scalar import strip_upper
 
-# Field -> (required, low, high); None = no range rule.
-REQUEST_RULES = [
-    ("airline", True, None, None),
-    ("origin", True, None, None),
-    ("destination", True, None, None),
-    ("distance", True, None, None),
-    ("day_of_week", True, 1, 7),
-    ("month", True, 1, 12),
-    ("hour", False, 0, 23),
-]
+TEXT_FIELDS = ("airline", "origin", "destination")
+# Field -> (required, whole number, low, high); None = no range rule.
+NUMBER_FIELDS = {
+    "distance": (True, False, None, None),
+    "day_of_week": (True, True, 1, 7),
+    "month": (True, True, 1, 12),
+    "hour": (False, True, 0, 23),
+    "departure_delay": (False, False, None, None),
+}
 DEFAULTS = {"departure_delay": 0.0, "hour": 12}
+REQUIRED = (*TEXT_FIELDS, *(f for f, rule in NUMBER_FIELDS.items() if rule[0]))
+MAX_INT = 2147483647.0
 
 
-def validate_requests(req: DataFrame) -> DataFrame:
-    """Normalise and validate; adds ``reject_reason`` and ``is_valid``."""
-    reasons = []
-    for field, required, lo, hi in REQUEST_RULES:
+def _present(c: Column, dtype: T.DataType) -> Column:
+    """A value was given (an empty or missing-marker text was not)."""
+    if isinstance(dtype, T.StringType):
+        text = na_text_to_null(F.trim(c))
+        return text.isNotNull()
+    return c.isNotNull()
+
+
+def _number(c: Column, dtype: T.DataType, whole: bool) -> Column:
+    """Finite number, fraction dropped if ``whole``; anything else NULL."""
+    d = to_double(c, dtype)
+    d = F.when(F.abs(d) < F.lit(float("inf")), d)
+    return F.when(F.abs(d) <= F.lit(MAX_INT), d.cast("int")) if whole else d
+
+
+def _checked(req: DataFrame, ranges: bool, codes) -> DataFrame:
+    types = {f.name: f.dataType for f in req.schema.fields}
+    numbers, reasons = {}, [F.when(F.col(c).isNull(), F.lit(f"{c}: missing")) for c in TEXT_FIELDS]
+    for field, (required, whole, low, high) in NUMBER_FIELDS.items():
+        if field not in types:
+            numbers[field] = F.lit(DEFAULTS[field])
+            continue
         c = F.col(field)
-        r = None
+        value, given = _number(c, types[field], whole), _present(c, types[field])
+        bad = F.when(given & value.isNull(), F.lit(f"{field}: not a number"))
         if required:
-            r = F.when(c.isNull(), F.lit(f"{field}: missing"))
-        if lo is not None:
-            rng = F.when(c.isNotNull() & ~c.between(lo, hi), F.lit(f"{field}: out of range"))
-            r = rng if r is None else F.coalesce(r, rng)
-        reasons.append(r)
-    reason = F.concat_ws(";", *reasons)
-    other = [c for c in req.columns if c not in
-             {"airline", "origin", "destination", "departure_delay", "hour"}]
+            bad = F.when(~given, F.lit(f"{field}: missing")).otherwise(bad)
+        if ranges and low is not None:
+            bad = F.coalesce(bad, F.when(~value.between(low, high), F.lit(f"{field}: out of range")))
+        reasons.append(bad)
+        numbers[field] = F.coalesce(value, F.lit(DEFAULTS[field])) if field in DEFAULTS else value
+    known = {*TEXT_FIELDS, *NUMBER_FIELDS}
     return req.select(
-        *other,
-        strip_upper(F.col("airline")).alias("airline"),
-        strip_upper(F.col("origin")).alias("origin"),
-        strip_upper(F.col("destination")).alias("destination"),
-        F.coalesce(F.col("departure_delay").cast("double"), F.lit(DEFAULTS["departure_delay"])).alias("departure_delay"),
-        F.coalesce(F.col("hour").cast("int"), F.lit(DEFAULTS["hour"])).alias("hour"),
-        reason.alias("reject_reason"),
+        *[c for c in req.columns if c not in known],
+        *[codes(F.col(c)).alias(c) for c in TEXT_FIELDS],
+        *[v.cast("int" if NUMBER_FIELDS[f][1] else "double").alias(f) for f, v in numbers.items()],
+        F.concat_ws(";", *reasons).alias("reject_reason"),
     ).withColumn("is_valid", F.col("reject_reason") == F.lit(""))
 
 
+def validate_requests(req: DataFrame) -> DataFrame:
+    """Normalise and validate; adds ``reject_reason`` and ``is_valid``."""
+    return _checked(req, True, strip_upper)
+
+
 def batch_requests(raw: DataFrame) -> DataFrame:
     """Batch upload (all text columns): required airline, origin, destination,
     distance, day_of_week, month; absent departure_delay -> 0, absent hour -> 12;
-    codes upper-cased; numbers coerced. A required value that is missing or not
-    a number rejects only its own row."""
-    required = ["airline", "origin", "destination", "distance", "day_of_week", "month"]
-    missing = [c for c in required if c not in raw.columns]
+    codes upper-cased; numbers coerced. A required value that is missing, or any
+    value that is no number, rejects only its own row."""
+    missing = [c for c in REQUIRED if c not in raw.columns]
     if missing:
-        raise ValueError(f"Missing columns: {missing}. Required: {required}")
-    types = {f.name: f.dataType for f in raw.schema.fields}
-    cols = set(raw.columns)
-    num = lambda c: to_double(F.col(c), types[c])
-    whole = lambda c: to_int(F.col(c), types[c])
-    dep = F.coalesce(num("departure_delay"), F.lit(0.0)) if "departure_delay" in cols else F.lit(0.0)
-    hour = F.coalesce(whole("hour"), F.lit(12)) if "hour" in cols else F.lit(12)
-    other = [c for c in raw.columns if c not in set(required) | {"departure_delay", "hour"}]
-    out = raw.select(
-        *other,
-        F.upper(F.col("airline").cast("string")).alias("airline"),
-        F.upper(F.col("origin").cast("string")).alias("origin"),
-        F.upper(F.col("destination").cast("string")).alias("destination"),
-        dep.alias("departure_delay"),
-        num("distance").alias("distance"),
-        whole("day_of_week").alias("day_of_week"),
-        whole("month").alias("month"),
-        hour.cast("int").alias("hour"),
-    )
-    reason = F.concat_ws(";", *[F.when(F.col(c).isNull(), F.lit(f"{c}: missing")) for c in required])
-    return out.withColumn("reject_reason", reason).withColumn("is_valid", F.col("reject_reason") == F.lit(""))
+        raise ValueError(f"upload lacks required columns {missing}")
+    return _checked(raw, False, lambda c: F.upper(c.cast("string")))

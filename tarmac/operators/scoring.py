@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.functions.bands import confidence, decision, risk_advice, risk_level
-from tarmac.functions.scalar import route
+from tarmac.functions.scalar import percent_text, route
 from tarmac.operators.features import Dictionary, feature_columns, score_features
 from tarmac.operators.ranking import global_row_number
 from tarmac.schema import DELAYED, ON_TIME
@@ -37,7 +37,8 @@ def inference_ids(df: DataFrame, ts_col: str, key_col: str, start: int = 1,
 
 
 def respond(df: DataFrame, prob_col: str, model_name: str, timestamp: str | Column,
-            ts_col: str | None = None, key_col: str | None = None, id_start: int = 1) -> DataFrame:
+            ts_col: str | None = None, key_col: str | None = None, id_start: int = 1,
+            risk_scheme: str = "A") -> DataFrame:
     """Response rows: prediction, delay_probability (4 places), confidence,
     risk_level, model_name, inference_id, timestamp. The timestamp is an
     argument so runs are repeatable."""
@@ -46,7 +47,7 @@ def respond(df: DataFrame, prob_col: str, model_name: str, timestamp: str | Colu
         "prediction": decision(p),
         "delay_probability": F.round(p, 4),
         "confidence": confidence(p),
-        "risk_level": risk_level(p, "A"),
+        "risk_level": risk_level(p, risk_scheme),
         "model_name": F.lit(model_name),
         "response_ts": timestamp if isinstance(timestamp, Column) else F.lit(timestamp),
     })
@@ -65,10 +66,12 @@ def log_rows(resp: DataFrame, ts_col: str = "response_ts", keep=()) -> DataFrame
 
 
 def batch_score(valid_requests: DataFrame, dictionary: Dictionary | None, model=None,
-                rule=None, keep=("flight_id",)) -> DataFrame:
+                rule=None, keep=("flight_id",), risk_scheme: str = "A", percent: bool = False) -> DataFrame:
     """Validated request rows in -> airline, route, prediction, probability,
     risk; one output row per input row. ``model`` is a fitted PipelineModel;
-    ``rule`` a Column function of the feature row (model-free score)."""
+    ``rule`` a Column function of the feature row (model-free score);
+    ``risk_scheme`` is A, B or two-way; ``percent`` writes the probability as
+    percent text."""
     feats = score_features(valid_requests, dictionary)
     if model is not None:
         from tarmac.operators.learn import score
@@ -82,8 +85,8 @@ def batch_score(valid_requests: DataFrame, dictionary: Dictionary | None, model=
         F.col("OP_CARRIER").alias("airline"),
         route(F.col("ORIGIN"), F.col("DEST")).alias("route"),
         decision(p).alias("prediction"),
-        F.round(p, 4).alias("delay_probability"),
-        risk_level(p, "A").alias("risk_level"),
+        (percent_text(p) if percent else F.round(p, 4)).alias("delay_probability"),
+        risk_level(p, risk_scheme).alias("risk_level"),
     )
 
 

@@ -11,8 +11,9 @@ from __future__ import annotations
 FLIGHTS_RAW = """
 flights_raw AS (
  SELECT event_id AS flight_id, ts,
-  CAST(ts AS DATE) AS FL_DATE, event_type AS OP_CARRIER,
-  'A' || CAST(user_id % 25 AS VARCHAR) AS ORIGIN,
+  CASE WHEN event_id % 103 <> 0 THEN CAST(ts AS DATE) + CAST(event_id % 12 * 30 AS INTEGER) END AS FL_DATE,
+  CASE WHEN event_id % 59 <> 0 THEN ['AA', 'DL', 'WN', 'UA', 'b6', 'ZZ'][k % 6 + 1] END AS OP_CARRIER,
+  CASE WHEN event_id % 71 <> 0 THEN 'A' || CAST(user_id % 25 AS VARCHAR) END AS ORIGIN,
   'A' || CAST(k % 25 AS VARCHAR) AS DEST,
   CASE WHEN event_id % 97 = 0 THEN NULL ELSE hour(ts)*100 + minute(ts) END AS DEP_TIME,
   CASE WHEN event_id % 89 = 0 THEN NULL ELSE (v100 - 2000) / CAST(100 AS DOUBLE) END AS DEP_DELAY,
@@ -42,15 +43,23 @@ flights_text AS (
  SELECT flight_id,
   CASE flight_id % 8 WHEN 0 THEN '1e3' WHEN 1 THEN ' 12 ' WHEN 2 THEN 'abc' WHEN 3 THEN ''
     WHEN 4 THEN 'NA' WHEN 5 THEN '12d' ELSE CAST(flight_id AS VARCHAR) END AS num_text,
-  CASE WHEN flight_id % 6 = 0 THEN '2023-02-30' ELSE CAST(FL_DATE AS VARCHAR) END AS date_text
+  CASE WHEN flight_id % 6 = 0 THEN '2023-02-30'
+    WHEN flight_id % 7 = 0 THEN month(FL_DATE) || '/' || day(FL_DATE) || '/' || year(FL_DATE) || ' 12:00:00 AM'
+    WHEN flight_id % 7 = 1 THEN month(FL_DATE) || '/' || day(FL_DATE) || '/' || year(FL_DATE)
+    WHEN flight_id % 7 = 2 THEN CAST(FL_DATE AS VARCHAR) || ' 00:00:00.0'
+    WHEN flight_id % 7 = 3 THEN CAST(FL_DATE AS VARCHAR) || 'T00:00:00Z'
+    WHEN flight_id % 7 = 4 THEN strftime(FL_DATE, '%Y%m%d')
+    ELSE CAST(FL_DATE AS VARCHAR) END AS date_text,
+  CASE WHEN flight_id % 6 <> 0 THEN FL_DATE END AS date_true
  FROM flights_raw
 )"""
 
 REQUESTS = """
 requests AS (
- SELECT flight_id, ' ' || lower(OP_CARRIER) || ' ' AS airline, lower(ORIGIN) AS origin,
-  lower(DEST) AS destination,
-  CASE WHEN flight_id % 5 = 0 THEN NULL ELSE DEP_DELAY END AS departure_delay, DISTANCE AS distance,
+ SELECT flight_id, ' ' || lower(OP_CARRIER) || ' ' AS airline, CASE WHEN flight_id % 37 = 0 THEN 'xq1' ELSE lower(ORIGIN) END AS origin,
+  CASE WHEN flight_id % 39 = 0 THEN 'xq2' ELSE lower(DEST) END AS destination,
+  CASE WHEN flight_id % 5 = 0 THEN NULL WHEN flight_id % 47 = 0 THEN CAST('nan' AS DOUBLE) ELSE DEP_DELAY END AS departure_delay,
+  CASE WHEN flight_id % 41 = 0 THEN CAST('nan' AS DOUBLE) WHEN flight_id % 43 = 0 THEN NULL ELSE DISTANCE END AS distance,
   CAST(1 + flight_id % 9 AS INTEGER) AS day_of_week, CAST(1 + flight_id % 14 AS INTEGER) AS month,
   CAST(flight_id % 26 AS INTEGER) AS hour
  FROM flights_raw
@@ -117,7 +126,8 @@ INFERENCE_LOG = """
 inference_log AS (
  SELECT flight_id, ts AS "timestamp", OP_CARRIER AS airline, ORIGIN AS origin, DEST AS destination,
   DISTANCE AS distance,
-  CASE WHEN probability >= 0.5 THEN 'Delayed' WHEN probability IS NOT NULL THEN 'On Time' END AS prediction,
+  CASE WHEN flight_id % 61 = 0 THEN NULL WHEN probability >= 0.5 THEN 'Delayed'
+       WHEN probability IS NOT NULL THEN 'On Time' END AS prediction,
   probability
  FROM flights_scored
 )"""

@@ -34,8 +34,7 @@ def coerce_numeric(spark, sf):
 
 @register("coerce_date", operators=("P2",), oracle=with_ctes(["flights_text"], """
 SELECT flight_id, date_text,
- CAST(CAST(TRY_STRPTIME(date_text, '%Y-%m-%d') AS DATE) AS VARCHAR) AS date_value,
- CAST(month(CAST(TRY_STRPTIME(date_text, '%Y-%m-%d') AS DATE)) AS INTEGER) AS month_value
+ CAST(date_true AS VARCHAR) AS date_value, CAST(month(date_true) AS INTEGER) AS month_value
 FROM flights_text"""))
 def coerce_date(spark, sf):
     t = tables.flights_text(spark, sf)

@@ -66,18 +66,20 @@ def encode_transform(spark, sf):
 _REQ_VALID = """
 req_valid AS (
  SELECT flight_id, upper(trim(airline)) AS airline, upper(trim(origin)) AS origin,
-  upper(trim(destination)) AS destination, coalesce(departure_delay, 0.0) AS departure_delay,
-  distance, day_of_week, month, coalesce(hour, 12) AS hour,
+  upper(trim(destination)) AS destination,
+  CASE WHEN isnan(departure_delay) THEN 0.0 ELSE coalesce(departure_delay, 0.0) END AS departure_delay,
+  CASE WHEN NOT isnan(distance) THEN distance END AS distance, day_of_week, month, coalesce(hour, 12) AS hour,
   concat_ws(';',
    CASE WHEN airline IS NULL THEN 'airline: missing' END,
    CASE WHEN origin IS NULL THEN 'origin: missing' END,
    CASE WHEN destination IS NULL THEN 'destination: missing' END,
-   CASE WHEN distance IS NULL THEN 'distance: missing' END,
+   CASE WHEN distance IS NULL THEN 'distance: missing' WHEN isnan(distance) THEN 'distance: not a number' END,
    CASE WHEN day_of_week IS NULL THEN 'day_of_week: missing'
         WHEN day_of_week NOT BETWEEN 1 AND 7 THEN 'day_of_week: out of range' END,
    CASE WHEN month IS NULL THEN 'month: missing'
         WHEN month NOT BETWEEN 1 AND 12 THEN 'month: out of range' END,
-   CASE WHEN hour IS NOT NULL AND hour NOT BETWEEN 0 AND 23 THEN 'hour: out of range' END
+   CASE WHEN hour IS NOT NULL AND hour NOT BETWEEN 0 AND 23 THEN 'hour: out of range' END,
+   CASE WHEN isnan(departure_delay) THEN 'departure_delay: not a number' END
   ) AS reject_reason
  FROM requests
 )"""
@@ -137,15 +139,17 @@ def vocabulary(spark, sf):
 
 
 @register("feature_matrix", operators=("F9", "F10", "F12"), oracle=with_ctes(["flights_encoded"], f"""
-SELECT flight_id, is_delayed, {', '.join(ALL_FEATURES)} FROM flights_encoded"""))
+SELECT flight_id, is_delayed, {', '.join(ALL_FEATURES)} FROM flights_encoded
+WHERE MONTH IS NOT NULL AND DAY_OF_WEEK IS NOT NULL"""))
 def feature_matrix(spark, sf):
     enc, _ = _encoded(spark, sf)
     return FE.feature_columns(enc, keep=["flight_id", "is_delayed"]).where(FE.complete_rows_expr())
 
 
 @register("feature_stats", operators=("F10",), oracle=with_ctes(["flights_encoded"], """
-SELECT count(*) AS n_rows, 12 AS n_features, avg(is_delayed) AS positive_rate,
- CAST(0 AS BIGINT) AS rejected_rows FROM flights_encoded"""))
+SELECT count(*) FILTER (WHERE known) AS n_rows, 12 AS n_features, avg(is_delayed) FILTER (WHERE known) AS positive_rate,
+ count(*) FILTER (WHERE NOT known) AS rejected_rows
+FROM (SELECT *, MONTH IS NOT NULL AND DAY_OF_WEEK IS NOT NULL AS known FROM flights_encoded) e"""))
 def feature_stats(spark, sf):
     enc, _ = _encoded(spark, sf)
     return FE.feature_stats(FE.feature_columns(enc, keep=["is_delayed"]))

@@ -71,7 +71,7 @@ _LOG_COLS = ('flight_id, CAST("timestamp" AS VARCHAR) AS "timestamp", airline, o
 
 @register("recent_log", operators=("A5",), oracle=with_ctes(["inference_log"], f"""
 SELECT {_LOG_COLS}, (SELECT count(*) FROM last) AS total,
- (SELECT coalesce(avg(CAST(prediction = 'Delayed' AS DOUBLE)), 0.0) FROM last) AS window_delay_rate
+ (SELECT coalesce(avg(CAST(coalesce(prediction = 'Delayed', false) AS DOUBLE)), 0.0) FROM last) AS window_delay_rate
 FROM last""", ["""
 last AS (SELECT * FROM inference_log ORDER BY "timestamp" DESC, flight_id DESC LIMIT 100)"""]))
 def recent_log(spark, sf):
@@ -82,8 +82,8 @@ def recent_log(spark, sf):
 @register("session_sequence", operators=("A8", "P17"), oracle=with_ctes(["inference_log"], f"""
 SELECT flight_id, row_number() OVER (ORDER BY "timestamp", flight_id) AS seq,
  CAST(replace({_pct_sql('probability')}, '%', '') AS DOUBLE) / 100 AS probability_shown,
- CAST(prediction = 'Delayed' AS INTEGER) AS is_delayed, CAST(0.5 AS DOUBLE) AS threshold,
- avg(CAST(prediction = 'Delayed' AS DOUBLE)) OVER () AS session_delay_rate
+ CAST(coalesce(prediction = 'Delayed', false) AS INTEGER) AS is_delayed, CAST(0.5 AS DOUBLE) AS threshold,
+ avg(CAST(coalesce(prediction = 'Delayed', false) AS DOUBLE)) OVER () AS session_delay_rate
 FROM inference_log"""))
 def session_sequence(spark, sf):
     return MO.session_sequence(_log(spark, sf))
@@ -151,4 +151,5 @@ SELECT section, metric, CAST(value AS DOUBLE) AS value, text FROM (
 st AS (SELECT count(*) AS tp, avg(CAST(coalesce(prediction = 'Delayed', false) AS DOUBLE)) AS dr,
    avg(probability) AS ap, count(*) FILTER (WHERE probability > 0.7) AS hr FROM inference_log)"""]))
 def monitoring_report(spark, sf):
-    return MO.monitoring_report(_log(spark, sf), AS_OF)
+    report = MO.monitoring_report(_log(spark, sf), AS_OF)
+    return report.withColumn("value", F.round("value", 6))

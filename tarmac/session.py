@@ -7,7 +7,6 @@ cluster the caller brings its own session and only ``work_dir`` is used.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -67,6 +66,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         if jdir.isDefined():
             root = jdir.get()
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tarmac-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -79,16 +80,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def ensure_parent(path: str) -> None:
-    """Create the parent folder of a local output path (Spark does it for
-    distributed file systems)."""
-    if is_local_path(path):
-        p = path[len("file:"):] if path.startswith("file:") else path
-        os.makedirs(os.path.dirname(os.path.abspath(p)), exist_ok=True)
+def ensure_parent(spark: SparkSession, path: str) -> None:
+    """Create the parent folder of an output path, on the path's own file
+    system (a path without a scheme means the default file system)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    parent = p.getParent()
+    if parent is not None:
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(parent)
 
 
 def input_bytes(spark: SparkSession, path: str) -> int:
@@ -99,13 +97,11 @@ def input_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(p).getLength())
 
 
-def size_shuffles(spark: SparkSession, data_bytes: int, target_bytes: int = 256 << 20,
-                  max_partitions: int = 200_000) -> int:
+def size_shuffles(spark: SparkSession, data_bytes: int, target_bytes: int = 256 << 20) -> int:
     """Initial shuffle partitions ~ data / target (AQE coalesces small ones
     and splits skewed ones around the same advisory size). Returns the count."""
     import math
     n = max(spark.sparkContext.defaultParallelism, math.ceil(data_bytes / max(1, target_bytes)))
-    n = min(n, max_partitions)
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(min(target_bytes, 512 << 20)))

@@ -23,24 +23,32 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header, every column as STRING (no type inference; the
-    cleaning operators coerce explicitly)."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    cleaning operators coerce explicitly); a quote inside a quoted value is
+    doubled. All files below one path must have the same header: a file with
+    other columns, or another order, fails the read instead of being taken
+    by position."""
+    return (spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False)
+            .option("escape", '"').csv(path))
 
 
-def load_flights_csv(spark: SparkSession, path: str, columns: Iterable[str] = RAW_COLUMNS) -> DataFrame:
+def load_flights_csv(spark: SparkSession, path: str | list[str], columns: Iterable[str] = RAW_COLUMNS) -> DataFrame:
     """Flight CSV scan: keep the columns whose trimmed header is a known
     column, in file order, names trimmed; absent columns are not an error.
+    Several paths are read each by its own header and united by name.
     Catalyst prunes the unused CSV columns at the scan."""
-    raw = read_text_csv(spark, path)
-    wanted = set(columns)
-    keep = [c for c in raw.columns if c.strip() in wanted]
-    return raw.select(*[F.col(f"`{c}`").alias(c.strip()) for c in keep])
+    wanted, out = set(columns), None
+    for one in [path] if isinstance(path, str) else path:
+        raw = read_text_csv(spark, one)
+        keep = [c for c in raw.columns if c.strip() in wanted]
+        part = raw.select(*[F.col(f"`{c}`").alias(c.strip()) for c in keep])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def save_csv(df: DataFrame, path: str, keep_spaces: bool = True) -> str:
     """Overwrite ``path`` with a header CSV (one folder of part files)."""
-    ensure_parent(path)
-    w = df.write.mode("overwrite").option("header", True)
+    ensure_parent(df.sparkSession, path)
+    w = df.write.mode("overwrite").option("header", True).option("escape", '"')
     if keep_spaces:
         w = w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     w.csv(path)
@@ -48,24 +56,32 @@ def save_csv(df: DataFrame, path: str, keep_spaces: bool = True) -> str:
 
 
 def save_parquet(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> str:
-    ensure_parent(path)
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    ensure_parent(df.sparkSession, path)
+    keys = list(partition_by)
+    if keys:
+        # few, evenly filled files for each key: adaptive execution splits a large key and merges small ones
+        df.hint("rebalance", *keys).write.mode("overwrite").partitionBy(*keys).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
     return path
 
 
+def write_dated(rows: DataFrame, path: str) -> None:
+    """Append rows with a ``log_date`` column, partitioned by it."""
+    ensure_parent(rows.sparkSession, path)
+    rows.hint("rebalance", "log_date").write.mode("append").partitionBy("log_date").parquet(path)
+
+
 def load_or_generate(spark: SparkSession, paths: list[str], generate: Callable[[], DataFrame],
-                     save_to: str | None = None) -> DataFrame:
+                     save_to: str | None = None, columns: Iterable[str] = RAW_COLUMNS) -> DataFrame:
     """First existing path of ``paths`` (CSV); else generate, save to
     ``save_to`` (or the first path) and read the saved table back."""
     for p in paths:
         if path_exists(spark, p):
-            return load_flights_csv(spark, p)
+            return load_flights_csv(spark, p, columns)
     target = save_to or paths[0]
     save_csv(generate(), target)
-    return load_flights_csv(spark, target)
+    return load_flights_csv(spark, target, columns)
 
 
 def read_batch_requests(spark: SparkSession, path: str) -> DataFrame:
@@ -78,12 +94,11 @@ def append_inference_log(log_rows: DataFrame, path: str, partition_by_date: bool
     """Append log rows (parquet, partitioned by date so trailing-window reads
     prune to the days they need)."""
     out = log_rows.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    w = out.withColumn("log_date", F.to_date("timestamp")).write.mode("append") if partition_by_date \
-        else out.write.mode("append")
     if partition_by_date:
-        w = w.partitionBy("log_date")
-    ensure_parent(path)
-    w.parquet(path)
+        write_dated(out.withColumn("log_date", F.to_date("timestamp")), path)
+    else:
+        ensure_parent(out.sparkSession, path)
+        out.write.mode("append").parquet(path)
 
 
 def load_inference_log(spark: SparkSession, path: str) -> DataFrame:
@@ -97,7 +112,7 @@ def load_inference_log(spark: SparkSession, path: str) -> DataFrame:
 
 def write_report(report: DataFrame, path: str) -> str:
     """Report rows (section, metric, value, text) as a single small CSV."""
-    ensure_parent(path)
+    ensure_parent(report.sparkSession, path)
     report.coalesce(1).write.mode("overwrite").option("header", True).csv(path)  # bounded: report rows
     return path
 

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from tarmac.functions.bands import decision
 
 
+# Carriers of the projected flights: known codes, a lower-case one and one that no lookup knows.
+CARRIER_CYCLE = ("AA", "DL", "WN", "UA", "b6", "ZZ")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -39,9 +43,10 @@ def flights_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(
         F.col("event_id").alias("flight_id"),
         F.col("ts"),
-        F.col("ts").cast("date").alias("FL_DATE"),
-        F.col("event_type").alias("OP_CARRIER"),
-        F.concat(F.lit("A"), (F.col("user_id") % 25).cast("string")).alias("ORIGIN"),
+        F.when(~_every(103), F.date_add(F.col("ts").cast("date"), (F.col("event_id") % 12 * 30).cast("int"))).alias("FL_DATE"),
+        F.when(~_every(59), F.element_at(F.array(*[F.lit(c) for c in CARRIER_CYCLE]),
+                                         (k % len(CARRIER_CYCLE) + 1).cast("int"))).alias("OP_CARRIER"),
+        F.when(~_every(71), F.concat(F.lit("A"), (F.col("user_id") % 25).cast("string"))).alias("ORIGIN"),
         F.concat(F.lit("A"), (k % 25).cast("string")).alias("DEST"),
         F.when(~_every(97), F.hour("ts") * 100 + F.minute("ts")).alias("DEP_TIME"),
         F.when(~_every(89), hundredths(v100 - 2000)).alias("DEP_DELAY"),
@@ -82,22 +87,30 @@ def flights_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     num_text = (F.when(m8 == 0, "1e3").when(m8 == 1, " 12 ").when(m8 == 2, "abc")
                 .when(m8 == 3, "").when(m8 == 4, "NA").when(m8 == 5, "12d")
                 .otherwise(fid.cast("string")))
-    date_text = F.when(fid % 6 == 0, F.lit("2023-02-30")).otherwise(F.col("FL_DATE").cast("string"))
+    spell = lambda f: F.date_format(F.col("FL_DATE"), f)
+    m7 = fid % 7
+    date_text = (F.when(fid % 6 == 0, F.lit("2023-02-30")).when(m7 == 0, spell("M/d/yyyy h:mm:ss a"))
+                 .when(m7 == 1, spell("M/d/yyyy")).when(m7 == 2, spell("yyyy-MM-dd HH:mm:ss.S"))
+                 .when(m7 == 3, spell("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(m7 == 4, spell("yyyyMMdd"))
+                 .otherwise(F.col("FL_DATE").cast("string")))
     return raw.select("flight_id", num_text.alias("num_text"), date_text.alias("date_text"))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scoring requests, including invalid rows (weekday 8-9, month 13-14,
-    hour 24-25) and lower-case, padded codes."""
+    hour 24-25, NaN and missing numbers), airports never seen before, and
+    lower-case, padded codes."""
     raw = flights_raw(spark, sf_dir)
     fid = F.col("flight_id")
     return raw.select(
         fid,
         F.concat(F.lit(" "), F.lower("OP_CARRIER"), F.lit(" ")).alias("airline"),
-        F.lower("ORIGIN").alias("origin"),
-        F.lower("DEST").alias("destination"),
-        F.when(fid % 5 == 0, F.lit(None).cast("double")).otherwise(F.col("DEP_DELAY")).alias("departure_delay"),
-        F.col("DISTANCE").alias("distance"),
+        F.when(fid % 37 == 0, F.lit("xq1")).otherwise(F.lower("ORIGIN")).alias("origin"),
+        F.when(fid % 39 == 0, F.lit("xq2")).otherwise(F.lower("DEST")).alias("destination"),
+        F.when(fid % 5 == 0, F.lit(None).cast("double")).when(fid % 47 == 0, F.lit(float("nan")))
+         .otherwise(F.col("DEP_DELAY")).alias("departure_delay"),
+        F.when(fid % 41 == 0, F.lit(float("nan"))).when(fid % 43 == 0, F.lit(None).cast("double"))
+         .otherwise(F.col("DISTANCE")).alias("distance"),
         (F.lit(1) + fid % 9).cast("int").alias("day_of_week"),
         (F.lit(1) + fid % 14).cast("int").alias("month"),
         (fid % 26).cast("int").alias("hour"),
@@ -106,7 +119,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inference_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An inference log as the scoring service writes it: one row per scored
-    flight, stamped with the event time."""
+    flight, stamped with the event time; some rows have no prediction."""
     s = flights_scored(spark, sf_dir)
     return s.select(
         "flight_id",
@@ -115,6 +128,6 @@ def inference_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ORIGIN").alias("origin"),
         F.col("DEST").alias("destination"),
         F.col("DISTANCE").alias("distance"),
-        decision(F.col("probability")).alias("prediction"),
+        F.when(F.col("flight_id") % 61 != 0, decision(F.col("probability"))).alias("prediction"),
         F.col("probability"),
     )

@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.operators.features import Dictionary
+from tarmac.operators.features import Dictionary, feature_columns, score_features
 from tarmac.operators.requests import validate_requests
-from tarmac.operators.scoring import batch_score
+from tarmac.operators.scoring import batch_score, respond
 from tarmac.schema import (DELAYED, DRIFT_BASELINE, DRIFT_MIN_ROWS, DRIFT_THRESHOLD,
                            DRIFT_WINDOW_DAYS)
 from tarmac.session import work_dir
@@ -27,36 +27,47 @@ def read_stream(spark: SparkSession, path: str, schema, max_files: int | None =
     return r.parquet(path)
 
 
-def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append",
-                  timeout_s: int = 600) -> DataFrame:
-    """Run a streaming query over everything available, then stop; return the
-    sink as a batch table."""
+def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run a streaming query over everything available (it ends by itself);
+    return the sink as a batch table. A failed query raises."""
     q = (stream.writeStream.format("parquet").outputMode(mode)
          .option("checkpointLocation", checkpoint).option("path", sink)
          .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"streaming query did not finish in {timeout_s}s")
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    q.awaitTermination()
     return stream.sparkSession.read.parquet(sink)
 
 
 def score_requests_stream(requests: DataFrame, dictionary: Dictionary | None, model=None, rule=None,
-                          keep=("flight_id",)) -> DataFrame:
+                          keep=("flight_id",), risk_scheme: str = "A") -> DataFrame:
     """T1: request stream -> validation -> score-time features (static
-    dictionary, stream-static join) -> score -> bands. Rejected rows leave."""
+    dictionary, stream-static join) -> score -> bands. Rejected rows are the
+    output of ``rejected_requests_stream``."""
     valid = validate_requests(requests).where("is_valid")
-    return batch_score(valid, dictionary, model=model, rule=rule, keep=keep)
+    return batch_score(valid, dictionary, model=model, rule=rule, keep=keep, risk_scheme=risk_scheme)
 
 
-def dedup_log_stream(log: DataFrame, key: str = "flight_id", ts_col: str = "timestamp",
-                     delay: str = "1 hour") -> DataFrame:
-    """T3: drop repeated deliveries of the same log row (within the
-    watermark), so the append-only log holds each prediction once."""
-    s = log.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, delay)
-    return s.dropDuplicatesWithinWatermark([key])
+def rejected_requests_stream(requests: DataFrame) -> DataFrame:
+    """The rows that ``score_requests_stream`` does not score, each with its reason."""
+    return validate_requests(requests).where(~F.col("is_valid"))
+
+
+def responses_stream(requests: DataFrame, dictionary: Dictionary | None, model_name: str, model=None, rule=None,
+                     key: str = "flight_id", ts_col: str = "request_ts", risk_scheme: str = "A") -> DataFrame:
+    """Response rows of the valid requests: key, prediction, probability,
+    confidence, risk level, model name, inference id and timestamp.
+
+    A stream has no running number over all rows, so the inference id is made
+    from the request's key and time: equal for a re-delivered request."""
+    valid = validate_requests(requests).where("is_valid")
+    feats = score_features(valid, dictionary)
+    if model is not None:
+        from tarmac.operators.learn import score
+        feats = score(model, feature_columns(feats, keep=[key, ts_col, "OP_CARRIER", "ORIGIN", "DEST"]))
+    else:
+        feats = feats.withColumn("probability", rule(feats))
+    out = respond(feats, "probability", model_name, F.col(ts_col).cast("timestamp"), risk_scheme=risk_scheme)
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col(ts_col).cast("string")))
+    return out.withColumn("inference_id", F.concat(F.lit("INF-"), F.substring(digest, 1, 16)))
 
 
 def append_log_stream(log: DataFrame, sink: str, checkpoint: str, key: str = "flight_id",
@@ -64,25 +75,34 @@ def append_log_stream(log: DataFrame, sink: str, checkpoint: str, key: str = "fl
                       trigger_seconds: int = 10):
     """T3, skew-proof: every micro-batch is de-duplicated as a batch
     (``dropDuplicates`` combines map-side, so a key re-delivered millions of
-    times is reduced before the shuffle), then anti-joined with the keys
-    already in the log from ``horizon`` before the batch's first timestamp
-    (a date-pruned read), then appended. A batch commits atomically, so a
-    replayed batch finds its own rows and writes nothing twice."""
+    times is reduced before the shuffle), then anti-joined with the rows
+    already in the log from ``horizon`` before the batch's first timestamp to
+    ``horizon`` after its last (a date-pruned read), then appended. A batch
+    commits atomically, so a replayed batch writes nothing twice.
+
+    A delivery is known again by its key; rows without a key are known by all
+    their values. Rows without a timestamp are kept (in the NULL date) and
+    compared with the log's rows without a timestamp."""
     spark = log.sparkSession
+    cols = log.columns
+    values = F.struct(*[F.col(c) for c in cols if c != key])
+    mark = F.when(F.col(key).isNull(), F.xxhash64(values.cast("string")))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn(ts_col, F.col(ts_col).cast("timestamp")).dropDuplicates([key])
-        from tarmac.sources.io import path_exists
+        from tarmac.sources.io import path_exists, write_dated
+        rows = batch.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withColumn("_mark", mark)
+        rows = rows.dropDuplicates([key, "_mark"]).withColumn("log_date", F.to_date(ts_col))
         if path_exists(spark, sink):
-            first = rows.agg(F.min(ts_col)).first()[0]  # one row
-            if first is None:
-                return
-            lo = F.lit(first) - F.expr(f"INTERVAL {horizon}")
-            seen = (spark.read.parquet(sink)
-                    .where((F.col("log_date") >= F.to_date(lo)) & (F.col(ts_col) >= lo))
-                    .select(key))
-            rows = rows.join(seen, key, "left_anti")
-        rows.withColumn("log_date", F.to_date(ts_col)).write.mode("append").partitionBy("log_date").parquet(sink)
+            span = rows.agg(F.min(ts_col).alias("a"), F.max(ts_col).alias("b")).first()  # one row
+            near = F.col("log_date").isNull()
+            if span["a"] is not None:
+                lo = F.lit(span["a"]) - F.expr(f"INTERVAL {horizon}")
+                hi = F.lit(span["b"]) + F.expr(f"INTERVAL {horizon}")
+                near = near | (F.col("log_date").between(F.to_date(lo), F.to_date(hi)) & F.col(ts_col).between(lo, hi))
+            seen = spark.read.schema(rows.drop("_mark").schema).parquet(sink).where(near).withColumn("_mark", mark)
+            seen = seen.select(F.col(key).alias("_k"), F.col("_mark").alias("_m"))
+            rows = rows.join(seen, F.col(key).eqNullSafe(F.col("_k")) & F.col("_mark").eqNullSafe(F.col("_m")), "left_anti")
+        write_dated(rows.drop("_mark"), sink)
 
     w = log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{trigger_seconds} seconds")

@@ -81,14 +81,12 @@ def test_dictionary_order_and_unseen(spark):
     assert [(r["AIRLINE_ENC"], r["ORIGIN_ENC"], r["DEST_ENC"]) for r in enc] == [(2, 0, 0), (0, 0, 0)]
 
 
-def test_dictionary_too_many_classes(spark):
-    df = spark.range(50).select(F.col("id").cast("string").alias("OP_CARRIER"))
-    try:
-        FE.fit_dictionary(df, max_classes=10)
-    except ValueError as e:
-        assert "exceed" in str(e)
-    else:
-        raise AssertionError("expected a failure")
+def test_dictionary_has_no_class_limit(spark):
+    df = spark.range(1_000_050).select(F.format_string("c%07d", F.col("id")).alias("OP_CARRIER"))
+    d = FE.fit_dictionary(df)
+    r = d.table.agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("lo"), F.max("code").alias("hi"),
+                    F.count(F.when(F.substring("value", 2, 7).cast("int") != F.col("code"), 1)).alias("wrong")).first()
+    assert (r["n"], r["lo"], r["hi"], r["wrong"]) == (1_000_050, 0, 1_000_049, 0)
 
 
 def test_feature_matrix_no_missing(spark):
@@ -131,7 +129,7 @@ def test_batch_upload_defaults(spark):
                                "day_of_week string, month string")
     out = batch_requests(up).orderBy("airline").collect()
     assert (out[0]["airline"], out[0]["departure_delay"], out[0]["hour"], out[0]["is_valid"]) == ("AA", 0.0, 12, True)
-    assert (out[1]["is_valid"], out[1]["reject_reason"]) == (False, "distance: missing")
+    assert (out[1]["is_valid"], out[1]["reject_reason"]) == (False, "distance: not a number")
 
 
 def test_encode_then_decode_is_identity(spark):

@@ -126,7 +126,7 @@ def test_size_shuffles(spark):
     old = {k: spark.conf.get(k) for k in keys}
     try:
         assert input_bytes(spark, "/root/testdata/sf0.001/events.parquet") > 0
-        assert size_shuffles(spark, 100 * (1 << 40)) == 200_000  # 100 TB: capped
+        assert size_shuffles(spark, 100 * (1 << 40)) == 409_600  # 100 TB at 256 MB
         assert size_shuffles(spark, 10 << 30) == 40               # 10 GB / 256 MB
     finally:
         for k, v in old.items():

@@ -44,7 +44,8 @@ def test_dedup_across_batches(spark):
     df = spark.createDataFrame(rows, schema)
     ST.stage_as_files(df.coalesce(1), src, copies=3)
     stream = ST.read_stream(spark, src, df.schema, max_files=1)
-    out = ST.run_available(ST.dedup_log_stream(stream), sink, ckpt)
+    ST.append_log_stream(stream, sink, ckpt).awaitTermination()
+    out = spark.read.parquet(sink)
     assert out.count() == 20 and out.select("flight_id").distinct().count() == 20
 
 
