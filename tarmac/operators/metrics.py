@@ -10,15 +10,18 @@ bucketed prefix sums of ``ranking`` (no single-partition window).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions.bands import DECISION_CUT, predicted_class
 from tarmac.operators.ranking import prefix_sums
+from tarmac.session import work_dir
 
 METRIC_NAMES = ["roc_auc", "accuracy", "precision", "recall", "f1"]
 CLASS_NAMES = ["On Time", "Delayed"]
 DIGITS = 4
+# Consecutive ROC points that one window partition holds.
+ROC_BLOCK = 100_000
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -94,17 +97,25 @@ def roc_points(scored: DataFrame, label_col: str = "label", prob_col: str = "pro
     at threshold +inf; points in the middle of a straight run are dropped."""
     by = list(by)
     g = score_groups(scored, label_col, prob_col, by)
-    c = prefix_sums(g, "score", ["pos", "neg"], descending=True, index_col="i", partition=by)
-    c = c.select(*by, "score", "i", F.col("cum_pos").alias("tps"), F.col("cum_neg").alias("fps"))
+    # stored once (one row per distinct score): totals, boundaries and points read it, not the scores
+    path = work_dir(g.sparkSession, "roc")
+    prefix_sums(g, "score", ["pos", "neg"], descending=True, index_col="i", partition=by) \
+        .select(*by, "score", "i", F.col("cum_pos").alias("tps"), F.col("cum_neg").alias("fps")).write.parquet(path)
+    c = g.sparkSession.read.parquet(path)
     tot = c.groupBy(*by).agg(F.max("i").alias("m"), F.max("tps").alias("P"), F.max("fps").alias("N"))
     # totals: one row per group
     pts = c.join(F.broadcast(tot), by, "left") if by else c.crossJoin(F.broadcast(tot))
     if drop_intermediate:
-        prev = c.select(*by, (F.col("i") + 1).alias("i"), F.col("tps").alias("tp0"), F.col("fps").alias("fp0"))
-        nxt = c.select(*by, (F.col("i") - 1).alias("i"), F.col("tps").alias("tp2"), F.col("fps").alias("fp2"))
-        pts = pts.join(prev, [*by, "i"], "left").join(nxt, [*by, "i"], "left")
-        bend = ((F.col("fp2") - F.lit(2) * F.col("fps") + F.col("fp0")) != 0) | \
-               ((F.col("tp2") - F.lit(2) * F.col("tps") + F.col("tp0")) != 0)
+        # blocks of consecutive points; a block also gets a copy of the point before and after it
+        block = F.floor((F.col("i") - 1) / ROC_BLOCK)
+        at = (F.col("i") - 1) % ROC_BLOCK
+        own = pts.withColumn("at", F.explode(F.array_compact(F.array(
+            block, F.when((at == 0) & (block > 0), block - 1), F.when(at == ROC_BLOCK - 1, block + 1)))))
+        w = Window.partitionBy(*by, "at").orderBy("i")
+        near = {f"{c}{k}": (F.lag(c).over(w) if k == 0 else F.lead(c).over(w)) for c in ("tps", "fps") for k in (0, 2)}
+        pts = own.withColumns(near).where(F.col("at") == block)
+        bend = ((F.col("fps2") - F.lit(2) * F.col("fps") + F.col("fps0")) != 0) | \
+               ((F.col("tps2") - F.lit(2) * F.col("tps") + F.col("tps0")) != 0)
         keep = (F.col("m") <= 2) | (F.col("i") == 1) | (F.col("i") == F.col("m")) | F.coalesce(bend, F.lit(False))
         pts = pts.where(keep)
     out = pts.select(*by, F.col("score").alias("threshold"),

@@ -3,68 +3,76 @@
 A window with ORDER BY and no PARTITION BY moves every row into one task.
 These helpers split the order into range buckets, compute per-bucket totals
 (a table with one row per bucket, bounded by the bucket count), turn them
-into offsets, broadcast the offsets (bounded) and finish with a window
-partitioned by bucket:
+into offsets, and finish with a window partitioned by bucket:
 
-* bucket boundaries come from ``approxQuantile`` (a bounded list on the
-  driver), so buckets are balanced whatever the value distribution;
+* the row count and the bucket boundaries come from one aggregation
+  (``percentile_approx``, a bounded sketch), so buckets are balanced whatever
+  the value distribution;
 * a value heavy enough to fill more than one bucket gets a bucket of its own,
-  split further by the tie-break key, so a hot value never lands in one task;
+  split further by the tie-break key, and so do the rows with a NULL key, so
+  neither lands in one task;
+* buckets are chosen on doubles, rows inside a bucket are ordered by the
+  original columns: 64-bit integers and text keep their exact order;
 * a key that is uniform by construction (a hash) is bucketed by its prefix.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows per bucket the final window may hold in one task.
+# Rows per bucket the final window aims at in one task.
 TARGET_ROWS_PER_BUCKET = 2_000_000
 MIN_BUCKETS = 16
-MAX_BUCKETS = 1 << 16
+# Boundaries that one aggregation collects: enough buckets for 4 billion rows
+# of the target; beyond that the buckets grow with the input.
+PROBES = 2_048
+# Doubles hold whole numbers exactly up to here.
+EXACT = 2.0 ** 53
 
 
 def bucket_count(n_rows: int, target: int = TARGET_ROWS_PER_BUCKET) -> int:
-    return int(min(MAX_BUCKETS, max(MIN_BUCKETS, math.ceil(n_rows / max(1, target)))))
+    return int(min(PROBES, max(MIN_BUCKETS, math.ceil(n_rows / max(1, target)))))
 
 
-def _quantiles(df: DataFrame, col: str, n_buckets: int) -> list[float]:
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    if not probs:
+def approximate(c: Column, dtype: T.DataType) -> Column:
+    """A double that never decreases where ``c`` increases (for choosing
+    buckets only): numbers cast, text by its first six bytes."""
+    if isinstance(dtype, T.StringType):
+        first = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
+        return F.conv(first, 16, 10).cast("double")
+    return c.cast("double")
+
+
+def _survey(df: DataFrame, cols: list[str]) -> tuple[int, dict[str, tuple[int, list[float]]]]:
+    """Rows, and per column (NULLs, PROBES - 1 quantiles), in one aggregation."""
+    probs = F.array(*[F.lit(i / PROBES) for i in range(1, PROBES)])
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for c in cols:
+        aggs += [F.count(c).alias(f"{c}_n"), F.percentile_approx(c, probs, 10 * PROBES).alias(f"{c}_q")]
+    r = df.agg(*aggs).first()  # one row
+    return int(r["_rows"]), {c: (int(r["_rows"]) - int(r[f"{c}_n"]), list(r[f"{c}_q"] or [])) for c in cols}
+
+
+def _thin(quantiles: list[float], n_buckets: int) -> list[float]:
+    """Every k-th quantile, for ``n_buckets`` buckets."""
+    if not quantiles:
         return []
-    return df.approxQuantile(col, probs, 1.0 / (4 * n_buckets))
+    return [quantiles[min(len(quantiles) - 1, round(i * PROBES / n_buckets) - 1)] for i in range(1, n_buckets)]
 
 
 def _splits(raw: list[float]) -> tuple[list[float], list[float]]:
     """Strictly increasing splits with -inf/+inf, and the heavy values (those
     spanning two or more quantiles). Each heavy value v gets the bucket
     [v, next double after v), which holds v alone."""
-    heavy = sorted({v for v in raw if raw.count(v) >= 2})
-    pts = set(raw)
-    for v in heavy:
-        pts.add(v)
-        pts.add(math.nextafter(v, math.inf))
-    splits = [-math.inf] + sorted(p for p in pts if math.isfinite(p)) + [math.inf]
-    return splits, heavy
-
-
-# Up to this many intervals the bucket is a CASE tree inside whole-stage
-# codegen; beyond it the JVM-side ``Bucketizer`` does the binary search.
-CASE_TREE_MAX = 64
-
-
-def range_bucket(col: Column, splits: list[float]) -> Column:
-    """Index of the split interval [s_i, s_i+1) holding ``col`` (binary search
-    as a balanced CASE tree: O(log n) comparisons per row, JVM-side)."""
-    def build(lo: int, hi: int) -> Column:
-        # interval indices lo..hi-1 ; interval i = [splits[i], splits[i+1])
-        if hi - lo == 1:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col < F.lit(splits[mid]), build(lo, mid)).otherwise(build(mid, hi))
-    return build(0, len(splits) - 1)
+    heavy = sorted(v for v, n in Counter(raw).items() if n >= 2)
+    pts = {p for v in heavy for p in (v, math.nextafter(v, math.inf))} | set(raw)
+    return [-math.inf] + sorted(p for p in pts if math.isfinite(p)) + [math.inf], heavy
 
 
 def with_range_bucket(df: DataFrame, in_col: str, out_col: str, splits: list[float],
@@ -73,18 +81,16 @@ def with_range_bucket(df: DataFrame, in_col: str, out_col: str, splits: list[flo
     false). A NULL key gets bucket -1: NULLs sort first, as in SQL's
     ascending order."""
     key = F.col(in_col)
-    if len(splits) - 1 <= CASE_TREE_MAX:
-        b = range_bucket(key, splits)
-        out = df
+    if len(splits) < 3:
+        b, out = F.lit(0), df
     else:
-        from pyspark.ml.feature import Bucketizer
         tmp, safe = f"{out_col}_raw", f"{out_col}_in"
         out = Bucketizer(splits=splits, inputCol=safe, outputCol=tmp, handleInvalid="keep").transform(
             df.withColumn(safe, F.coalesce(key, F.lit(0.0))))
         b = F.col(tmp).cast("int")
     b = F.when(key.isNull(), F.lit(-1)).otherwise(b)
     out = out.withColumn(out_col, b if only_if is None else F.when(only_if, b).otherwise(F.lit(0)))
-    return out.drop(*[c for c in (f"{out_col}_raw", f"{out_col}_in") if c in out.columns])
+    return out.drop(f"{out_col}_raw", f"{out_col}_in")
 
 
 def _offsets(totals: DataFrame, order: list[str], sum_cols: list[str],
@@ -97,18 +103,16 @@ def _offsets(totals: DataFrame, order: list[str], sum_cols: list[str],
 
 
 def prefix_sums(df: DataFrame, order_col: str, sum_cols: list[str], descending: bool = False,
-                n_rows: int | None = None, index_col: str | None = None,
-                partition: list[str] = ()) -> DataFrame:
+                index_col: str | None = None, partition: list[str] = ()) -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over all rows up to and including this
     one, in the order of ``order_col`` (unique per row and partition,
     non-null), separately per ``partition`` group. With ``index_col`` also
     the 1-based position."""
     partition = list(partition)
-    n = df.count() if n_rows is None else n_rows
-    B = bucket_count(n)
     key = "_ord"
     base = df.withColumn(key, (-F.col(order_col) if descending else F.col(order_col)).cast("double"))
-    splits, _ = _splits(_quantiles(base, key, B))
+    n, found = _survey(base, [key])
+    splits, _ = _splits(_thin(found[key][1], bucket_count(n)))
     base = with_range_bucket(base, key, "_b", splits)
     cols = list(sum_cols) + (["_one"] if index_col else [])
     if index_col:
@@ -136,41 +140,43 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: list[str], descending:
 
 
 def global_row_number(df: DataFrame, key: Column, tie: Column, out_col: str = "row_number",
-                      start: int = 1, n_rows: int | None = None) -> DataFrame:
-    """1-based position of each row in the order (key, tie), plus ``start - 1``.
-
-    ``key`` is numeric; ``tie`` is numeric and unique. A key value holding
-    more than one bucket's worth of rows is split by ``tie`` into buckets
-    sized like the others."""
-    n = df.count() if n_rows is None else n_rows
+                      start: int = 1) -> DataFrame:
+    """1-based position of each row in the order (key, tie), plus ``start - 1``;
+    NULLs first.
+
+    ``key`` is a number; ``tie`` is a number or text and unique. The rows of a
+    heavy key value, and those without a key, are split by ``tie`` into
+    buckets sized like the others. Ranks are found on (key, tie) and the row's
+    other columns ride along."""
+    base = df.withColumn("_key", key).withColumn("_tie", tie)
+    base = base.withColumn("_k", F.col("_key").cast("double"))
+    base = base.withColumn("_t", approximate(F.col("_tie"), base.schema["_tie"].dataType))
+    n, found = _survey(base, ["_k", "_t"])
     B = bucket_count(n)
-    base = df.withColumn("_k", key.cast("double")).withColumn("_t", tie.cast("double"))
-    raw = _quantiles(base, "_k", B)
-    splits, heavy = _splits(raw)
+    splits, heavy = _splits(_thin(found["_k"][1], B))
+    whole = isinstance(base.schema["_key"].dataType, T.IntegralType)
+    heavy = [v for v in heavy if not whole or abs(v) < EXACT]      # above, several keys share a double
     base = with_range_bucket(base, "_k", "_b1", splits)
+    # ties are split by the quantiles of all rows: a heavy value's rows spread over them unless tie follows key
+    hot = F.col("_k").isNull() if found["_k"][0] * B > n else F.lit(False)
     if heavy:
-        # rows of the heavy values, estimated from the quantiles they span
-        hot_rows = sum(raw.count(v) for v in heavy) * n / B
-        hot = base.where(F.col("_k").isin(heavy))
-        tsplits, _ = _splits(_quantiles(hot, "_t", bucket_count(int(hot_rows))))
-        base = with_range_bucket(base, "_t", "_b2", tsplits, only_if=F.col("_k").isin(heavy))
-    else:
-        base = base.withColumn("_b2", F.lit(0))
+        hot = hot | F.coalesce(F.col("_k").isin(heavy), F.lit(False))
+    tsplits, _ = _splits(_thin(found["_t"][1], B))
+    base = with_range_bucket(base, "_t", "_b2", tsplits, only_if=hot)
     totals = base.groupBy("_b1", "_b2").agg(F.count(F.lit(1)).alias("_n"))
-    # level 1: per range bucket (at most ~2B rows), offsets in one small window
+    # level 1: per range bucket (at most 2B rows), offsets in one small window
     t1 = totals.groupBy("_b1").agg(F.sum("_n").alias("_n1"))
     off1 = F.broadcast(_offsets(t1, ["_b1"], ["_n1"]))
-    # level 2: tie buckets within a range bucket (only heavy values have
-    # several), a window partitioned by the range bucket
+    # level 2: tie buckets within a range bucket, a window partitioned by the range bucket
     w2 = Window.partitionBy("_b1").orderBy("_b2").rowsBetween(Window.unboundedPreceding, -1)
     off2 = totals.select("_b1", "_b2", F.coalesce(F.sum("_n").over(w2), F.lit(0)).alias("_off2"))
     offs = off2.join(off1, "_b1").select("_b1", "_b2", (F.col("_off__n1") + F.col("_off2")).alias("_off"))
     # joined on the window's own partition keys: no extra shuffle of the rows,
     # and AQE broadcasts the offsets when their measured size is small
-    w = Window.partitionBy("_b1", "_b2").orderBy("_k", "_t")
+    w = Window.partitionBy("_b1", "_b2").orderBy("_key", "_tie")
     out = base.join(offs, ["_b1", "_b2"], "left")
     out = out.withColumn(out_col, (F.row_number().over(w) + F.col("_off") + F.lit(start - 1)).cast("bigint"))
-    return out.drop("_k", "_t", "_b1", "_b2", "_off")
+    return out.drop("_key", "_tie", "_k", "_t", "_b1", "_b2", "_off")
 
 
 # Offsets tables up to this many rows are broadcast by hint.
@@ -188,8 +194,8 @@ def first_n_per_group(df: DataFrame, group_col: str, hash_col: str, quota_col: s
     offsets (groups x buckets) are broadcast when ``n_groups`` proves them
     small."""
     n = df.count() if n_rows is None else n_rows
-    # at most 16^4 buckets per group keeps the broadcast offsets small
-    digits = max(1, min(4, math.ceil(math.log(max(2, n / 200_000), 16))))
+    # buckets of about 200,000 rows
+    digits = max(1, math.ceil(math.log(max(2, n / 200_000), 16)))
     base = df.withColumn("_p", F.substring(F.col(hash_col), 1, digits))
     totals = base.groupBy(group_col, "_p").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(group_col).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)

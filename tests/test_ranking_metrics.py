@@ -158,11 +158,11 @@ def test_partition_invariance(spark):
     assert sorted(i for _, i in ids[0]) == [f"INF-{k:06d}" for k in range(1, 2001)]
 
 
-def test_row_number_nulls_first_and_bucketizer_path(spark):
+def test_row_number_nulls_first_and_many_buckets(spark):
     rows = [(i, None if i % 10 == 0 else float(i % 500)) for i in range(4000)]
     df = spark.createDataFrame(rows, "id long, k double")
     old = R.MIN_BUCKETS
-    R.MIN_BUCKETS = 100  # > CASE_TREE_MAX: exercises the Bucketizer path
+    R.MIN_BUCKETS = 100
     try:
         out = R.global_row_number(df, F.col("k"), F.col("id"), "rn").collect()
     finally:
@@ -179,3 +179,26 @@ def test_first_n_keeps_null_group(spark):
     assert out.count() == 1000
     got = {r[0]: r[1] for r in out.groupBy("g").agg(F.sum(F.col("sel").cast("int"))).collect()}
     assert got == {None: 50, 0: 50, 1: 50}
+
+
+def test_row_number_64_bit_and_text_ties(spark):
+    big = 1 << 53
+    rows = [(big + i, "k" + str(i % 37).zfill(3) + str(i), 1) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, name string, k int")
+    got = {r["id"]: r["rn"] for r in R.global_row_number(df, F.col("k"), F.col("id"), "rn").collect()}
+    assert got == {big + i: i + 1 for i in range(50)}
+    keyed = {r["id"]: r["rn"] for r in R.global_row_number(df, F.col("id"), F.col("name"), "rn").collect()}
+    assert keyed == got
+    text = {r["name"]: r["rn"] for r in R.global_row_number(df, F.col("k"), F.col("name"), "rn").collect()}
+    assert text == {n: i + 1 for i, n in enumerate(sorted(r[1] for r in rows))}
+
+
+def test_null_and_heavy_keys_are_split(spark):
+    n = 30_000
+    df = spark.range(n).select("id", F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 7.0)
+                               .otherwise(F.col("id").cast("double")).alias("k"))
+    out = R.global_row_number(df, F.col("k"), F.col("id"), "rn")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_b2" in plan
+    rows = sorted(((r["id"], r["k"]) for r in df.collect()), key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    assert {r["id"]: r["rn"] for r in out.collect()} == {k: i + 1 for i, (k, _) in enumerate(rows)}
