@@ -27,11 +27,18 @@ from tarmac.operators.features import complete_rows_expr, feature_columns
 from tarmac.operators.metrics import binary_metrics
 from tarmac.operators.ranking import first_n_per_group
 from tarmac.schema import ALL_FEATURES
+from tarmac.session import work_dir
 
 MODEL_ORDER = ["LogisticRegression", "RandomForest", "GBT_A", "GBT_B"]
 
-# Rows per partition of the persisted training vectors.
-ROWS_PER_TRAIN_PARTITION = 1_000_000
+# Training rows r are read through ceil(sqrt(r / this)) partitions: 4 for 30,000
+# rows, about 2,200 for 10 billion. A rule of the row count alone, as the trees
+# draw their row samples per partition: the models do not depend on the cluster.
+TRAIN_PARTITION_SCALE = 2_000
+
+
+def train_partitions(n_rows: int) -> int:
+    return max(1, math.ceil(math.sqrt(n_rows / TRAIN_PARTITION_SCALE)))
 
 
 # ---------------------------------------------------------------- split
@@ -90,6 +97,8 @@ class Presets:
     gbt_subsample: float = 0.8
     gbt_feature_fraction: str = "0.8"
     tree_memory_mb: int = 1024
+    checkpoint_interval: int = 25
+    max_fit_rows: int | None = None     # bound of the rows used to fit, chosen by the split's hash; None: all
     seed: int = 42
 
 
@@ -125,11 +134,15 @@ def make_classifiers(p: Presets, n_train: int, tree_memory_mb: int | None = None
                                 seed=p.seed)
     gbt_a = GBTClassifier(labelCol="label", featuresCol="features", maxIter=p.gbt_rounds,
                           maxDepth=p.gbt_depth, stepSize=p.gbt_step, subsamplingRate=p.gbt_subsample,
-                          featureSubsetStrategy=p.gbt_feature_fraction, seed=p.seed)
+                          featureSubsetStrategy=p.gbt_feature_fraction, seed=p.seed,
+                          checkpointInterval=p.checkpoint_interval)
     gbt_b = GBTClassifier(labelCol="label", featuresCol="features", maxIter=p.gbt_rounds,
                           maxDepth=p.gbt_depth, stepSize=p.gbt_step, subsamplingRate=p.gbt_subsample,
                           featureSubsetStrategy=p.gbt_feature_fraction, maxBins=64,
-                          minInstancesPerNode=20, seed=p.seed + 1)
+                          minInstancesPerNode=20, seed=p.seed + 1, checkpointInterval=p.checkpoint_interval)
+    for name, clf in (("lr", lr), ("rf", rf), ("gbt_a", gbt_a), ("gbt_b", gbt_b)):   # own columns: one pass scores all
+        clf.setPredictionCol(f"{name}_prediction").setProbabilityCol(f"{name}_probability")
+        clf.setRawPredictionCol(f"{name}_raw")
     return {"LogisticRegression": lr, "RandomForest": rf, "GBT_A": gbt_a, "GBT_B": gbt_b}
 
 
@@ -148,27 +161,38 @@ def training_frame(features: DataFrame, label_col: str = "is_delayed", id_col: s
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Adds ``probability`` = P(class 1) as a double and ``prediction`` (int)."""
+    clf = model.stages[-1]
     out = model.transform(df)
-    return out.withColumn("probability", vector_to_array(F.col("probability")).getItem(1)) \
-              .withColumn("prediction", F.col("prediction").cast("int")) \
-              .drop("raw_features", "features", "rawPrediction")
+    drop = [c for c in ("raw_features", "features", clf.getRawPredictionCol(), clf.getProbabilityCol(),
+                        clf.getPredictionCol()) if c not in df.columns]
+    p, y = vector_to_array(F.col(clf.getProbabilityCol())).getItem(1), F.col(clf.getPredictionCol()).cast("int")
+    return out.withColumns({"_p": p, "_y": y}).drop(*drop).withColumnsRenamed({"_p": "probability", "_y": "prediction"})
+
+
+def score_all(classifiers: dict, vectors: DataFrame, keep: tuple[str, ...] = ("label",)) -> DataFrame:
+    """(model, *keep, probability, prediction): every classifier on every row
+    of ``vectors``, in one pass over the rows."""
+    out = vectors
+    for m in classifiers.values():
+        out = m.transform(out)
+    rows = F.array(*[F.struct(F.lit(name).alias("model"),
+                              vector_to_array(F.col(m.getProbabilityCol())).getItem(1).alias("probability"),
+                              F.col(m.getPredictionCol()).cast("int").alias("prediction"))
+                     for name, m in classifiers.items()])
+    return out.select(*keep, F.explode(rows).alias("s")).select("s.model", *keep, "s.probability", "s.prediction")
 
 
 @dataclass
 class TrainResult:
     models: dict                # name -> PipelineModel (vector, scaler, classifier)
-    metrics: DataFrame          # one row per model, comparison order
+    metrics: DataFrame | None   # one row per model, comparison order
     best_name: str | None
     runs: list = field(default_factory=list)
-    test: DataFrame | None = None   # the held-out rows (id, label, features)
+    scored: DataFrame | None = None   # model, label, probability, prediction of the test rows (stored)
 
     def scored_test(self) -> DataFrame:
         """model, label, probability, prediction for every model on the test rows."""
-        out = None
-        for name, m in self.models.items():
-            part = score(m, self.test).select(F.lit(name).alias("model"), "label", "probability", "prediction")
-            out = part if out is None else out.unionByName(part)
-        return out
+        return self.scored
 
 
 def train_all(spark: SparkSession, labelled: DataFrame, presets: Presets = Presets(),
@@ -179,47 +203,42 @@ def train_all(spark: SparkSession, labelled: DataFrame, presets: Presets = Prese
     time, as Spark ML's tuning does), evaluate on test and pick the best:
     strictly greater AUC wins, the first in comparison order wins a tie, no
     winner if every AUC is 0. ``evaluate=False`` returns the fitted models
-    without the test-set metrics."""
+    without the test-set metrics.
+
+    ``presets.max_fit_rows`` bounds the rows that fit the models (by the hash
+    of the id); the test rows are never cut."""
     from concurrent.futures import ThreadPoolExecutor
 
     # the split makes several passes (class counts, bucket totals, rows):
-    # they read the persisted feature rows, not the upstream pipeline
-    labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)
-    split = stratified_split(labelled, "label", id_col, test_fraction, seed)
+    # they read the stored feature rows, not the upstream pipeline
+    root = work_dir(spark, "train")
+    labelled.write.parquet(f"{root}/labelled")
+    stratified_split(spark.read.parquet(f"{root}/labelled"), "label", id_col, test_fraction, seed) \
+        .write.parquet(f"{root}/split")
+    split = spark.read.parquet(f"{root}/split")
     sizes = split_stats(split, "label").first()
     n_train = int(sizes["train_size"])
-    prep = scaler_pipeline().fit(split.where(F.col("split") == "train"))
-    # iterative fits run ~7 jobs per boosting round: size the persisted
-    # vectors by rows (>= the cluster's parallelism), not by upstream shuffles
-    parts = max(spark.sparkContext.defaultParallelism,
-                math.ceil((n_train + int(sizes["test_size"])) / ROWS_PER_TRAIN_PARTITION))
-    vec = prep.transform(split).select(id_col, "label", "split", "features") \
-              .repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
-    vec.count()
-    labelled.unpersist()  # the fits and the evaluation read the vectors
-    train = vec.where(F.col("split") == "train")
-    test = vec.where(F.col("split") == "test")
-    clfs = make_classifiers(presets, n_train, node_memory_mb(spark, presets.tree_memory_mb))
-    # boosting runs ~7 small jobs per round, so per-task overhead dominates
-    # at small sizes: it reads the cached vectors through half as many tasks
-    # (a narrow coalesce, no shuffle); the forest keeps full parallelism
-    boost_train = train.coalesce(max(1, parts // 2))
-    inputs = {n: boost_train if n.startswith("GBT") else train for n in models}
+    train_rows = split.where(F.col("split") == "train")
+    if presets.max_fit_rows is not None and n_train > presets.max_fit_rows:
+        share = F.conv(F.substring(F.md5(F.concat(F.lit("fit:"), F.col(id_col).cast("string"))), 1, 8), 16, 10)
+        train_rows = train_rows.where(share.cast("double") < F.lit(float(1 << 32) * presets.max_fit_rows / n_train))
+    prep = scaler_pipeline().fit(train_rows)
+    # placed and ordered by the id: the trees' row samples do not depend on the input's layout
+    train = prep.transform(train_rows).select(id_col, "label", "features") \
+                .repartition(train_partitions(n_train), F.col(id_col)).sortWithinPartitions(id_col) \
+                .select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    n_fit = train.count()
+    clfs = make_classifiers(presets, n_fit, node_memory_mb(spark, presets.tree_memory_mb))
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        futures = {name: pool.submit(clfs[name].fit, inputs[name]) for name in models}
+        futures = {name: pool.submit(clfs[name].fit, train) for name in models}
         fitted_clf = {name: f.result() for name, f in futures.items()}
+    train.unpersist()
     fitted = {name: PipelineModel(stages=[*prep.stages, m]) for name, m in fitted_clf.items()}
     if not evaluate:  # fitted models only; the first in comparison order is returned as best
-        vec.unpersist()
-        test_rows = split.where(F.col("split") == "test").drop("split")
-        return TrainResult(fitted, None, models[0], [], test_rows)
-    scored = None
-    for name in models:
-        part = fitted_clf[name].transform(test).select(
-            F.lit(name).alias("model"), "label",
-            vector_to_array(F.col("probability")).getItem(1).alias("probability"),
-            F.col("prediction").cast("int").alias("prediction"))
-        scored = part if scored is None else scored.unionByName(part)
+        return TrainResult(fitted, None, models[0], [], None)
+    test = prep.transform(split.where(F.col("split") == "test")).select("label", "features")
+    score_all(fitted_clf, test).write.parquet(f"{root}/scored")
+    scored = spark.read.parquet(f"{root}/scored")
     metrics = binary_metrics(scored, by=["model"], pred_col="prediction")
     rows = {r["model"]: r.asDict() for r in metrics.collect()}  # one row per model
     best, best_auc, runs = None, 0.0, []
@@ -239,9 +258,7 @@ def train_all(spark: SparkSession, labelled: DataFrame, presets: Presets = Prese
         [(i, n, *[rows[n][k] for k in ["roc_auc", "accuracy", "precision", "recall", "f1"]])
          for i, n in enumerate(models)],
         "position int, model string, roc_auc double, accuracy double, precision double, recall double, f1 double")
-    vec.unpersist()
-    test_rows = split.where(F.col("split") == "test").drop("split")
-    return TrainResult(fitted, metrics_df, best, runs, test_rows)
+    return TrainResult(fitted, metrics_df, best, runs, scored)
 
 
 # ---------------------------------------------------------------- importance
@@ -260,6 +277,19 @@ def feature_importance(spark: SparkSession, model: PipelineModel, names=ALL_FEAT
         .orderBy(F.desc("importance"), F.asc("feature"))
 
 
+def abs_correlations(features: DataFrame, label_col: str = "label", names=ALL_FEATURES) -> DataFrame:
+    """(feature, importance): absolute correlation of each feature with the
+    label, from one aggregation; NULL for a constant feature."""
+    row = features.agg(*[F.abs(F.corr(F.col(f).cast("double"), F.col(label_col).cast("double"))).alias(f) for f in names])
+    return row.unpivot([], list(names), "feature", "importance")
+
+
+def scaler_parameters(model: PipelineModel, names=ALL_FEATURES) -> list[tuple[str, float, float]]:
+    """(feature, mean, standard deviation) of a fitted model's scaler."""
+    scaler = model.stages[1]
+    return [(f, float(m), float(d)) for f, m, d in zip(names, scaler.mean.toArray(), scaler.std.toArray())]
+
+
 def top_importances(fi: DataFrame, n: int = 10) -> DataFrame:
     return fi.orderBy(F.desc("importance"), F.asc("feature")).limit(n)
 
@@ -278,7 +308,7 @@ def load_model(path: str) -> PipelineModel:
     try:
         return PipelineModel.load(path)
     except Exception as e:  # noqa: BLE001
-        raise FileNotFoundError(f"No model found at {path}. Run training first.") from e
+        raise FileNotFoundError(f"nothing to load at {path}: train and save a model before scoring") from e
 
 
 def record_runs(spark: SparkSession, result: TrainResult, runs_path: str, model_root: str) -> DataFrame:

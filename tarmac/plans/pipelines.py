@@ -14,7 +14,8 @@ from tarmac.operators import features as FE
 from tarmac.operators import learn as L
 from tarmac.operators import monitor as MO
 from tarmac.operators import scoring as SC
-from tarmac.operators.requests import validate_requests
+from tarmac.operators.metrics import full_evaluation
+from tarmac.session import input_bytes, size_shuffles
 from tarmac.sources import io
 from tarmac.streaming import streams as ST
 
@@ -32,6 +33,10 @@ class Artifacts:
     def runs(self) -> str:
         return f"{self.root}/runs"
 
+    @property
+    def evaluation(self) -> str:
+        return f"{self.root}/evaluation"
+
     @property
     def models(self) -> str:
         return f"{self.root}/models"
@@ -39,7 +44,10 @@ class Artifacts:
 
 def training_run(spark: SparkSession, raw: DataFrame, artifacts: Artifacts,
                  presets: L.Presets = L.Presets(), id_col: str = "flight_id") -> L.TrainResult:
-    """clean -> validate -> features + dictionary -> train all -> runs table."""
+    """clean -> validate -> features + dictionary -> train all -> runs table,
+    evaluation tables (comparison, ROC points, confusion, report), data
+    summary and cleaning report."""
+    size_shuffles(spark, input_size(raw))
     cleaned = C.clean(raw)
     ok, message = C.validate(cleaned).first()
     if not ok:
@@ -48,11 +56,22 @@ def training_run(spark: SparkSession, raw: DataFrame, artifacts: Artifacts,
     FE.save_dictionary(d, artifacts.dictionary)
     res = L.train_all(spark, L.training_frame(enc, id_col=id_col), presets, id_col=id_col)
     L.record_runs(spark, res, artifacts.runs, artifacts.models)
+    tables = full_evaluation(res.scored, res.best_name)
+    tables |= {"summary": C.data_summary(cleaned), "cleaning": C.cleaning_report(raw)}
+    for name, table in tables.items():
+        io.save_parquet(table, f"{artifacts.evaluation}/{name}")
     return res
 
 
+def input_size(df: DataFrame) -> int:
+    """Bytes of the files that a table reads, 0 if it reads none."""
+    files = df.inputFiles()
+    folders = {f.rsplit("/", 1)[0] for f in files}
+    return sum(input_bytes(df.sparkSession, f) for f in folders)
+
+
 def batch_score_file(spark: SparkSession, csv_path: str, artifacts: Artifacts, out_path: str,
-                     id_col: str | None = None) -> DataFrame:
+                     id_col: str | None = None, risk_scheme: str = "two-way", percent: bool = True) -> DataFrame:
     """Uploaded CSV -> typed requests -> scored with the latest best model ->
     written to ``out_path``; rejected rows are written next to it."""
     best = L.best_run(spark, artifacts.runs).first()
@@ -60,7 +79,8 @@ def batch_score_file(spark: SparkSession, csv_path: str, artifacts: Artifacts, o
     d = FE.load_dictionary(spark, artifacts.dictionary)
     req = io.read_batch_requests(spark, csv_path)
     keep = [id_col] if id_col else []
-    scored = SC.batch_score(req.where("is_valid"), d, model=model, keep=tuple(keep))
+    scored = SC.batch_score(req.where("is_valid"), d, model=model, keep=tuple(keep),
+                            risk_scheme=risk_scheme, percent=percent)
     io.save_csv(scored, out_path)
     io.save_csv(req.where(~F.col("is_valid")), out_path + "_rejected")
     return spark.read.option("header", True).csv(out_path)
@@ -75,35 +95,54 @@ def monitoring_run(spark: SparkSession, log_path: str, as_of, report_path: str)
 
 
 def start_scoring_stream(spark: SparkSession, requests_dir: str, schema, artifacts: Artifacts,
-                         log_path: str, checkpoint: str, trigger_seconds: int | None = 10):
+                         log_path: str, checkpoint: str, trigger_seconds: int | None = 10,
+                         key: str = "flight_id", responses_path: str | None = None,
+                         rejects_path: str | None = None, risk_scheme: str = "A") -> list:
     """Live path: request files -> validated, scored responses -> appended to
-    the inference log (exactly once through the checkpoint)."""
+    the inference log, with the request key; responses (id, confidence, risk,
+    model) and rejected requests (with reasons) go to their own tables if
+    paths are given. One stream per output, each exactly once through its own
+    checkpoint below ``checkpoint``."""
     best = L.best_run(spark, artifacts.runs).first()
     model = L.load_model(best["model_path"])
     d = FE.load_dictionary(spark, artifacts.dictionary)
-    stream = ST.read_stream(spark, requests_dir, schema)
-    valid = validate_requests(stream).where("is_valid")
-    cols = FE.feature_columns(FE.score_features(valid, d), keep=["request_ts", "OP_CARRIER", "ORIGIN", "DEST"])
-    resp = SC.respond(L.score(model, cols), "probability", best["model"], F.col("request_ts").cast("timestamp"))
-    log = SC.log_rows(resp).withColumn("log_date", F.to_date("timestamp"))
-    w = (log.writeStream.format("parquet").outputMode("append").partitionBy("log_date")
-         .option("checkpointLocation", checkpoint).option("path", log_path))
-    w = w.trigger(processingTime=f"{trigger_seconds} seconds") if trigger_seconds else w.trigger(availableNow=True)
-    return w.start()
+
+    def requests() -> DataFrame:
+        return ST.read_stream(spark, requests_dir, schema)
+
+    def responses() -> DataFrame:
+        return ST.responses_stream(requests(), d, best["model"], model=model, key=key, risk_scheme=risk_scheme)
+
+    def start(name: str, rows: DataFrame, path: str, dated: bool):
+        w = rows.writeStream.format("parquet").outputMode("append")
+        w = w.partitionBy("log_date") if dated else w
+        w = w.option("checkpointLocation", f"{checkpoint}/{name}").option("path", path)
+        return (w.trigger(processingTime=f"{trigger_seconds} seconds") if trigger_seconds
+                else w.trigger(availableNow=True)).start()
+
+    log = SC.log_rows(responses(), keep=[key]).withColumn("log_date", F.to_date("timestamp"))
+    streams = [start("log", log, log_path, True)]
+    if responses_path:
+        out = responses().select(key, "inference_id", "prediction", "delay_probability", "confidence", "risk_level",
+                                 "model_name", "response_ts")
+        streams.append(start("responses", out, responses_path, False))
+    if rejects_path:
+        streams.append(start("rejects", ST.rejected_requests_stream(requests()), rejects_path, False))
+    return streams
 
 
 def model_info(spark: SparkSession, artifacts: Artifacts) -> DataFrame:
-    """One row: best model name, its metrics, the feature list and the known
-    airlines and airports (sorted)."""
+    """Rows (kind, name, value): the best model, its metrics, the feature
+    list, and the known airlines and airports."""
     from tarmac.schema import ALL_FEATURES
     best = L.best_run(spark, artifacts.runs)
-    d = FE.load_dictionary(spark, artifacts.dictionary).table
-    vocab = d.agg(
-        F.array_sort(F.collect_list(F.when(F.col("column_name") == "OP_CARRIER", F.col("value")))).alias("airlines"),
-        F.array_sort(F.collect_list(F.when(F.col("column_name") == "ORIGIN", F.col("value")))).alias("airports"))
-    return best.crossJoin(vocab).select(  # both one row; the vocabulary is bounded by MAX_CLASSES
-        F.col("model").alias("model_name"), "metrics",
-        F.array(*[F.lit(f) for f in ALL_FEATURES]).alias("features"), "airlines", "airports")
+    model = best.select(F.lit("model").alias("kind"), F.col("model").alias("name"), F.lit(None).cast("double").alias("value"))
+    metrics = best.select(F.lit("metric").alias("kind"), F.explode("metrics").alias("name", "value"))
+    feats = spark.createDataFrame([("feature", f, float(i)) for i, f in enumerate(ALL_FEATURES)],
+                                  "kind string, name string, value double")
+    d = FE.vocabulary(spark, FE.load_dictionary(spark, artifacts.dictionary))
+    known = d.select("kind", F.col("value").alias("name"), F.lit(None).cast("double").alias("value"))
+    return model.unionByName(metrics).unionByName(feats).unionByName(known)
 
 
 def start_drift_stream(spark: SparkSession, log_path: str, out_path: str, checkpoint: str,

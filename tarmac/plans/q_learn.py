@@ -1,5 +1,9 @@
-"""Registered queries backed by Spark ML (rows-only checks): training and
-selection, importance, model batch scoring (M2-M7, M13, M14, M16, A7, I8)."""
+"""Registered queries backed by Spark ML: training and selection, stored runs,
+scaler, importance, model scoring and full evaluation (M2-M7, M13-M17, A7, I8).
+
+Fitted numbers are beyond SQL, so the twins check what SQL can say: the split
+and its sizes, the scaler's parameters, value ranges, the quality floor and
+the rule that picks the winner."""
 
 from __future__ import annotations
 
@@ -9,40 +13,168 @@ from tarmac.operators import clean as C
 from tarmac.operators import features as FE
 from tarmac.operators import learn as L
 from tarmac.operators import scoring as SC
+from tarmac.operators.metrics import full_evaluation
 from tarmac.operators.requests import validate_requests
+from tarmac.plans.oracle import with_ctes
+from tarmac.plans.q_features import _REQ_VALID
 from tarmac.plans.registry import register
+from tarmac.schema import ALL_FEATURES
+from tarmac.session import work_dir
 from tarmac.sources import tables
 
+AUC_FLOOR = 0.6
+METRICS = ["roc_auc", "accuracy", "precision", "recall", "f1"]
+
+# The labelled rows, and the md5 split: per class the first round(n / 5) rows in hash order are test.
+_SPLIT = """
+labelled AS (SELECT * FROM flights_encoded WHERE MONTH IS NOT NULL AND DAY_OF_WEEK IS NOT NULL),
+split AS (SELECT *, row_number() OVER (PARTITION BY is_delayed ORDER BY md5('42:' || CAST(flight_id AS VARCHAR)))
+    <= floor(count(*) OVER (PARTITION BY is_delayed) * 0.2 + 0.5) AS test FROM labelled),
+sizes AS (SELECT count(*) FILTER (WHERE NOT test) AS train_size, count(*) FILTER (WHERE test) AS test_size,
+    CAST(coalesce(sum(is_delayed) FILTER (WHERE test), 0) AS BIGINT) AS test_positives FROM split)"""
+_MODELS = "(VALUES (0, 'LogisticRegression'), (1, 'RandomForest'), (2, 'GBT_A'), (3, 'GBT_B')) AS m(position, model)"
+
 
 def labelled_features(spark, sf):
     enc, d = FE.build_features(C.clean(tables.flights_raw(spark, sf)))
     return L.training_frame(enc), d
 
 
-@register("train_models", operators=("M2", "M3", "M4", "M5", "M6", "M7", "M13", "M14"))
+def _in_range(cols=METRICS):
+    ok = F.lit(True)
+    for c in cols:
+        ok = ok & F.coalesce(F.col(c).between(0, 1), F.lit(False))
+    return ok
+
+
+@register("train_models", operators=("M2", "M3", "M4", "M5", "M6", "M7", "M13", "M14", "M15"),
+          oracle=with_ctes(["flights_encoded"], f"""
+SELECT CAST(position AS INTEGER) AS position, model, 'FlightDelay_' || model AS run_name, CAST(train_size AS VARCHAR) AS train_size,
+ CAST(test_size AS VARCHAR) AS test_size, '{len(ALL_FEATURES)}' AS n_features, test_size AS scored_rows, test_positives AS scored_positives,
+ true AS auc_above_floor, true AS values_in_range, true AS winner_has_best_auc, CAST(1 AS BIGINT) AS winners
+FROM {_MODELS}, sizes""", [_SPLIT]))
 def train_models(spark, sf):
-    """All four models with the full presets; one row per model with the
-    test metrics and the winner flagged."""
+    """All four models with the full presets, the runs stored and read back:
+    one row per model."""
     tf, _ = labelled_features(spark, sf)
     res = L.train_all(spark, tf, L.Presets())
-    return res.metrics.withColumn("is_best", F.col("model") == F.lit(res.best_name))
+    root = work_dir(spark, "runs")
+    L.record_runs(spark, res, f"{root}/runs", f"{root}/models")
+    runs = spark.read.parquet(f"{root}/runs")
+    counts = res.scored.groupBy("model").agg(F.count(F.lit(1)).alias("scored_rows"),
+                                             F.sum("label").cast("bigint").alias("scored_positives"))
+    best = runs.agg(F.max(F.when(F.col("is_best"), F.col("metrics")["roc_auc"])).alias("best"),
+                    F.max(F.col("metrics")["roc_auc"]).alias("top"), F.count(F.when(F.col("is_best"), 1)).alias("winners"))
+    out = runs.join(counts, "model").join(res.metrics, "model").crossJoin(best)     # four rows, one row
+    return out.select(
+        "position", "model", "run_name", F.col("params")["train_size"].alias("train_size"),
+        F.col("params")["test_size"].alias("test_size"), F.col("params")["n_features"].alias("n_features"),
+        "scored_rows", "scored_positives", (F.col("roc_auc") > AUC_FLOOR).alias("auc_above_floor"),
+        _in_range().alias("values_in_range"), (F.col("best") == F.col("top")).alias("winner_has_best_auc"), "winners")
+
+
+@register("scaler_parameters", operators=("M2",), oracle=with_ctes(["flights_encoded"], " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, round(avg({f}), 6) AS mean, round(stddev_samp({f}), 6) AS sd FROM split WHERE NOT test"
+    for f in ALL_FEATURES), [_SPLIT]))
+def scaler_parameters(spark, sf):
+    """Mean and standard deviation of every feature on the training rows."""
+    tf, _ = labelled_features(spark, sf)
+    res = L.train_all(spark, tf, L.Presets(lr_max_iter=1), models=["LogisticRegression"], evaluate=False)
+    rows = L.scaler_parameters(res.models["LogisticRegression"])
+    return spark.createDataFrame(rows, "feature string, mean double, sd double").select(
+        "feature", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+@register("top_correlations", operators=("A7",), oracle=with_ctes(["flights_encoded"], f"""
+SELECT feature, round(importance, 6) AS importance FROM ({" UNION ALL ".join(
+    f"SELECT '{f}' AS feature, abs(corr({f}, is_delayed)) AS importance FROM labelled" for f in ALL_FEATURES)}) c
+WHERE importance IS NOT NULL AND NOT isnan(importance) ORDER BY importance DESC, feature LIMIT 5""", [_SPLIT]))
+def top_correlations(spark, sf):
+    """The five features that correlate most with the label."""
+    tf, _ = labelled_features(spark, sf)
+    c = L.abs_correlations(tf).where("importance IS NOT NULL AND NOT isnan(importance)")
+    return L.top_importances(c, 5).select("feature", F.round("importance", 6).alias("importance"))
 
 
-@register("feature_importance", operators=("M16", "A7"))
+@register("feature_importance", operators=("M16",), oracle="""
+SELECT model, CAST(10 AS BIGINT) AS n, true AS descending, true AS not_negative, true AS known_features
+FROM (VALUES ('LogisticRegression'), ('RandomForest')) AS m(model)""")
 def feature_importance(spark, sf):
     """Top-10 importances of the linear model (|coefficients|) and the forest
-    (impurity importances), full presets."""
+    (impurity importances), full presets: one row per model with what holds."""
     tf, _ = labelled_features(spark, sf)
-    res = L.train_all(spark, tf, L.Presets(), models=["LogisticRegression", "RandomForest"])
-    parts = [L.top_importances(L.feature_importance(spark, res.models[m]), 10)
-             .withColumn("model", F.lit(m)) for m in ["LogisticRegression", "RandomForest"]]
-    return parts[0].unionByName(parts[1]).select("model", "feature", "importance")
+    names = ["LogisticRegression", "RandomForest"]
+    res = L.train_all(spark, tf, L.Presets(), models=names, evaluate=False)
+    out = None
+    for m in names:
+        top = L.top_importances(L.feature_importance(spark, res.models[m]), 10)
+        part = top.agg(F.collect_list("importance").alias("v"), F.collect_list("feature").alias("f"))     # ten rows
+        part = part.select(F.lit(m).alias("model"), F.size("v").cast("bigint").alias("n"),
+                           (F.col("v") == F.reverse(F.array_sort("v"))).alias("descending"),
+                           F.forall("v", lambda x: x >= 0).alias("not_negative"),
+                           (F.size(F.array_except("f", F.array(*[F.lit(f) for f in ALL_FEATURES]))) == 0).alias("known_features"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-@register("batch_score_model", operators=("I8", "M7", "F13"))
+@register("batch_score_model", operators=("I8", "M7", "F13"), oracle=with_ctes(["requests"], """
+SELECT flight_id, airline, origin || '→' || destination AS route, true AS probability_ok, true AS bands_agree
+FROM req_valid WHERE reject_reason = ''""", [_REQ_VALID]))
 def batch_score_model(spark, sf):
     """Valid requests scored by the logistic model trained on the flights."""
     tf, d = labelled_features(spark, sf)
-    res = L.train_all(spark, tf, L.Presets(), models=["LogisticRegression"])
+    res = L.train_all(spark, tf, L.Presets(), models=["LogisticRegression"], evaluate=False)
     req = validate_requests(tables.requests(spark, sf)).where("is_valid")
-    return SC.batch_score(req, d, model=res.models["LogisticRegression"])
+    out = SC.batch_score(req, d, model=res.models["LogisticRegression"])
+    p = F.col("delay_probability")
+    return out.select("flight_id", "airline", "route", p.between(0, 1).alias("probability_ok"),
+                      ((F.col("prediction") == "Delayed") == F.col("risk_level").isin("HIGH", "VERY HIGH")).alias("bands_agree"))
+
+
+@register("model_roundtrip", operators=("S10", "M7"), oracle=with_ctes(["requests"], """
+SELECT count(*) AS requests, count(*) AS equal_scores FROM req_valid WHERE reject_reason = ''""", [_REQ_VALID]))
+def model_roundtrip(spark, sf):
+    """A model saved and loaded scores every request as before."""
+    tf, d = labelled_features(spark, sf)
+    model = L.train_all(spark, tf, L.Presets(), models=["LogisticRegression"], evaluate=False).models["LogisticRegression"]
+    loaded = L.load_model(L.save_model(model, f"{work_dir(spark, 'model')}/model"))
+    feats = FE.feature_columns(FE.score_features(validate_requests(tables.requests(spark, sf)).where("is_valid"), d),
+                               keep=["flight_id"])
+    before = L.score(model, feats).withColumnsRenamed({"probability": "p1", "prediction": "y1"})
+    both = L.score(loaded, before)
+    return both.agg(F.count(F.lit(1)).alias("requests"),
+                    F.count(F.when((F.col("p1") == F.col("probability")) & (F.col("y1") == F.col("prediction")), 1)).alias("equal_scores"))
+
+
+@register("runs_roundtrip", operators=("S11", "M14"), oracle=with_ctes(["flights_encoded"], f"""
+SELECT model, 'FlightDelay_' || model AS run_name, is_best, CAST(test_size AS VARCHAR) AS test_size,
+ 'accuracy,f1,precision,recall,roc_auc' AS metric_names, CAST({len(ALL_FEATURES)} AS INTEGER) AS feature_count, true AS model_loads
+FROM (VALUES ('LogisticRegression', true)) AS m(model, is_best), sizes""", [_SPLIT]))
+def runs_roundtrip(spark, sf):
+    """A run stored and found again as the best one, with a model that loads."""
+    tf, _ = labelled_features(spark, sf)
+    res = L.train_all(spark, tf, L.Presets(), models=["LogisticRegression"])
+    root = work_dir(spark, "runs")
+    L.record_runs(spark, res, f"{root}/runs", f"{root}/models")
+    best = L.best_run(spark, f"{root}/runs")
+    loads = len(L.load_model(best.first()["model_path"]).stages) == 3
+    runs = spark.read.parquet(f"{root}/runs").select("model", "run_name", "is_best", F.col("params")["test_size"].alias("test_size"))
+    return runs.join(best, "model").select(
+        "model", "run_name", "is_best", "test_size", F.array_join(F.array_sort(F.map_keys("metrics")), ",").alias("metric_names"),
+        "feature_count", F.lit(loads).alias("model_loads"))
+
+
+@register("full_evaluation", operators=("M17", "M11", "M12", "M15"), oracle=with_ctes(["flights_encoded"], """
+SELECT t.name, CASE t.name WHEN 'comparison' THEN 5 WHEN 'confusion' THEN 4 WHEN 'report' THEN 5 END AS n,
+ CASE t.name WHEN 'comparison' THEN 1 ELSE test_size END AS total
+FROM (VALUES ('comparison'), ('confusion'), ('report')) AS t(name), sizes""", [_SPLIT]))
+def full_evaluation_tables(spark, sf):
+    """The evaluation tables of a training run: rows and totals of each."""
+    tf, _ = labelled_features(spark, sf)
+    res = L.train_all(spark, tf, L.Presets(), models=["LogisticRegression"])
+    t = full_evaluation(res.scored, res.best_name)
+    count = F.count(F.lit(1)).cast("int")
+    parts = [t["comparison"].agg(count.alias("n"), F.count_distinct("model").alias("total")).select(F.lit("comparison").alias("name"), "n", "total"),
+             t["confusion"].agg(count.alias("n"), F.sum("n").alias("total")).select(F.lit("confusion").alias("name"), "n", "total"),
+             t["report"].agg(count.alias("n"), F.max("support").alias("total")).select(F.lit("report").alias("name"), "n", "total")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -18,9 +18,12 @@ def test_end_to_end(spark):
     art = P.Artifacts(root + "/artifacts")
     res = P.training_run(spark, synthetic.generate(spark, 800, seed=5), art, SMALL)
     assert res.best_name in L.MODEL_ORDER
-    info = P.model_info(spark, art).first()
-    assert info["model_name"] == res.best_name and len(info["features"]) == 12
-    assert info["airlines"] == sorted(info["airlines"]) and len(info["airports"]) > 0
+    info = P.model_info(spark, art).collect()
+    assert [r["name"] for r in info if r["kind"] == "model"] == [res.best_name]
+    assert sum(r["kind"] == "feature" for r in info) == 12 and any(r["kind"] == "airport" for r in info)
+    assert {r["name"] for r in info if r["kind"] == "metric"} == {"roc_auc", "accuracy", "precision", "recall", "f1"}
+    assert spark.read.parquet(art.evaluation + "/report").count() == 5
+    assert spark.read.parquet(art.evaluation + "/summary").count() == 1
     from tarmac.operators.metrics import full_evaluation
     ev = full_evaluation(res.scored_test().cache(), res.best_name)
     assert ev["comparison"].count() == 20 and ev["confusion"].count() == 4 and ev["report"].count() == 5
@@ -37,16 +40,21 @@ def test_end_to_end(spark):
     assert scored.count() == 4
     assert spark.read.option("header", True).csv(root + "/scored_rejected").count() == 1
 
-    schema = ("request_ts timestamp, airline string, origin string, destination string, "
+    schema = ("flight_id long, request_ts timestamp, airline string, origin string, destination string, "
               "departure_delay double, distance double, day_of_week int, month int, hour int")
     t0 = dt.datetime(2024, 1, 29, 12)
-    reqs = spark.createDataFrame([(t0 + dt.timedelta(minutes=i), "aa", "jfk", "lax", float(i % 40), 1000.0 + i,
-                                   1 + i % 7, 1 + i % 12, i % 24) for i in range(60)], schema)
+    reqs = spark.createDataFrame([(i, t0 + dt.timedelta(minutes=i), "aa", "jfk", "lax", float(i % 40), 1000.0 + i,
+                                   1 + i % 7, 1 + i % 12, i % 24) for i in range(60)]
+                                  + [(99, t0, "aa", "jfk", "lax", 1.0, float("nan"), 1, 1, 1)], schema)
     src = root + "/requests"
     reqs.write.parquet(src)
-    q = P.start_scoring_stream(spark, src, reqs.schema, art, root + "/log", root + "/log_ckpt",
-                               trigger_seconds=None)
-    q.awaitTermination(300)
+    for q in P.start_scoring_stream(spark, src, reqs.schema, art, root + "/log", root + "/log_ckpt", trigger_seconds=None,
+                                    responses_path=root + "/responses", rejects_path=root + "/rejects"):
+        q.awaitTermination()
+    resp = spark.read.parquet(root + "/responses")
+    assert resp.count() == 60 == resp.select("inference_id").distinct().count()
+    assert resp.where("confidence IS NULL OR risk_level IS NULL").count() == 0
+    assert spark.read.parquet(root + "/rejects").where("reject_reason = 'distance: not a number'").count() == 1
     log = io.load_inference_log(spark, root + "/log")
     assert log.count() == 60
     assert log.where(F.col("origin") == "JFK").count() == 60
