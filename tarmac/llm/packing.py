@@ -35,59 +35,124 @@ WINDOW = 4096
 UNIT = 64
 DEPTH = 3                  # pieces of a combination
 CLOSING = 2                # id after each document
-MEMO = 400_000             # words whose ids one Python worker remembers
+MEMO = 400_000             # words whose ids one Python worker remembers, in two halves
+CHUNK = 1 << 16            # words looked up together
 TOKENIZER = "word_bpe_49k.json"
 
-_SPLIT = re.compile(r"([^\W\d_]+)([.,!?;:*#$%&|]+)")
-_memo: dict[str, dict[bytes, bytes]] = {}
+# Letters (ASCII and Latin-1) with closing punctuation: the tokenizer splits exactly there, whatever it normalises.
+_LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_SPLIT = re.compile(f"([{_LETTERS}]+)([.,!?;:*#$%&|]+)")
+_PLAIN = re.compile(f"[{_LETTERS}]+")
+_memo: dict[str, list[dict[bytes, bytes]]] = {}
 
 
 class WordTokenizer:
     """Token ids of a text as little-endian 16-bit integers.
 
     The tokenizer drops white space and never joins two words, so a text's
-    ids are its words' ids in order; words seen before are looked up. The
-    memory of words lives as long as the Python worker and is bounded.
+    ids are its words' ids in order; words seen before are looked up. Plain
+    words are encoded many at a time: each ends at its one word-end token.
+    The memory of words lives as long as the Python worker and is bounded: it
+    has a young and an old half, and the old half is forgotten first.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        if self.tok.get_vocab_size() > 1 << 16:
+        size = self.tok.get_vocab_size()
+        if size > 1 << 16:
             raise ValueError("ids do not fit into 16 bits")
-        self.memo = _memo.setdefault(path, {})
+        # Plain lower-case words need no normaliser and split at blanks only: the same model without those steps.
+        self.quick = Tokenizer(self.tok.model)
+        self.quick.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.young, self.old = _memo.setdefault(path, [{}, {}])
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        out = self.tok.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u2").tobytes() for e in out]
+        """Ids of each word."""
+        plain = [w for w in words if _PLAIN.fullmatch(w)]
+        known = {}
+        for at in range(0, len(plain), 4_000):
+            part = plain[at:at + 4_000]
+            text = " ".join(part).lower()
+            ids = np.array(self.quick.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u2")
+            stop = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stop) == len(part):                      # else they are encoded one by one below
+                raw = ids.tobytes()
+                known.update((w, raw[2 * a:2 * b]) for w, a, b in zip(part, [0, *stop], stop))
+        rest = [w for w in words if w not in known]
+        out = self.tok.encode_batch_fast(rest, add_special_tokens=False)
+        known.update((w, np.array(e.ids, dtype="<u2").tobytes()) for w, e in zip(rest, out))
+        return [known[w] for w in words]
 
     def _learn(self, words: set[bytes]) -> None:
-        """Remember words; letters and closing punctuation are encoded apart,
-        as the tokenizer itself splits there."""
-        memo = self.memo
-        text = {w: w.decode("utf-8") for w in words}
-        parts = {w: m.groups() for w, t in text.items() if (m := _SPLIT.fullmatch(t))}
-        whole = {p.encode("utf-8") for two in parts.values() for p in two} | {w for w in words if w not in parts}
-        need = sorted(w for w in whole if w not in memo)
-        memo.update(zip(need, self._encode([w.decode("utf-8") for w in need])))
+        """Put words into the young half."""
+        young, old = self.young, self.old
+        fresh = []
+        for w in words:
+            got = old.get(w)
+            if got is None:
+                fresh.append(w)
+            else:
+                young[w] = got
+        parts, whole = {}, set()
+        for w in fresh:
+            text = w.decode("utf-8")
+            m = _SPLIT.fullmatch(text)
+            if m:
+                parts[w] = [x.encode("utf-8") for x in m.groups()]
+                whole.update(parts[w])
+            else:
+                whole.add(w)
+        need = []
+        for w in whole:
+            got = young.get(w) or old.get(w)
+            if got is None:
+                need.append(w)
+            else:
+                young[w] = got
+        need.sort()
+        young.update(zip(need, self._encode([w.decode("utf-8") for w in need])))
         for w, (a, b) in parts.items():
-            memo[w] = memo[a.encode("utf-8")] + memo[b.encode("utf-8")]
-
-    def __call__(self, text: str | None) -> bytes:
-        # The tokenizer lowers letters itself; lowering A-Z first makes more words equal.
-        words, out, memo = (text or "").encode("utf-8").lower().split(), [], self.memo
-        for at in range(0, len(words), 1 << 17):           # bounded memory for very long texts
-            part = words[at:at + (1 << 17)]
-            new = set(part).difference(memo)
-            if new:
-                if len(memo) + len(new) > MEMO:
-                    memo.clear()
-                    new = set(part)
-                self._learn(new)
-            out.append(b"".join([memo[w] for w in part]))
-        return b"".join(out)
+            young[w] = young[a] + young[b]
+
+    def _ids(self, words: list[list[bytes]]) -> list[bytes]:
+        new = set().union(*words).difference(self.young)
+        if new:
+            if len(self.young) + 2 * len(new) > MEMO // 2:
+                self.old, self.young = self.young, {}
+                _memo_set(self)
+                new = set().union(*words)
+            self._learn(new)
+        memo = self.young
+        return [b"".join([memo[w] for w in ws]) for ws in words]
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; NULL and empty texts have none. Texts are taken
+        together up to CHUNK words, and a longer text in pieces."""
+        out, group, size = [], [], 0
+        for t in texts:
+            # The tokenizer lowers letters itself; lowering A-Z first makes more words equal.
+            words = (t or "").encode("utf-8").lower().split()
+            if size + len(words) > CHUNK:
+                out += self._ids(group)
+                group, size = [], 0
+            if len(words) > CHUNK:
+                out.append(b"".join(self._ids([words[at:at + CHUNK]])[0] for at in range(0, len(words), CHUNK)))
+            else:
+                group.append(words)
+                size += len(words)
+        return out + self._ids(group)
+
+
+def _memo_set(tok: WordTokenizer) -> None:
+    """Hand the halves on to the worker's next task."""
+    for halves in _memo.values():
+        if halves[0] is tok.old:
+            halves[:] = [tok.young, tok.old]
 
 
 def tokenise(docs: DataFrame, path: str, window: int = WINDOW, unit: int = UNIT) -> DataFrame:
@@ -104,7 +169,7 @@ def tokenise(docs: DataFrame, path: str, window: int = WINDOW, unit: int = UNIT)
         full, mains, tails = 0, np.zeros(classes, np.int64), 0
         closing = np.array([CLOSING], dtype="<u2").tobytes()
         for b in batches:
-            ids = [tok(t) + closing for t in b.column(1).to_pylist()]
+            ids = [x + closing for x in tok(b.column(1).to_pylist())]
             n = np.array([len(x) // 2 for x in ids], dtype=np.int64)
             whole, rest = n // window, n % window
             main, tail = rest // unit, rest % unit
@@ -285,6 +350,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, unit: int = UNIT, wit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
+        _memo.clear()                                       # the words are not needed any more
         for b in batches:
             cols = {k: b.column(i).to_pylist() for i, k in enumerate(b.schema.names)}
             rows: list[list] = [[] for _ in range(8)]
