@@ -119,6 +119,7 @@ def _drift_columns(baseline: float, window_days: int, threshold: float, min_rows
     rate = F.when(evaluated, F.col("_recent_delayed") / n.cast("double"))
     drift = F.abs(rate - F.lit(baseline))
     detected = F.coalesce(evaluated & (drift > F.lit(threshold)), F.lit(False))
+    # fixed values: the texts below are the result's
     alert = F.when(evaluated & detected, F.concat(F.lit("⚠️ Data drift detected! ("), percent_text(drift),
                                                    F.lit(" > "), percent_text(F.lit(threshold)), F.lit(")"))) \
              .when(evaluated, F.lit("✅ No significant drift"))

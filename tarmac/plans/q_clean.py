@@ -102,4 +102,5 @@ SELECT count(*) AS total_flights, CAST(coalesce(sum(is_delayed), 0) AS BIGINT) A
  CAST(count(DISTINCT ORIGIN || '-' || DEST) AS BIGINT) AS routes
 FROM flights_clean"""))
 def data_summary(spark, sf):
-    return C.data_summary(_clean(spark, sf))
+    s = C.data_summary(_clean(spark, sf))
+    return s.withColumn("avg_arr_delay", F.round("avg_arr_delay", 6))

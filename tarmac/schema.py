@@ -31,11 +31,11 @@ CAUSE_COLUMNS = [
 ]
 
 # Model features, in the fixed order of the feature vector.
-NUMERIC_FEATURES = ["DEP_DELAY", "DISTANCE", "HOUR"]
-CATEGORICAL_FEATURES = ["DAY_OF_WEEK", "MONTH", "DIST_BUCKET", "IS_WEEKEND",
-                        "IS_PEAK_HOUR", "SEASON"]
-LABEL_ENCODED_FEATURES = ["AIRLINE_ENC", "ORIGIN_ENC", "DEST_ENC"]
-ALL_FEATURES = NUMERIC_FEATURES + CATEGORICAL_FEATURES + LABEL_ENCODED_FEATURES
+ALL_FEATURES = [
+    "DEP_DELAY", "DISTANCE", "HOUR",
+    "DAY_OF_WEEK", "MONTH", "DIST_BUCKET", "IS_WEEKEND", "IS_PEAK_HOUR", "SEASON",
+    "AIRLINE_ENC", "ORIGIN_ENC", "DEST_ENC",
+]
 
 # Category column -> encoded feature column.
 ENCODED_COLUMNS = [("OP_CARRIER", "AIRLINE_ENC"), ("ORIGIN", "ORIGIN_ENC"),

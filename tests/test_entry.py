@@ -2,6 +2,7 @@
 smallest tables (the same comparison the correctness gate makes)."""
 
 import os
+import re
 import sys
 
 import pytest
@@ -11,7 +12,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as E  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-ML = {"train_models", "feature_importance", "batch_score_model"}
+SLOW = {"train_models", "feature_importance"}     # full presets; tools/oracle_check.py compares them
 
 
 def test_entry_runs(spark):
@@ -24,8 +25,8 @@ def test_registry_consistent():
     qs, sqls = E.queries(), E.oracle_sql()
     assert set(sqls) <= set(qs)
     assert len(qs) >= 50
-    # rows-only: the model-backed queries and the generator
-    assert set(qs) - set(sqls) == ML | {"synthetic_flights"}
+    corpus = {n for n in qs if re.match(r"op[0-9]+_|pipeline$", n)}     # there only with their subpackage
+    assert set(qs) - set(sqls) <= corpus
 
 
 @pytest.fixture(scope="module")
@@ -40,7 +41,8 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(
+    n for n in E.oracle_sql() if n not in SLOW and not re.match(r"op[0-9]+_|pipeline$", n)))
 def test_sql_twin(spark, duck, name):
     from oracle_check import rows_of
     sdf = E.queries()[name](spark, SF).toPandas()

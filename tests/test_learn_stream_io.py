@@ -79,8 +79,8 @@ def test_importance_and_runs(spark, trained):
 def test_batch_score_with_model(spark, trained):
     res, d, _ = trained
     req = spark.createDataFrame(
-        [(1, "AA", "JFK", "LAX", 20.0, 2475.0, 5, 7, 14), (2, "DL", "ATL", "ORD", 0.0, 718.0, 2, 3, 9),
-         (3, "WN", "MDW", "DEN", -5.0, 920.0, 6, 12, 16), (4, "UA", "SFO", "EWR", 45.0, 2565.0, 1, 8, 7)],
+        [(1, "AS", "SEA", "PHX", 12.0, 1107.0, 3, 2, 21), (2, "F9", "MCO", "BWI", 33.0, 787.0, 7, 10, 6),
+         (3, "HA", "LAS", "DTW", -8.0, 1749.0, 4, 5, 13), (4, "OO", "MSP", "SLC", 90.0, 991.0, 1, 11, 18)],
         "flight_id long, airline string, origin string, destination string, departure_delay double, "
         "distance double, day_of_week int, month int, hour int")
     out = SC.batch_score(validate_requests(req).where("is_valid"), d, model=res.models["LogisticRegression"])

@@ -30,9 +30,9 @@ def test_end_to_end(spark):
     assert ev["roc"].count() >= 2
 
     up = spark.createDataFrame(
-        [("AA", "JFK", "LAX", "20", "2475", "5", "7", "14"), ("DL", "ATL", "ORD", "0", "718", "2", "3", "9"),
-         ("WN", "MDW", "DEN", "-5", "920", "6", "12", "16"), ("UA", "SFO", "EWR", "45", "2565", "1", "8", "7"),
-         ("UA", "SFO", "EWR", "45", "", "1", "8", "7")],
+        [("AS", "SEA", "PHX", "12", "1107", "3", "2", "21"), ("F9", "MCO", "BWI", "33", "787", "7", "10", "6"),
+         ("HA", "LAS", "DTW", "-8", "1749", "4", "5", "13"), ("OO", "MSP", "SLC", "90", "991", "1", "11", "18"),
+         ("OO", "MSP", "SLC", "90", "", "1", "11", "18")],
         "airline string, origin string, destination string, departure_delay string, distance string, "
         "day_of_week string, month string, hour string")
     io.save_csv(up, root + "/upload")
