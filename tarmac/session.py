@@ -22,6 +22,9 @@ REQUIRED_CONF = {
 }
 
 
+_work_dirs: list[str] = []
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "tarmac", driver_memory: str = "16g") -> SparkSession:
     builder = (
@@ -76,8 +79,22 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new, unique sub-folder of the checkpoint root for one run's tables."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new, unique sub-folder of the checkpoint root for one run's tables.
+    ``remove_work_dirs`` removes all that this process asked for."""
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _work_dirs.append(path)
+    return path
+
+
+def remove_work_dirs(spark: SparkSession) -> int:
+    """Delete the folders that ``work_dir`` named in this process, for when no
+    DataFrame over them is needed any more; returns how many existed."""
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    gone = 0
+    while _work_dirs:
+        p = path(_work_dirs.pop())
+        gone += bool(p.getFileSystem(conf).delete(p, True))
+    return gone
 
 
 def ensure_parent(spark: SparkSession, path: str) -> None:

@@ -23,3 +23,15 @@ def test_node_memory_budget(spark, monkeypatch):
 
 def test_memory_parser(spark):
     assert L._memory_mb(spark) == 4096  # the test session runs with a 4g driver
+
+
+def test_work_dirs_are_removed(spark, monkeypatch):
+    from tarmac import session
+    from tarmac.session import remove_work_dirs
+    monkeypatch.setattr(session, "_work_dirs", [])      # leave other tests' tables alone
+    from tarmac.sources.io import path_exists
+    path = work_dir(spark, "t-remove")
+    spark.range(3).write.parquet(path)
+    assert path_exists(spark, path)
+    assert remove_work_dirs(spark) >= 1 and not path_exists(spark, path)
+    assert remove_work_dirs(spark) == 0
