@@ -19,7 +19,7 @@ WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 # Rows in one Arrow batch sent to a Python worker: bounds the worker's memory
 # (long documents are scored piece by piece inside the batch).
-ARROW_ROWS = 4096
+ARROW_ROWS = 2048
 
 
 def prepare(spark: SparkSession) -> None:
@@ -60,6 +60,33 @@ def word_count(text: Column) -> Column:
     return F.when(flat == "", F.lit(0)).otherwise(blanks + 1).cast("long")
 
 
+def hashed_sample(rows: DataFrame, by: list[str], most: int, seed: int) -> DataFrame:
+    """At most ``most`` distinct rows of each group ``by``, the first in the
+    order of a hash of ``doc_id``.
+
+    The groups are counted first, and only rows whose hash lies below twice
+    the needed share are ranked. So what a task ranks is about twice the
+    sample at every size of the input, also for a group with most of the rows.
+    The groups are label values of a model that holds a table for each, so
+    their counts (one row each) are small enough to broadcast.
+    """
+    from pyspark.sql import Window
+    unit = 1 << 30
+    mark = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(unit))
+    rows = rows.withColumn("_mark", mark)
+    if by:
+        sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))        # one row for each group
+    else:
+        sizes = rows.agg(F.count(F.lit(1)).alias("_n"))
+    limit = F.when(F.col("_n") > 2 * most, F.lit(2.0 * most) / F.col("_n") * unit).otherwise(F.lit(float(unit)))
+    low = sizes.select(*by, limit.alias("_limit"))
+    small = F.broadcast(low)
+    near = (rows.join(small, by) if by else rows.crossJoin(small)).where("_mark < _limit")
+    near = near.drop("_limit").distinct()
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("_mark", "doc_id"))
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank", "_mark")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column,
                     max_rows: int) -> DataFrame:
     """At most ``max_rows`` labelled documents (doc_id, text, label), chosen by
@@ -74,7 +101,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: C
            .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
            .groupBy("doc_id").agg(F.max("label").alias("label"))
            .where(learnable))
-    ids = lab.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(int(max_rows))
+    ids = hashed_sample(lab, [], max_rows, 7)
     return (docs.select("doc_id", "text").where(F.col("text").isNotNull())
             .join(F.broadcast(ids), "doc_id")
             .groupBy("doc_id", "label").agg(F.min("text").alias("text")))
@@ -130,10 +157,10 @@ class SparseRows:
         self.row = np.repeat(np.arange(self.n), self.sizes)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.val * w[self.idx], minlength=self.n)
+        return np.bincount(self.row, self.val * w[self.idx], minlength=self.n).astype(np.float64)
 
     def back(self, r: np.ndarray, dim: int) -> np.ndarray:
-        return np.bincount(self.idx, self.val * r[self.row], minlength=dim)
+        return np.bincount(self.idx, self.val * r[self.row], minlength=dim).astype(np.float64)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -158,9 +185,13 @@ class Adam:
             p -= self.rate * (m / (1 - 0.9 ** self.t)) / (np.sqrt(v / (1 - 0.99 ** self.t)) + 1e-8)
 
 
+PRIOR = 4.0                # rows that the calibration's prior weighs
+
+
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic fit p = sigmoid(a z + b) by Newton steps,
-    with Platt's smoothed targets. Identity when a class is missing."""
+    with Platt's smoothed targets. A ridge holds the fit near the identity
+    where rows are few; the identity when a class is missing."""
     pos, neg = float((y == 1).sum()), float((y == 0).sum())
     if pos == 0 or neg == 0:
         return 1.0, 0.0
@@ -169,8 +200,8 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     w = np.array([1.0, 0.0])
     for _ in range(50):
         p = sigmoid(x @ w)
-        g = x.T @ (p - t) + 1e-3 * (w - [1.0, 0.0])
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        g = x.T @ (p - t) + PRIOR * (w - [1.0, 0.0])
+        h = (x * (p * (1 - p))[:, None]).T @ x + PRIOR * np.eye(2)
         d = np.linalg.solve(h, g)
         w = w - np.clip(d, -5, 5)
         if np.abs(d).max() < 1e-9:

@@ -20,16 +20,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tarmac.llm.common import filter_rows, fold, prepare
+from tarmac.llm.common import filter_rows, fold, hashed_sample, prepare
 
 BITS = 16
 PER_LANG = 3000            # bound of the labelled sample, documents of one language
 SMOOTH = 0.5
 CLIP = 8.0                 # largest advantage one word gives a language (nats)
 SWITCH = 10.0              # penalty for changing the language (nats)
-PIECE = 1 << 21            # code points scored at a time
+PIECE = 1 << 19            # code points scored at a time
 MIN_SCORE = 0.3            # the pipeline stage rejects documents below this share
 UNKNOWN = "und"
 
@@ -179,16 +179,14 @@ def learnable() -> Column:
 def fit_languages(docs: DataFrame, learn: Column | None = None, per_lang: int = PER_LANG) -> LangModel:
     """Window counts of at most ``per_lang`` documents of each language.
 
-    Only (doc_id, lang) is ranked, with a row-number limit that Spark applies
-    before the shuffle; the chosen ids are bounded by ``per_lang`` times the
-    number of languages. Counting runs on the executors; per task and
+    Only (doc_id, lang) is sampled; the chosen ids are bounded by ``per_lang``
+    times the number of languages. Counting runs on the executors; per task and
     language one table of fixed size returns. Rows with NULL lang, text or id
     teach nothing; no usable row gives a model without languages.
     """
     learn = learnable() if learn is None else learn
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id"))
-    ids = (docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-           .withColumn("_r", rank).where(F.col("_r") <= per_lang).select("doc_id", "lang").distinct())
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
+    ids = hashed_sample(rows, ["lang"], per_lang, 5)
     sample = (docs.select("doc_id", "lang", "text").where("text IS NOT NULL")
               .join(F.broadcast(ids), ["doc_id", "lang"])
               .groupBy("doc_id", "lang").agg(F.min("text").alias("text")))
