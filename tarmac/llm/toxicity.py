@@ -119,7 +119,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
         z, sums = fm_margin(x, w, v, float(bias[0]))
         r = (sigmoid(z) - t) / len(t)
         gv = np.stack([x.back(r * sums[:, f], dim) for f in range(FACTORS)], axis=1)
-        gv -= v * np.bincount(x.idx, x.val ** 2 * r[x.row], minlength=dim)[:, None]
+        gv -= v * x.back(r, dim)[:, None]              # values are one, so their squares are too
         opt.step([x.back(r, dim) + 2e-5 * w, np.array([r.sum()]), gv + 1e-4 * v])
     a, b = platt(fm_margin(sparse(np.flatnonzero(held)), w, v, float(bias[0]))[0], y[held])
     return ToxicModel(hashes, w, v, a, a * float(bias[0]) + b)
