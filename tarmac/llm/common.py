@@ -54,10 +54,9 @@ def fold(doc_id: Column, k: int) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of words of a text, NULL counting as empty (built-ins only):
-    white-space runs become one blank, outer blanks go, blanks are counted."""
-    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    blanks = F.length(flat) - F.length(F.translate(flat, " ", ""))
-    return F.when(flat == "", F.lit(0)).otherwise(blanks + 1).cast("long")
+    each word with the white space behind it becomes one letter."""
+    flat = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+", "")
+    return F.length(F.regexp_replace(flat, r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", "w")).cast("long")
 
 
 def hashed_sample(rows: DataFrame, by: list[str], most: int, seed: int) -> DataFrame:
