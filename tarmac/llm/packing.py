@@ -35,7 +35,7 @@ WINDOW = 4096
 UNIT = 64
 DEPTH = 3                  # pieces of a combination
 CLOSING = 2                # id after each document
-MEMO = 400_000             # words whose ids one Python worker remembers, in two halves
+MEMO = 600_000             # words whose ids one Python worker remembers, in two halves
 CHUNK = 1 << 16            # words looked up together
 TOKENIZER = "word_bpe_49k.json"
 
