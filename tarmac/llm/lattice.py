@@ -10,8 +10,8 @@ cosine in double precision.
 Equal vectors of a label are one class with a count. A cell with more rows
 than TILE is cut into tiles and every pair of tiles is compared, so no cell
 is capped. A pair of classes may meet in several cells; it is counted at its
-first meeting only, which both rows can tell from the cells they carry, so
-link counts need no table of pairs. A task returns link counts and a
+first meeting only, which follows from the cells of its two vectors, so link
+counts need no table of pairs. A task returns link counts and a
 spanning forest, at most a few rows for each row it read.
 """
 
@@ -108,11 +108,20 @@ def _first_meeting(a: np.ndarray, b: np.ndarray, table: int, way: int) -> np.nda
     return first
 
 
-def tile_links(cid, count, unit, keys, home, first_tile, second_tile, table, min_cosine):
+def unit_vectors(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision; scaled first, so no square overflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def tile_links(cid, unit, home, first_tile, second_tile, table, min_cosine, tables=TABLES, probes=PROBES, scale=SCALE):
     """(i, j) index pairs of the links that a tile pair must count: cosine at
     least ``min_cosine``, at least one of both at home in the cell, and first
-    meeting here. ``first_tile``/``second_tile`` are the rows of the tiles
-    (the same array for a tile with itself)."""
+    meeting here (the cells of linked rows are made again for that).
+    ``first_tile``/``second_tile`` are the rows of the tiles (the same array
+    for a tile with itself)."""
+    known = np.zeros(len(cid), bool)
+    keys = np.empty((len(cid), tables, 1 + probes), dtype=np.int64)
     found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     same = first_tile is second_tile
     for s in range(0, len(first_tile), 512):
@@ -124,6 +133,11 @@ def tile_links(cid, count, unit, keys, home, first_tile, second_tile, table, min
             ok &= i < j
         ok &= home[i] | home[j]
         i, j = i[ok], j[ok]
+        seen = np.unique(np.concatenate([i, j]))
+        seen = seen[~known[seen]]
+        if len(seen):
+            keys[seen] = cells(unit[seen], tables, probes, scale)
+            known[seen] = True
         for at in range(0, len(i), 1 << 16):
             x, y = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
             lo, hi = np.where(cid[x] < cid[y], x, y), np.where(cid[x] < cid[y], y, x)
@@ -161,22 +175,21 @@ def lattice_links(classes: DataFrame, min_cosine: float = MIN_COSINE, tables: in
             for dim in np.unique(sizes).tolist():           # vectors of other sizes are never compared
                 at = np.flatnonzero(sizes == dim)
                 x = np.array([vecs[i] for i in at], dtype=np.float64)
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-                key = cells(unit, tables, probes, scale)
-                raw = [u.tobytes() for u in unit]
-                carried = [k.tobytes() for k in key]
+                key = cells(unit_vectors(x), tables, probes, scale)
+                with np.errstate(over="ignore"):
+                    small = x.astype(np.float32)            # half the bytes where nothing is lost
+                raw = [(f if (f == v).all() else v).tobytes() for f, v in zip(small, x)]
                 label, cid, copies = (batch.column(k).take(pa.array(at)) for k in (0, 2, 3))
                 for t in range(tables):
                     for p in range(1 + probes):
                         yield pa.RecordBatch.from_arrays(
                             [label, pa.array(np.full(len(at), dim, np.int32)), pa.array(np.full(len(at), t, np.int32)),
                              pa.array(key[:, t, p]), pa.array(np.full(len(at), p == 0)), cid, copies,
-                             pa.array(raw, pa.binary()), pa.array(carried, pa.binary())],
-                            names=["label", "dim", "t", "cell", "home", "cid", "copies", "unit", "keys"])
+                             pa.array(raw, pa.binary())],
+                            names=["label", "dim", "t", "cell", "home", "cid", "copies", "raw"])
 
     schema = (f"label {classes.schema['label'].dataType.simpleString()}, dim int, t int, cell long, home boolean, "
-              "cid long, copies long, unit binary, keys binary")
+              "cid long, copies long, raw binary")
     rows = classes.select("label", "vec", "cid", "copies").mapInArrow(index, schema)
     where = ["label", "dim", "t", "cell"]
     # Cells with more rows than a tile are cut; the others stay whole. Cells that nobody calls home hold no link.
@@ -194,13 +207,13 @@ def lattice_links(classes: DataFrame, min_cosine: float = MIN_COSINE, tables: in
         out = {"kind": np.zeros(0, np.int32), "a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)}
         if home.any() and len(cid) > 1:
             dim, table = key[1].as_py(), key[2].as_py()
-            unit = np.frombuffer(b"".join(got.column("unit").to_pylist())).reshape(-1, dim)
-            keys = np.frombuffer(b"".join(got.column("keys").to_pylist()), np.int64).reshape(-1, tables, 1 + probes)
+            unit = unit_vectors(np.stack([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64).astype(np.float64)
+                                          for v in got.column("raw").to_pylist()]))
             side = got.column("mine").to_numpy()
             ta, tb = key[4].as_py(), key[5].as_py()
             first = np.flatnonzero(side == ta)
             second = first if ta == tb else np.flatnonzero(side == tb)
-            i, j = tile_links(cid, count, unit, keys, home, first, second, table, min_cosine)
+            i, j = tile_links(cid, unit, home, first, second, table, min_cosine, tables, probes, scale)
             if len(i):
                 links = np.bincount(i, count[j], len(cid)) + np.bincount(j, count[i], len(cid))
                 hit = np.flatnonzero(links)
