@@ -2,9 +2,11 @@
 
 A text is cut into sentences at line ends and after ``. ! ? ;`` followed by
 white space; a sentence is normalised (lower case, everything but ASCII letters and digits
-becomes one blank). Known licence sentences are mapped to
+becomes one blank). A known sentence may be wrapped: it goes on over single
+line ends, and is found between other lines too. Known licence sentences are mapped to
 identifiers; the identifiers of a text, in order, form a sequence in which a
-run of unknown sentences longer than GAP is a break. Rules are ordered
+run of unknown sentences longer than GAP is a break; unknown lines that only
+single line ends part count as one sentence there. Rules are ordered
 sequences of identifiers; at every place the first rule of the ordered list
 that fits wins, and matching goes on after it. All of it is built-in
 expressions over whole texts.
@@ -44,6 +46,15 @@ SENTENCES = {
     "all rights reserved": "reserved",
 }
 
+# More sentences of the standard texts (fixed values).
+STANDARD = {
+    "licensed under the apache license version 2 0 the license": "apache-ref",
+    "apache license version 2 0 january 2004": "apache-ref",
+    "the mit license mit": "mit-title",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit-notice",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "as-is",
+}
+
 # Ordered rules (first match wins): licence, whether use is open, sentence identifiers in order (fixed values).
 RULES = (
     ("BSD-3-Clause", True, ("bsd-source", "bsd-binary", "bsd-endorse")),
@@ -63,28 +74,60 @@ RULES = (
     ("proprietary", False, ("reserved",)),
 )
 
+# Rules tried before RULES: a reserved-rights line in the head of an open licence, texts without their title line.
+STANDARD_RULES = (
+    ("BSD-3-Clause", True, ("reserved", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-2-Clause", True, ("reserved", "bsd-source", "bsd-binary")),
+    ("Apache-2.0", True, ("apache-comply", "apache-copy", "apache-see")),
+    ("Apache-2.0", True, ("apache-comply", "apache-see")),
+    ("MIT", True, ("mit-title", "reserved", "mit-notice", "as-is")),
+    ("MIT", True, ("reserved", "mit-notice", "as-is")),
+    ("MIT", True, ("mit-notice", "as-is")),
+)
+
 SPACE = r"[\x20\x09-\x0D]"
 CUT = rf"[.!?;]+{SPACE}+|[\x0A\x0D]+"
 OTHER = r"[^a-z0-9\x01]+"
+STOP = rf"[.!?;]+{SPACE}+"                  # always ends a sentence
+LINE = r"\x0D\x0A|[\x0A\x0D]"              # ends a sentence unless a known one goes on
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def rule_pattern(gap: int = GAP) -> str:
+def rule_pattern(gap: int = GAP, rules: tuple = RULES) -> str:
     """One ordered alternation of all rules over a coded sequence: a known
     sentence is ``<identifier>``, an unknown one a dot."""
-    return "(" + "|".join(("[.]{0,%d}" % gap).join(f"<{s}>" for s in seq) for _, _, seq in RULES) + ")"
+    return "(" + "|".join(("[.]{0,%d}" % gap).join(f"<{s}>" for s in seq) for _, _, seq in rules) + ")"
+
+
+def rule_keys(rules: tuple = RULES) -> dict[str, tuple[str, bool]]:
+    return {"".join(f"<{s}>" for s in seq): (name, free) for name, free, seq in rules}
+
+
+def known_pattern(known: dict[str, str]) -> str:
+    """A known sentence that fills whole lines, wrapped or not; the longest first."""
+    words = "|".join(k.replace(" ", r"[ \x02]") for k in sorted(known, key=lambda k: (-len(k), k)))
+    return rf"(?<=[\x01\x02])(?:{words})(?=[\x01\x02])"
 
 
-def rule_keys() -> dict[str, tuple[str, bool]]:
-    return {"".join(f"<{s}>" for s in seq): (name, free) for name, free, seq in RULES}
+def sentences(text: Column, known: dict[str, str]) -> Column:
+    """Normalised sentences of a text in runs that only single line ends part;
+    a known sentence is a run of its own. Empty sentences and runs are left out."""
+    flat = F.translate(F.coalesce(text, F.lit("")), UPPER + "\x02", LOWER + " ")
+    marked = F.regexp_replace(F.regexp_replace(flat, STOP, "\x01"), LINE, "\x02")
+    marked = F.regexp_replace(marked, r"[^a-z0-9\x01\x02]+", " ")
+    marked = F.regexp_replace(marked, r"\x02(?: ?\x02)+", "\x01")                # an empty line
+    marked = F.regexp_replace(F.concat(F.lit("\x01"), marked, F.lit("\x01")), r" ?([\x01\x02]) ?", "$1")
+    marked = F.regexp_replace(marked, known_pattern(known), "\x01$0\x01")
+    table = _lookup(known)
 
+    def lines(run: Column) -> Column:
+        whole = F.translate(run, "\x02", " ")
+        cut = F.filter(F.transform(F.split(run, "\x02"), lambda s: F.trim(s)), lambda s: s != "")
+        return F.when(F.try_element_at(table, whole).isNotNull(), F.array(whole)).otherwise(cut)
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, empty ones left out."""
-    marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), CUT, "\x01")
-    return F.filter(F.transform(F.split(F.regexp_replace(marked, OTHER, " "), "\x01"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, "\x01"), lines), lambda r: F.size(r) > 0)
 
 
 def _lookup(pairs: dict) -> Column:
@@ -102,17 +145,22 @@ def scan(docs: DataFrame, gap: int = GAP) -> DataFrame:
     use. NULL and empty texts have no sentence; repeated rows are judged one
     by one; only doc_id and text are read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sentences(F.col("text")).alias("s"))
-    known = _lookup(SENTENCES)
-    code = F.transform("s", lambda s: F.coalesce(F.concat(F.lit("<"), F.try_element_at(known, s), F.lit(">")), F.lit(".")))
-    rows = rows.select("doc_id", F.size("s").cast("long").alias("n_sentences"), code.alias("c"))
-    rows = rows.select("doc_id", "n_sentences", F.size(F.filter("c", lambda x: x != ".")).cast("long").alias("n_known"),
-                       F.array_join("c", "").alias("line"))
+    known, rules = SENTENCES | STANDARD, STANDARD_RULES + RULES
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sentences(F.col("text"), known).alias("s"))
+    table = _lookup(known)
+    code = F.transform("s", lambda r: F.transform(r, lambda s: F.coalesce(F.concat(F.lit("<"), F.try_element_at(table, s), F.lit(">")), F.lit("."))))
+    rows = rows.select("doc_id", code.alias("r"))
+    # Unknown lines of a run are one sentence for the rules' gaps.
+    runs = F.transform("r", lambda r: F.regexp_replace(F.array_join(r, ""), "[.]+", "."))
+    rows = rows.select("doc_id", F.flatten("r").alias("c"), F.array_join(runs, "").alias("short"))
+    rows = rows.select("doc_id", F.size("c").cast("long").alias("n_sentences"),
+                       F.size(F.filter("c", lambda x: x != ".")).cast("long").alias("n_known"),
+                       F.array_join("c", "").alias("line"), "short")
     seq = F.when(F.col("n_known") > 0, F.regexp_replace("line", "[.]{%d,}" % (gap + 1), "_")).otherwise(F.lit(""))
-    rows = rows.select("doc_id", "n_sentences", "n_known", seq.alias("sequence"))
-    found = F.transform(F.regexp_extract_all("sequence", F.lit(rule_pattern(gap)), F.lit(1)), lambda m: F.translate(m, ".", ""))
-    names = _lookup({k: n for k, (n, _) in rule_keys().items()})
-    free = _lookup({k: f for k, (_, f) in rule_keys().items()})
+    rows = rows.select("doc_id", "n_sentences", "n_known", seq.alias("sequence"), "short")
+    found = F.transform(F.regexp_extract_all("short", F.lit(rule_pattern(gap, rules)), F.lit(1)), lambda m: F.translate(m, ".", ""))
+    names = _lookup({k: n for k, (n, _) in rule_keys(rules).items()})
+    free = _lookup({k: f for k, (_, f) in rule_keys(rules).items()})
     return rows.withColumn("m", found).select(
         "doc_id", "n_sentences", "n_known", "sequence",
         F.array_join(F.transform("m", lambda k: F.element_at(names, k)), ",").alias("licenses"),
@@ -120,6 +168,7 @@ def scan(docs: DataFrame, gap: int = GAP) -> DataFrame:
         F.exists("m", lambda k: ~F.element_at(free, k)).alias("restricted"))
 
 
+# The sentences and rules that a line holds whole; wrapped and further standard texts are held by the tests.
 ORACLE_SQL = """
 WITH s AS (
   SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(
