@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tarmac.llm.common import fresh, materialise, prepare
+from tarmac.llm.common import column_texts, fresh, materialise, prepare
 from tarmac.llm.components import connected_components
 
 SHINGLE = 4
@@ -72,6 +73,18 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def with_fingerprint(docs: DataFrame, name: str, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` with their fingerprint in the column ``name``."""
+    prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(t, shingle) for t in column_texts(b, "text")], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64), pa.int64())], names=[*b.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest node number reachable from each of ``n`` nodes over links i-j."""
     lab = np.arange(n)
@@ -183,34 +196,47 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     stay, with equal results. An empty table gives an empty result. Only
     doc_id and text are read.
     """
-    fps = materialise(fingerprints(docs, shingle), "fp")
-    classes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fpclass")
-    comp = connected_components(materialise(near_links(classes, radius, tile), "links"))
-    member = (classes.join(comp, classes["fp"] == comp["node"], "left")
-              .select("fp", "rep", F.coalesce("component", "fp").alias("root")))
+    fps, member = _members(docs, shingle, radius, tile)
     least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
     label = member.join(least, "root").select("fp", "component_id")
     return (fps.join(label, "fp")
             .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
 
 
+def _members(docs: DataFrame, shingle: int, radius: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, rep, root) of every fingerprint: its
+    smallest id and its group."""
+    fps = materialise(fingerprints(docs, shingle), "fp")
+    classes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fpclass")
+    comp = connected_components(materialise(near_links(classes, radius, tile), "links"))
+    return fps, (classes.join(comp, classes["fp"] == comp["node"], "left")
+                 .select("fp", "rep", F.coalesce("component", "fp").alias("root")))
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of every group of near-duplicates, all columns unchanged.
 
     The row whose doc_id is the group's smallest stays; a row without an id
     takes a key beyond all ids, made from its text, so it stays only if its
-    group has no id at all. Among several rows of the chosen id the smallest
-    row (by its columns) stays.
+    group has no id at all. An id may occur with texts of several groups: each
+    group keeps a row of its own. Among several rows of the chosen id in the
+    group the one with the smallest fingerprint, then the smallest row (by its
+    columns) stays.
     """
-    key = fresh(docs, "_key")
+    key, mark = fresh(docs, "_key"), fresh(docs, "_fp")
     spare = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), spare))
-    labels = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), shingle, radius)
-    rows = labels.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    fps, member = _members(keyed.select(F.col(key).alias("doc_id"), "text"), shingle, radius, TILE)
+    chosen = member.groupBy("root").agg(F.min(F.struct("rep", "fp")).alias("c")).select(F.col("c.rep").alias("doc_id"), "c.fp")
+    chosen = materialise(chosen, "chosen")                # an id of several groups has several rows
+    rows = (fps.join(chosen.select("doc_id"), "doc_id", "left_semi")
+            .groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
     rows = materialise(rows.select(F.col("doc_id").alias(key), "n"), "keep")
     single = keyed.join(rows.where("n = 1").select(key), key, "left_semi")
     if rows.where("n > 1").isEmpty():
         return single.select(*docs.columns)
     several = keyed.join(rows.where("n > 1").select(key), key, "left_semi")
-    several = several.groupBy(key).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    several = (with_fingerprint(several, mark, shingle)
+               .join(chosen.select(F.col("doc_id").alias(key), F.col("fp").alias(mark)), [key, mark], "left_semi"))
+    several = several.groupBy(key, mark).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
     return single.select(*docs.columns).unionByName(several)

@@ -1,9 +1,9 @@
 """Cases of the second review."""
 
-import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
-from tarmac.llm import licenses
+from tarmac.llm import common, langid, licenses, packing, queries, sharding, simhash
 
 APACHE = """Copyright 2020 Some One
 
@@ -79,3 +79,14 @@ def test_wrapped_standard_licences_are_found(spark):
     assert [r.licenses for r in rows] == [want for _, want in cases]
     assert [r.restricted for r in rows] == [want == "proprietary" for _, want in cases]
     assert rows[1].n_known == 3 and rows[-3].n_sentences == 3
+
+
+def test_an_id_with_several_texts_keeps_each_group_once(spark):
+    a, b = ["".join(f"{w}{i} " for i in range(60)) for w in "ab"]
+
+    def kept(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        return sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=str)
+    assert kept([(5, a), (5, b), (7, b)]) == [(5, a), (5, b)]
+    assert kept([(3, a), (5, a), (5, b)]) == [(3, a), (5, b)]
+    assert kept([(5, a), (5, a), (5, b), (None, b), (None, None)]) == [(5, a), (5, b), (None, None)]
