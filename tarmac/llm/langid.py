@@ -30,7 +30,7 @@ SMOOTH = 0.5
 CLIP = 8.0                 # largest advantage one word gives a language (nats)
 SWITCH = 10.0              # penalty for changing the language (nats)
 PIECE = 1 << 19            # code points scored at a time
-MIN_SCORE = 0.3            # the pipeline stage rejects documents below this share
+MIN_SCORE = 0.3            # a share that a caller may ask for; the pipeline stage does not
 UNKNOWN = "und"
 
 # Code point ranges of scripts (fixed values, inclusive).
@@ -267,9 +267,10 @@ def language_spans(docs: DataFrame, model: LangModel) -> DataFrame:
             .mapInArrow(run, "doc_id long, first_word long, words long, lang string"))
 
 
-def keep_identified(docs: DataFrame, model: LangModel, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents whose language is known with at least ``min_score``; all
-    columns unchanged. NULL texts and texts without a letter are rejected."""
+def keep_identified(docs: DataFrame, model: LangModel, min_score: float = 0.0) -> DataFrame:
+    """The documents whose language is known, with at least ``min_score`` if
+    one is given; all columns unchanged. NULL texts, texts without a letter and
+    texts without a word of a known script are rejected."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -278,7 +279,7 @@ def keep_identified(docs: DataFrame, model: LangModel, min_score: float = MIN_SC
 
         def keep(texts):
             lang, score, _ = predict(m, texts)
-            return (np.array(lang, dtype=object) != UNKNOWN) & (score >= min_score)
+            return (np.array(lang, dtype=object) != UNKNOWN) & (score > 0) & (score >= min_score)
         return keep
 
     return filter_rows(docs, "text", keep_of)

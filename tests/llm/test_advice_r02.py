@@ -90,3 +90,14 @@ def test_an_id_with_several_texts_keeps_each_group_once(spark):
     assert kept([(5, a), (5, b), (7, b)]) == [(5, a), (5, b)]
     assert kept([(3, a), (5, a), (5, b)]) == [(3, a), (5, b)]
     assert kept([(5, a), (5, a), (5, b), (None, b), (None, None)]) == [(5, a), (5, b), (None, None)]
+
+
+def test_stage_keeps_every_identified_language(spark):
+    words = {"en": "the house", "de": "ÿber ÿaus", "fr": "ça çela", "es": "ño ñiña"}
+    rows = [(i, f"{w} " * 40, lang) for i, (lang, w) in enumerate([*words.items()] * 30)]
+    model = langid.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    texts = [" ".join(f"{w} " * 30 for w in words.values()), "the house " + "Привет " * 40, "Привет мир", "123", None, ""]
+    lang, score, _ = langid.predict(model, texts)
+    assert 0 < score[0] < 0.3 and 0 < score[1] < 0.3 and lang[1] == "en"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in langid.keep_identified(docs, model).collect()) == [0, 1]
