@@ -19,7 +19,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tarmac.llm.common import fresh, materialise
+from tarmac.llm.common import fresh, grouped_prefix, materialise
 
 BITS = 60
 STEP = 8                   # bits that a round adds
@@ -108,15 +108,28 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
     """Write all columns of ``docs`` below ``path``, one folder for each shard
-    (column ``shard``, or a free name derived from it); a page is a file."""
-    key, name, page = (fresh(docs, c) for c in ("_key", "shard", "_page"))
-    shards = assign(docs, limit).groupBy("key").agg(F.first("shard").alias(name),
-                                                    (F.max("page") + 1).alias("pages"))
-    rows = docs.withColumn(key, key_column()).join(shards.withColumnRenamed("key", key), key)
-    rows = rows.withColumn(page, F.pmod(F.monotonically_increasing_id(), F.col("pages"))).drop(key, "pages")
-    # The empty prefix (a single shard) needs a folder name.
-    rows = rows.withColumn(name, F.concat(F.lit("b"), F.col(name)))
-    rows.repartition(F.col(name), F.col(page)).drop(page).write.partitionBy(name).parquet(path)
+    (column ``shard``, or a free name derived from it) and in it one for each
+    page (column ``page``, likewise); a page is a file.
+
+    Equal rows of an oversized shard are written to the shared folder once and
+    numbered by their place there, so a task that runs again gives equal pages."""
+    key, name, page = (fresh(docs, c) for c in ("_key", "shard", "page"))
+    shards = assign(docs, limit).groupBy("key").agg(F.concat(F.lit("b"), F.first("shard")).alias("_shard"),   # the empty prefix needs a folder name
+                                                    (F.max("page") + 1).alias("_pages"))
+    shards = materialise(shards.select(F.col("key").alias(key), "_shard", "_pages"), "shardkeys")
+    rows = docs.select(key_column().alias(key), F.struct(*docs.columns).alias("_row")).join(shards, key)
+    out = rows.where("_pages = 1").select("_row", "_shard", F.lit(0).cast("long").alias("_page"))
+    if not shards.where("_pages > 1").isEmpty():
+        many = materialise(rows.where("_pages > 1").select(key, "_row", "_shard"), "copies")
+        at = many.metadataColumn("_metadata")
+        many = many.select("*", at["row_index"].alias("_place"), F.lit(1).alias("_one"),
+                           F.struct(at["file_path"].alias("file"), F.floor(at["row_index"] / CHUNK).alias("chunk")).alias("_chunk"))
+        many = grouped_prefix(many, [key], "_chunk", [F.col("_place")], "_one", "_number")
+        size = F.greatest(F.coalesce(F.octet_length("_row.text"), F.lit(0)), F.lit(1))
+        room = F.greatest(F.floor(F.lit(limit) / size), F.lit(1))
+        out = out.unionByName(many.select("_row", "_shard", F.floor(F.col("_number") / room).cast("long").alias("_page")))
+    out = out.select("_row.*", F.col("_shard").alias(name), F.col("_page").alias(page))
+    out.repartition(F.col(name), F.col(page)).write.partitionBy(name, page).parquet(path)
 
 
 # Sums of every prefix length at once; a document takes its shortest prefix that fits. Equal keys overflow into pages.

@@ -101,3 +101,12 @@ def test_stage_keeps_every_identified_language(spark):
     assert 0 < score[0] < 0.3 and 0 < score[1] < 0.3 and lang[1] == "en"
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in langid.keep_identified(docs, model).collect()) == [0, 1]
+
+
+def test_written_pages_of_equal_rows_fit_the_limit(spark, tmp_path):
+    rows = [(1, "x" * 100, i) for i in range(55)] + [(2, "y" * 100, i) for i in range(25)] + [(3, "z", 0)]
+    sharding.write_shards(spark.createDataFrame(rows, "doc_id long, text string, page int").repartition(5), str(tmp_path / "out"), 1000)
+    back = spark.read.parquet(str(tmp_path / "out")).withColumn("f", F.input_file_name())
+    assert sorted((r.doc_id, r.text, r.page) for r in back.collect()) == sorted(rows)
+    files = back.groupBy("f").agg(F.sum(F.length("text")).alias("b"), F.max("doc_id").alias("id")).collect()
+    assert all(r.b <= 1000 for r in files) and sorted(r.id for r in files) == [1] * 6 + [2] * 3 + [3]
