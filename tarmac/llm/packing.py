@@ -148,6 +148,31 @@ class WordTokenizer:
         return out + self._ids(group)
 
 
+class FileTokenizer:
+    """Token ids exactly as the tokenizer file gives them without the special
+    tokens of its template: a text that may hold one of the file's added
+    tokens goes through the unmodified tokenizer as a whole, others by words."""
+
+    def __init__(self, path: str):
+        self.words = WordTokenizer(path)
+        from tokenizers import Tokenizer
+        self.file = Tokenizer.from_file(path)
+        added = sorted({t.content.lower() for t in self.file.get_added_tokens_decoder().values()})
+        self.sign = re.split("[a-z]", os.path.commonprefix(added))[0]       # what all begin with, in any case
+        self.sign = re.split("[a-z]", os.path.commonprefix(added))[0]       # what all begin with, in any case
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        special = [i for i, t in enumerate(texts) if t and self.sign in t and self.added.search(t)]
+        if not special:
+            return self.words(texts)
+        whole = set(special)
+        out = self.words([None if i in whole else t for i, t in enumerate(texts)])
+        for i in special:
+            out[i] = np.array(self.file.encode(texts[i], add_special_tokens=False).ids, dtype="<u2").tobytes()
+        return out
+
+
 def _memo_set(tok: WordTokenizer) -> None:
     """Hand the halves on to the worker's next task."""
     for halves in _memo.values():
@@ -165,7 +190,7 @@ def tokenise(docs: DataFrame, path: str, window: int = WINDOW, unit: int = UNIT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        part, tok = TaskContext.get().partitionId(), WordTokenizer(path)
+        part, tok = TaskContext.get().partitionId(), FileTokenizer(path)
         full, mains, tails = 0, np.zeros(classes, np.int64), 0
         closing = np.array([CLOSING], dtype="<u2").tobytes()
         for b in batches:

@@ -103,6 +103,17 @@ def test_stage_keeps_every_identified_language(spark):
     assert sorted(r.doc_id for r in langid.keep_identified(docs, model).collect()) == [0, 1]
 
 
+def test_added_tokens_are_the_tokenizers_own(spark):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    texts = ["page one <|endoftext|> page two", "<|startoftext|>a<|endoftext|><|ENDOFTEXT|> B", "plain text. <| x |>", None]
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[0] == [2504, 637, 49407, 2504, 1237]
+    rows = packing.tokenise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), queries.tokenizer_path())
+    got = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in rows.collect()}
+    assert got == {i: [*ids, packing.CLOSING] for i, ids in enumerate(want)}
+
+
 def test_written_pages_of_equal_rows_fit_the_limit(spark, tmp_path):
     rows = [(1, "x" * 100, i) for i in range(55)] + [(2, "y" * 100, i) for i in range(25)] + [(3, "z", 0)]
     sharding.write_shards(spark.createDataFrame(rows, "doc_id long, text string, page int").repartition(5), str(tmp_path / "out"), 1000)
