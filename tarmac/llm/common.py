@@ -63,7 +63,7 @@ def hashed_sample(rows: DataFrame, by: list[str], most: int, seed: int) -> DataF
     """At most ``most`` distinct rows of each group ``by``, the first in the
     order of a hash of ``doc_id``.
 
-    The groups are counted first, and only rows whose hash lies below twice
+    The distinct rows of the groups are counted first, and only rows whose hash lies below twice
     the needed share are ranked. So what a task ranks is about twice the
     sample at every size of the input, also for a group with most of the rows.
     The groups are label values of a model that holds a table for each, so
@@ -72,7 +72,7 @@ def hashed_sample(rows: DataFrame, by: list[str], most: int, seed: int) -> DataF
     from pyspark.sql import Window
     unit = 1 << 30
     mark = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(unit))
-    rows = rows.withColumn("_mark", mark)
+    rows = rows.withColumn("_mark", mark).distinct()
     if by:
         sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))        # one row for each group
     else:
@@ -81,7 +81,7 @@ def hashed_sample(rows: DataFrame, by: list[str], most: int, seed: int) -> DataF
     low = sizes.select(*by, limit.alias("_limit"))
     small = F.broadcast(low)
     near = (rows.join(small, by) if by else rows.crossJoin(small)).where("_mark < _limit")
-    near = near.drop("_limit").distinct()
+    near = near.drop("_limit")
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("_mark", "doc_id"))
     return near.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank", "_mark")
 

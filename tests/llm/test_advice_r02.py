@@ -103,6 +103,12 @@ def test_stage_keeps_every_identified_language(spark):
     assert sorted(r.doc_id for r in langid.keep_identified(docs, model).collect()) == [0, 1]
 
 
+def test_hashed_sample_counts_repeated_rows_once(spark):
+    ids = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"))
+    again = spark.range(300_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("en").alias("lang"))
+    assert common.hashed_sample(ids.unionByName(again), ["lang"], 1000, 5).count() == 1000
+
+
 def test_added_tokens_are_the_tokenizers_own(spark):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(queries.tokenizer_path())
