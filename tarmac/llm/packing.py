@@ -18,8 +18,6 @@ second pass over the written table cuts the pieces.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,156 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tarmac.llm.common import materialise, prepare
+from tarmac.llm.tokens import WordTokenizer, forget, shared as shared_tokenizer
 
 WINDOW = 4096
 UNIT = 64
 DEPTH = 3                  # pieces of a combination
 CLOSING = 2                # id after each document
-MEMO = 600_000             # words whose ids one Python worker remembers, in two halves
-CHUNK = 1 << 16            # words looked up together
 TOKENIZER = "word_bpe_49k.json"
 
-# Letters (ASCII and Latin-1) with closing punctuation: the tokenizer splits exactly there, whatever it normalises.
-_LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-_SPLIT = re.compile(f"([{_LETTERS}]+)([.,!?;:*#$%&|]+)")
-_PLAIN = re.compile(f"[{_LETTERS}]+")
-_memo: dict[str, list[dict[bytes, bytes]]] = {}
-
-
-class WordTokenizer:
-    """Token ids of a text as little-endian 16-bit integers.
-
-    The tokenizer drops white space and never joins two words, so a text's
-    ids are its words' ids in order; words seen before are looked up. Plain
-    words are encoded many at a time: each ends at its one word-end token.
-    The memory of words lives as long as the Python worker and is bounded: it
-    has a young and an old half, and the old half is forgotten first.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # tasks are the parallelism
-        from tokenizers import Tokenizer, pre_tokenizers
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        size = self.tok.get_vocab_size()
-        if size > 1 << 16:
-            raise ValueError("ids do not fit into 16 bits")
-        # Plain lower-case words need no normaliser and split at blanks only: the same model without those steps.
-        self.quick = Tokenizer(self.tok.model)
-        self.quick.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.ends = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.young, self.old = _memo.setdefault(path, [{}, {}])
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        """Ids of each word."""
-        plain = [w for w in words if _PLAIN.fullmatch(w)]
-        known = {}
-        for at in range(0, len(plain), 4_000):
-            part = plain[at:at + 4_000]
-            text = " ".join(part).lower()
-            ids = np.array(self.quick.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u2")
-            stop = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(stop) == len(part):                      # else they are encoded one by one below
-                raw = ids.tobytes()
-                known.update((w, raw[2 * a:2 * b]) for w, a, b in zip(part, [0, *stop], stop))
-        rest = [w for w in words if w not in known]
-        out = self.tok.encode_batch_fast(rest, add_special_tokens=False)
-        known.update((w, np.array(e.ids, dtype="<u2").tobytes()) for w, e in zip(rest, out))
-        return [known[w] for w in words]
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Put words into the young half."""
-        young, old = self.young, self.old
-        fresh = []
-        for w in words:
-            got = old.get(w)
-            if got is None:
-                fresh.append(w)
-            else:
-                young[w] = got
-        parts, whole = {}, set()
-        for w in fresh:
-            text = w.decode("utf-8")
-            m = _SPLIT.fullmatch(text)
-            if m:
-                parts[w] = [x.encode("utf-8") for x in m.groups()]
-                whole.update(parts[w])
-            else:
-                whole.add(w)
-        need = []
-        for w in whole:
-            got = young.get(w) or old.get(w)
-            if got is None:
-                need.append(w)
-            else:
-                young[w] = got
-        need.sort()
-        young.update(zip(need, self._encode([w.decode("utf-8") for w in need])))
-        for w, (a, b) in parts.items():
-            young[w] = young[a] + young[b]
-
-    def _ids(self, words: list[list[bytes]]) -> list[bytes]:
-        new = set().union(*words).difference(self.young)
-        if new:
-            if len(self.young) + 2 * len(new) > MEMO // 2:
-                self.old, self.young = self.young, {}
-                _memo_set(self)
-                new = set().union(*words)
-            self._learn(new)
-        memo = self.young
-        return [b"".join([memo[w] for w in ws]) for ws in words]
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; NULL and empty texts have none. Texts are taken
-        together up to CHUNK words, and a longer text in pieces."""
-        out, group, size = [], [], 0
-        for t in texts:
-            # The tokenizer lowers letters itself; lowering A-Z first makes more words equal.
-            words = (t or "").encode("utf-8").lower().split()
-            if size + len(words) > CHUNK:
-                out += self._ids(group)
-                group, size = [], 0
-            if len(words) > CHUNK:
-                out.append(b"".join(self._ids([words[at:at + CHUNK]])[0] for at in range(0, len(words), CHUNK)))
-            else:
-                group.append(words)
-                size += len(words)
-        return out + self._ids(group)
-
-
-class FileTokenizer:
-    """Token ids exactly as the tokenizer file gives them without the special
-    tokens of its template: a text that may hold one of the file's added
-    tokens goes through the unmodified tokenizer as a whole, others by words."""
-
-    def __init__(self, path: str):
-        self.words = WordTokenizer(path)
-        from tokenizers import Tokenizer
-        self.file = Tokenizer.from_file(path)
-        added = sorted({t.content.lower() for t in self.file.get_added_tokens_decoder().values()})
-        self.sign = re.split("[a-z]", os.path.commonprefix(added))[0]       # what all begin with, in any case
-        self.sign = re.split("[a-z]", os.path.commonprefix(added))[0]       # what all begin with, in any case
-        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        special = [i for i, t in enumerate(texts) if t and self.sign in t and self.added.search(t)]
-        if not special:
-            return self.words(texts)
-        whole = set(special)
-        out = self.words([None if i in whole else t for i, t in enumerate(texts)])
-        for i in special:
-            out[i] = np.array(self.file.encode(texts[i], add_special_tokens=False).ids, dtype="<u2").tobytes()
-        return out
-
-
-def _memo_set(tok: WordTokenizer) -> None:
-    """Hand the halves on to the worker's next task."""
-    for halves in _memo.values():
-        if halves[0] is tok.old:
-            halves[:] = [tok.young, tok.old]
-
-
 def tokenise(docs: DataFrame, path: str, window: int = WINDOW, unit: int = UNIT) -> DataFrame:
     """(doc_id, ids, n, part, full_rank, main, main_rank, tail, tail_at), written
     to the shared folder. ``ids`` ends with the closing id; ``part`` is the
@@ -190,11 +46,11 @@ def tokenise(docs: DataFrame, path: str, window: int = WINDOW, unit: int = UNIT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        part, tok = TaskContext.get().partitionId(), FileTokenizer(path)
+        part, tok = TaskContext.get().partitionId(), shared_tokenizer(WordTokenizer, path)
         full, mains, tails = 0, np.zeros(classes, np.int64), 0
         closing = np.array([CLOSING], dtype="<u2").tobytes()
         for b in batches:
-            ids = [x + closing for x in tok(b.column(1).to_pylist())]
+            ids = [x.astype("<u2").tobytes() + closing for x in tok(b.column(1))]
             n = np.array([len(x) // 2 for x in ids], dtype=np.int64)
             whole, rest = n // window, n % window
             main, tail = rest // unit, rest % unit
@@ -364,18 +220,19 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, unit: int = UNIT, wit
     def before(*keys):
         return Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
 
-    # Offsets of a task: earlier tasks' pieces of each class, full windows and tail tokens.
+    # One row for a task: earlier tasks' pieces of each class, full windows and tail tokens.
     by_part = counts.groupBy("part").agg(F.sum("full").alias("full"), F.sum("tail").alias("tail"))
     by_part = by_part.select("part", F.coalesce(F.sum("full").over(before()), F.lit(0)).alias("full_before"),
                              F.coalesce(F.sum("tail").over(before()), F.lit(0)).alias("tail_before"))
     by_class = counts.select("part", "main",
                              F.coalesce(F.sum("pieces").over(before("main")), F.lit(0)).alias("main_before"))
+    by_class = by_class.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("main", "main_before"))).alias("main_before"))
     offsets = materialise(by_class.join(by_part, "part"), "packoffsets")
     shared = spark.sparkContext.broadcast(plan)             # a few hundred integers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        _memo.clear()                                       # the words are not needed any more
+        forget()                                     # the words are not needed any more
         for b in batches:
             cols = {k: b.column(i).to_pylist() for i, k in enumerate(b.schema.names)}
             rows: list[list] = [[] for _ in range(8)]
@@ -394,9 +251,9 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, unit: int = UNIT, wit
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    placed = ids.join(offsets, ["part", "main"]).select(
+    placed = ids.join(offsets, "part").select(
         "doc_id", "ids", "n", (F.col("full_rank") + F.col("full_before")).alias("full_rank"), "main",
-        (F.col("main_rank") + F.col("main_before")).alias("main_rank"), "tail",
+        (F.col("main_rank") + F.col("main_before")[F.col("main")]).alias("main_rank"), "tail",
         (F.col("tail_at") + F.col("tail_before")).alias("tail_at"))
     return placed.mapInArrow(run, SCHEMA + (", ids binary" if with_ids else ""))
 

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmac.llm import langid, lattice, licenses, mixing, packing, quality, sharding, simhash, toxicity, urls
+from tarmac.llm import (langid, lattice, licenses, mixing, packing, quality, sharding, simhash, spelling, tokenfile,
+                        toxicity, urls, whitening)
 from tarmac.llm.common import table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = packing.TOKENIZER) -> str:
     import public_tokenizers
-    return public_tokenizers.path(packing.TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,13 +59,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).drop("deviation_exact")
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_files(table(spark, sf_dir, "documents"), tokenizer_path(tokenfile.TOKENIZER))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_language, op4_packing, op5_sharding, op6_licenses,
-                            op7_toxicity, op8_lattice, op9_urls, op10_mixing)}
+                            op7_toxicity, op8_lattice, op9_urls, op10_mixing, op11_whitening, op12_token_files,
+                            op13_spelling)}
 
 ORACLES: dict[str, str] = {
     "op5_sharding": sharding.ORACLE_SQL,
     "op6_licenses": licenses.ORACLE_SQL,
     "op9_urls": urls.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
+    "op13_spelling": spelling.ORACLE_SQL,
 }

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 import xxhash
@@ -290,16 +291,15 @@ def test_packing_keeps_the_piece_ids(docs):
         assert zlib.crc32(np.frombuffer(r.ids, "<u2").astype("<u4").tobytes()) == r.ids_crc32
 
 
-def test_word_tokenizer_equals_the_tokenizer(monkeypatch):
+def test_word_tokenizer_equals_the_tokenizer():
     odd = ["don't STOP!!! it's 3.14 <|endoftext|> a&&&", "İstanbul ß ſ ﬁ é ​ x\x85y 　z", "'s 't", "", "\x1c a",
            "日本語 \U0001f600 ก", "A_b c__ 12ab", "!!!...", "a" * 3000, "\u0130. e\u0301. \u00c9T\u00c9!! stra\u00dfe, na\u00efve; x\u0301! \u1e9e."]
     tok = packing.WordTokenizer(queries.tokenizer_path())
     want = [token_ids(t)[:-1].tolist() for t in odd]
-    assert [np.frombuffer(x, "<u2").tolist() for x in tok(odd)] == want
-    monkeypatch.setattr(packing, "MEMO", 30)           # forgetting and cutting change nothing
-    monkeypatch.setattr(packing, "CHUNK", 7)
-    tok.young, tok.old = {}, {}
-    assert [np.frombuffer(x, "<u2").tolist() for x in tok([*odd, None, *odd, " ".join(odd)])][:-1] == [*want, [], *want]
+    assert [x.tolist() for x in tok(pa.array(odd))] == want
+    tok.memory.most = 30                                    # forgetting changes nothing
+    for _ in range(2):
+        assert [x.tolist() for x in tok(pa.array([*odd, None, *odd, " ".join(odd)]))][:-1] == [*want, [], *want]
 
 
 def test_nnls_meets_a_feasible_histogram():
