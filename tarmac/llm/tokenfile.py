@@ -49,27 +49,44 @@ TABLE_MAGIC, SEEK_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80           # descriptor: the seek table has checksums
 WIDTH = np.dtype("<u2")
 
-IDS_SCHEMA = "doc_id long, ids binary, n long, mark long, part long, row long"
+IDS_SCHEMA = ("doc_id long, frames array<binary>, sizes array<long>, checks array<long>, n long, mark long, part long, "
+              "row long")
 
 
 # ---------------------------------------------------------------- ids
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, n, mark, part, row), written to the shared folder: the
-    ids of each whole text with the closing id; ``mark`` is a hash of them,
-    (part, row) the place of the row among the tasks."""
+def frames_of(zipper, ids: bytes, frame_ids: int) -> list[tuple[bytes, int, int]]:
+    """(frame, size of its content, checksum) of a document's ids."""
+    step = frame_ids * WIDTH.itemsize
+    parts = [ids[at:at + step] for at in range(0, max(len(ids), 1), step)]
+    return [(zipper.compress(raw), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF) for raw in parts]
+
+
+def compressor():
+    import zstandard
+    return zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, write_content_size=True)
+
+
+def encode(docs: DataFrame, path: str, frame_ids: int = FRAME_IDS) -> DataFrame:
+    """Rows of IDS_SCHEMA, written to the shared folder: the ids of each whole
+    text with the closing id, ``n`` of them, already in compressed frames (so
+    the shuffle moves those); ``mark`` is a hash of the ids, (part, row) the
+    place of the row among the tasks."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, tok, row = TaskContext.get().partitionId(), shared(BlankTokenizer, path), 0
-        closing = np.array([CLOSING], dtype=WIDTH).tobytes()
+        closing, zipper = np.array([CLOSING], dtype=WIDTH).tobytes(), compressor()
         for b in batches:
             ids = [x.astype(WIDTH, copy=False).tobytes() + closing for x in tok(b.column(1))]
+            made = [frames_of(zipper, x, frame_ids) for x in ids]
+            lists = [pa.array([[f[k] for f in fs] for fs in made], pa.list_(kind))
+                     for k, kind in enumerate((pa.binary(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // WIDTH.itemsize for x in ids], pa.int64()),
+                [b.column(0), *lists, pa.array([len(x) // WIDTH.itemsize for x in ids], pa.int64()),
                  pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(np.full(len(ids), part, np.int64)),
                  pa.array(np.arange(row, row + len(ids), dtype=np.int64))],
-                names=["doc_id", "ids", "n", "mark", "part", "row"])
+                names=["doc_id", "frames", "sizes", "checks", "n", "mark", "part", "row"])
             row += len(ids)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, IDS_SCHEMA)
@@ -94,27 +111,22 @@ def qualified(spark: SparkSession, path: str) -> str:
 class Writer:
     """One file: documents are added in order, then ``close``."""
 
-    def __init__(self, stream, frame_ids: int = FRAME_IDS):
-        import zstandard
-        self.stream, self.frame_ids = stream, frame_ids
-        self.zip = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, write_content_size=True)
+    def __init__(self, stream):
+        self.stream = stream
         self.frames: list[tuple[int, int, int]] = []
         self.docs: list[tuple[int, int, int, int]] = []
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        step = self.frame_ids * WIDTH.itemsize
-        cuts = range(0, max(len(ids), 1), step)
-        for at in cuts:
-            raw = ids[at:at + step]
-            packed = self.zip.compress(raw)
+    def add(self, doc_id: int | None, frames: list[tuple[bytes, int, int]]) -> None:
+        for packed, size, check in frames:
             self.stream.write(packed)
-            self.frames.append((len(packed), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
-        self.docs.append((0 if doc_id is None else doc_id, doc_id is None, len(ids) // WIDTH.itemsize, len(cuts)))
+            self.frames.append((len(packed), size, check))
+        n = sum(size for _, size, _ in frames) // WIDTH.itemsize
+        self.docs.append((0 if doc_id is None else doc_id, doc_id is None, n, len(frames)))
 
     def close(self) -> int:
         """Write both tables; returns the number of ids."""
         docs = np.array(self.docs, dtype="<i8").reshape(-1, 4)
-        table = self.zip.compress(np.ascontiguousarray(docs.T).tobytes())
+        table = compressor().compress(np.ascontiguousarray(docs.T).tobytes())
         self.stream.write(struct.pack("<II", TABLE_MAGIC, len(table)) + table)
         seek = np.array(self.frames, dtype="<u4").reshape(-1, 3).tobytes()
         seek += struct.pack("<IBI", len(self.frames), CHECKSUMS, FOOT_MAGIC)
@@ -163,7 +175,7 @@ class Reader:
 
 
 # ---------------------------------------------------------------- Spark jobs
-def write(ids: DataFrame, folder: str, file_ids: int = FILE_IDS, frame_ids: int = FRAME_IDS) -> None:
+def write(ids: DataFrame, folder: str, file_ids: int = FILE_IDS) -> None:
     """Write stored ids (the columns of ``encode``) as files in ``folder``, in
     ascending order of doc_id (NULL first) over the files in name order."""
     spark = ids.sparkSession
@@ -181,11 +193,11 @@ def write(ids: DataFrame, folder: str, file_ids: int = FILE_IDS, frame_ids: int
         temp = f"{root}/_{name}-{task.taskAttemptId()}"
         docs = 0
         for b in batches:
-            for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1)):
+            for doc_id, frames, sizes, checks in zip(*(c.to_pylist() for c in b.columns)):
                 if out is None:                             # a task without rows writes no file
                     stream = fs.open_output_stream(temp)
-                    out = Writer(stream, frame_ids)
-                out.add(doc_id, raw.as_py())
+                    out = Writer(stream)
+                out.add(doc_id, list(zip(frames, sizes, checks)))
                 docs += 1
         if out is not None:
             total = out.close()
@@ -197,7 +209,7 @@ def write(ids: DataFrame, folder: str, file_ids: int = FILE_IDS, frame_ids: int
                                              names=["name", "docs", "n"])
 
     done = (ids.repartitionByRange(files, *order).sortWithinPartitions(*order)
-            .select("doc_id", "ids").mapInArrow(run, "name string, docs long, n long"))
+            .select("doc_id", "frames", "sizes", "checks").mapInArrow(run, "name string, docs long, n long"))
     done = materialise(done, "tokenfiles").agg(F.sum("n").alias("n")).first()["n"] or 0
     if done != total:
         raise RuntimeError(f"{done} of {total} ids written")

@@ -276,7 +276,6 @@ def check_pieces(rows, ids_of):
 def token_ids(text):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(queries.tokenizer_path())
-    tok.encode_special_tokens = True
     return np.array(tok.encode(text or "", add_special_tokens=False).ids + [packing.CLOSING])
 
 

@@ -68,7 +68,7 @@ def test_token_files_edges(spark):
     rows = [(3, "a b"), (None, "none"), (3, "a b"), (1, None), (2, ""), (5, long), (3, "other"), (None, None), (-4, "x <|endoftext|> y")]
     docs = spark.createDataFrame([(i, t, "m", 1) for i, t in rows], "doc_id long, text string, ids string, n long")
     folder = work_dir(spark, "t") + "/files"
-    tokenfile.write(tokenfile.encode(docs, queries.tokenizer_path(tokenfile.TOKENIZER)), folder, file_ids=20_000, frame_ids=1_000)
+    tokenfile.write(tokenfile.encode(docs, queries.tokenizer_path(tokenfile.TOKENIZER), frame_ids=1_000), folder, file_ids=20_000)
     out = tokenfile.read_digests(spark, folder).collect()
     want = Counter((i, len(_plain_ids(t)), zlib.crc32(np.array(_plain_ids(t), "<u4").tobytes())) for i, t in rows)
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == want
@@ -97,10 +97,10 @@ def test_only_requested_frames_are_read_and_damage_is_found(spark, tmp_path):
     import io
     import zstandard
     stream = io.BytesIO()
-    w = tokenfile.Writer(stream, frame_ids=4)
+    w, zipper = tokenfile.Writer(stream), tokenfile.compressor()
     docs = {1: np.arange(10), 2: np.arange(3), 4: np.arange(100, 104)}
     for d, ids in docs.items():
-        w.add(d, ids.astype("<u2").tobytes())
+        w.add(d, tokenfile.frames_of(zipper, ids.astype("<u2").tobytes(), 4))
     w.close()
     raw = stream.getvalue()
     whole = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw), read_across_frames=True).read()
