@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from tarmac.functions.scalar import distance_bucket, is_peak_hour, is_weekend, season
 from tarmac.operators.lookup import BROADCAST_MAX_ROWS, lookup_join
@@ -77,18 +77,17 @@ def fit_dictionary(df: DataFrame) -> Dictionary:
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), category_text(F.col(c)).alias("value"))
                       for c in present])
     distinct = df.select(F.explode(pairs).alias("kv")).select("kv.column_name", "kv.value").distinct()
-    # the stored values are read by the ranking, the lookups and the caller: written once
     distinct = distinct.withColumn("head", F.substring("value", 1, HEAD_CHARS))
-    path = work_dir(spark, "dictionary")
-    distinct.write.parquet(path)
-    distinct = spark.read.parquet(path)
     heads = distinct.groupBy("column_name", "head").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("column_name").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.select("column_name", "head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("column_name", "head").orderBy("value")
     table = (distinct.withColumn("pos", F.row_number().over(inside)).join(heads, ["column_name", "head"])
              .select("column_name", "value", (F.col("offset") + F.col("pos") - 1).cast("int").alias("code")))
-    return Dictionary(table, distinct.count(), tuple(present))
+    # written once, counted while it is written; lookups and the caller read the stored table
+    path, seen = work_dir(spark, "dictionary"), Observation()
+    table.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return Dictionary(spark.read.schema(table.schema).parquet(path), int(seen.get["n"]), tuple(present))
 
 
 def encode(df: DataFrame, dictionary: Dictionary | None,

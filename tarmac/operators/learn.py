@@ -1,9 +1,11 @@
-"""Learning: stratified split, four Spark ML classifiers, selection, run
-tracking, importance and persistence.
-
-Each fit is a series of distributed jobs (``treeAggregate`` for the linear
-model, per-level histogram aggregation for trees) over one cached training
-frame; nothing is collected but model parameters.
+"""Learning: stratified split, four classifiers, selection, run tracking,
+importance and persistence.
+
+The linear model and the forest are Spark ML's, both boosted models are grown
+by ``boosting`` and kept as Spark ML models. Each fit is a series of
+distributed jobs (``treeAggregate`` for the linear model, per-level histogram
+sums for trees) over one cached training frame; nothing is collected but
+sums and model parameters.
 """
 
 from __future__ import annotations
@@ -11,18 +13,18 @@ from __future__ import annotations
 import datetime as dt
 import math
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarmac.operators import boosting
 from tarmac.operators.features import complete_rows_expr, feature_columns
 from tarmac.operators.metrics import binary_metrics
 from tarmac.operators.ranking import first_n_per_group
@@ -31,14 +33,17 @@ from tarmac.session import work_dir
 
 MODEL_ORDER = ["LogisticRegression", "RandomForest", "GBT_A", "GBT_B"]
 
-# Training rows r are read through ceil(sqrt(r / this)) partitions: 4 for 30,000
-# rows, about 2,200 for 10 billion. A rule of the row count alone, as the trees
-# draw their row samples per partition: the models do not depend on the cluster.
+# Training rows r are read through ceil(sqrt(r / this)) partitions while those
+# hold fewer than TRAIN_PARTITION_ROWS rows (4 for 30,000 rows, 100 for 20
+# million), and through r / TRAIN_PARTITION_ROWS from there. A rule of the row
+# count alone, as the trees draw their row samples per partition: the models do
+# not depend on the cluster.
 TRAIN_PARTITION_SCALE = 2_000
+TRAIN_PARTITION_ROWS = 200_000
 
 
 def train_partitions(n_rows: int) -> int:
-    return max(1, math.ceil(math.sqrt(n_rows / TRAIN_PARTITION_SCALE)))
+    return max(1, math.ceil(math.sqrt(n_rows / TRAIN_PARTITION_SCALE)), math.ceil(n_rows / TRAIN_PARTITION_ROWS))
 
 
 # ---------------------------------------------------------------- split
@@ -95,9 +100,10 @@ class Presets:
     gbt_depth: int = 6
     gbt_step: float = 0.05
     gbt_subsample: float = 0.8
-    gbt_feature_fraction: str = "0.8"
+    gbt_feature_fraction: float = 0.8
+    gbt_bins: int = 64
+    gbt_leaves: int = 31                # of the leaf-wise model
     tree_memory_mb: int = 1024
-    checkpoint_interval: int = 25
     max_fit_rows: int | None = None     # bound of the rows used to fit, chosen by the split's hash; None: all
     seed: int = 42
 
@@ -122,7 +128,7 @@ def node_memory_mb(spark: SparkSession, requested: int) -> int:
     return max(256, min(requested, _memory_mb(spark) // 8))
 
 
-def make_classifiers(p: Presets, n_train: int, tree_memory_mb: int | None = None) -> dict:
+def make_classifiers(p: Presets, n_train: int, tree_memory_mb: int | None = None, id_col: str | None = None) -> dict:
     """The four classifiers, in the fixed comparison order."""
     # L2 with C: sum(loss) * C + |w|^2 / 2  ==  mean(loss) + |w|^2 / (2 C n)
     lr = LogisticRegression(labelCol="label", featuresCol="features", maxIter=p.lr_max_iter,
@@ -132,17 +138,15 @@ def make_classifiers(p: Presets, n_train: int, tree_memory_mb: int | None = None
                                 maxDepth=p.rf_depth, minInstancesPerNode=p.rf_min_leaf,
                                 featureSubsetStrategy="sqrt", maxMemoryInMB=tree_memory_mb or p.tree_memory_mb,
                                 seed=p.seed)
-    gbt_a = GBTClassifier(labelCol="label", featuresCol="features", maxIter=p.gbt_rounds,
-                          maxDepth=p.gbt_depth, stepSize=p.gbt_step, subsamplingRate=p.gbt_subsample,
-                          featureSubsetStrategy=p.gbt_feature_fraction, seed=p.seed,
-                          checkpointInterval=p.checkpoint_interval)
-    gbt_b = GBTClassifier(labelCol="label", featuresCol="features", maxIter=p.gbt_rounds,
-                          maxDepth=p.gbt_depth, stepSize=p.gbt_step, subsamplingRate=p.gbt_subsample,
-                          featureSubsetStrategy=p.gbt_feature_fraction, maxBins=64,
-                          minInstancesPerNode=20, seed=p.seed + 1, checkpointInterval=p.checkpoint_interval)
-    for name, clf in (("lr", lr), ("rf", rf), ("gbt_a", gbt_a), ("gbt_b", gbt_b)):   # own columns: one pass scores all
+    for name, clf in (("lr", lr), ("rf", rf)):              # own columns: one pass scores all
         clf.setPredictionCol(f"{name}_prediction").setProbabilityCol(f"{name}_probability")
         clf.setRawPredictionCol(f"{name}_raw")
+    own = {"rounds": p.gbt_rounds, "depth": p.gbt_depth, "step": p.gbt_step, "feature_share": p.gbt_feature_fraction,
+           "bins": p.gbt_bins}
+    level = replace(boosting.LEVEL_WISE, row_share=p.gbt_subsample, seed=p.seed, **own)
+    leaf = replace(boosting.LEAF_WISE, leaves=p.gbt_leaves, seed=p.seed + 1, **own)
+    gbt_a = boosting.HistogramBooster(level, "gbt_a", id_col)
+    gbt_b = boosting.HistogramBooster(leaf, "gbt_b", id_col)
     return {"LogisticRegression": lr, "RandomForest": rf, "GBT_A": gbt_a, "GBT_B": gbt_b}
 
 
@@ -226,9 +230,9 @@ def train_all(spark: SparkSession, labelled: DataFrame, presets: Presets = Prese
     # placed and ordered by the id: the trees' row samples do not depend on the input's layout
     train = prep.transform(train_rows).select(id_col, "label", "features") \
                 .repartition(train_partitions(n_train), F.col(id_col)).sortWithinPartitions(id_col) \
-                .select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
+                .persist(StorageLevel.MEMORY_AND_DISK)
     n_fit = train.count()
-    clfs = make_classifiers(presets, n_fit, node_memory_mb(spark, presets.tree_memory_mb))
+    clfs = make_classifiers(presets, n_fit, node_memory_mb(spark, presets.tree_memory_mb), id_col)
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         futures = {name: pool.submit(clfs[name].fit, train) for name in models}
         fitted_clf = {name: f.result() for name, f in futures.items()}
@@ -250,7 +254,8 @@ def train_all(spark: SparkSession, labelled: DataFrame, presets: Presets = Prese
             "run_id": uuid.uuid4().hex, "run_name": f"FlightDelay_{name}", "model": name,
             "params": {"model_type": name, "train_size": str(n_train),
                        "test_size": str(int(sizes["test_size"])), "n_features": str(len(ALL_FEATURES)),
-                       "positive_rate": str(sizes["positive_rate"])},
+                       "positive_rate": str(sizes["positive_rate"]),
+                       "train_positive_rate": str(sizes["train_positive_rate"])},
             "metrics": {k: float(rows[name][k]) for k in ["roc_auc", "accuracy", "precision", "recall", "f1"]
                         if rows[name][k] is not None},
         })

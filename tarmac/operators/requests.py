@@ -48,23 +48,27 @@ def _number(c: Column, dtype: T.DataType, whole: bool) -> Column:
 
 
 def _checked(req: DataFrame, ranges: bool, codes) -> DataFrame:
+    """Numbers are read once, in a projection of their own; rules and results
+    refer to them."""
     types = {f.name: f.dataType for f in req.schema.fields}
+    known = {*TEXT_FIELDS, *NUMBER_FIELDS}
+    given = [f for f in NUMBER_FIELDS if f in types]
+    values = {f: f"_value_{f}" for f in given}
+    read = req.withColumns({values[f]: _number(F.col(f), types[f], NUMBER_FIELDS[f][1]) for f in given})
     numbers, reasons = {}, [F.when(F.col(c).isNull(), F.lit(f"{c}: missing")) for c in TEXT_FIELDS]
-    for field, (required, whole, low, high) in NUMBER_FIELDS.items():
+    for field, (required, _, low, high) in NUMBER_FIELDS.items():
         if field not in types:
             numbers[field] = F.lit(DEFAULTS[field])
             continue
-        c = F.col(field)
-        value, given = _number(c, types[field], whole), _present(c, types[field])
-        bad = F.when(given & value.isNull(), F.lit(f"{field}: not a number"))
+        value, present = F.col(values[field]), _present(F.col(field), types[field])
+        bad = F.when(present & value.isNull(), F.lit(f"{field}: not a number"))
         if required:
-            bad = F.when(~given, F.lit(f"{field}: missing")).otherwise(bad)
+            bad = F.when(~present, F.lit(f"{field}: missing")).otherwise(bad)
         if ranges and low is not None:
             bad = F.coalesce(bad, F.when(~value.between(low, high), F.lit(f"{field}: out of range")))
         reasons.append(bad)
         numbers[field] = F.coalesce(value, F.lit(DEFAULTS[field])) if field in DEFAULTS else value
-    known = {*TEXT_FIELDS, *NUMBER_FIELDS}
-    return req.select(
+    return read.select(
         *[c for c in req.columns if c not in known],
         *[codes(F.col(c)).alias(c) for c in TEXT_FIELDS],
         *[v.cast("int" if NUMBER_FIELDS[f][1] else "double").alias(f) for f, v in numbers.items()],

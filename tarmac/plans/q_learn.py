@@ -1,14 +1,18 @@
 """Registered queries backed by Spark ML: training and selection, stored runs,
 scaler, importance, model scoring and full evaluation (M2-M7, M13-M17, A7, I8).
 
-Fitted numbers are beyond SQL, so the twins check what SQL can say: the split
-and its sizes, the scaler's parameters, value ranges, the quality floor and
-the rule that picks the winner."""
+Long fits are beyond SQL, so the twins check numbers that the data alone
+decide: the split and its sizes, the scaler's parameters, the log-odds and
+loss of the empty model, the root splits of the first tree, and the scores,
+importances and evaluation of a boosted model of one tree with one split,
+which goes through the same training, storage and scoring as the full ones.
+The tests hold the full models against direct solves and hand-walked trees."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarmac.operators import boosting as B
 from tarmac.operators import clean as C
 from tarmac.operators import features as FE
 from tarmac.operators import learn as L
@@ -16,13 +20,12 @@ from tarmac.operators import scoring as SC
 from tarmac.operators.metrics import full_evaluation
 from tarmac.operators.requests import validate_requests
 from tarmac.plans.oracle import with_ctes
-from tarmac.plans.q_features import _REQ_VALID
+from tarmac.plans.q_features import _REQ_FEATURES, _REQ_VALID
 from tarmac.plans.registry import register
 from tarmac.schema import ALL_FEATURES
 from tarmac.session import work_dir
 from tarmac.sources import tables
 
-AUC_FLOOR = 0.6
 METRICS = ["roc_auc", "accuracy", "precision", "recall", "f1"]
 
 # The labelled rows, and the md5 split: per class the first round(n / 5) rows in hash order are test.
@@ -40,22 +43,64 @@ def labelled_features(spark, sf):
     return L.training_frame(enc), d
 
 
-def _in_range(cols=METRICS):
-    ok = F.lit(True)
-    for c in cols:
-        ok = ok & F.coalesce(F.col(c).between(0, 1), F.lit(False))
-    return ok
+# One tree with one split, grown on all training rows and features.
+STUMP = L.Presets(gbt_rounds=1, gbt_depth=1, gbt_step=1.0, gbt_subsample=1.0, gbt_feature_fraction=1.0)
+
+
+def stump_sql(rows: str, bins: int = STUMP.gbt_bins, step: float = STUMP.gbt_step, g: B.Growth = B.LEVEL_WISE) -> str:
+    """CTEs root_splits (best split of each feature at the root, over ``rows``)
+    and stump (the best of them with both leaf values and the log-odds)."""
+    values = " UNION ALL ".join(f"SELECT {i} AS position, '{f}' AS feature, CAST({f} AS DOUBLE) AS v, is_delayed AS y FROM {rows}"
+                                for i, f in enumerate(ALL_FEATURES))
+    return f"""
+boost_values AS ({values}),
+boost_ranks AS (SELECT *, row_number() OVER (PARTITION BY position ORDER BY v) AS rk, count(*) OVER (PARTITION BY position) AS n,
+    max(v) OVER (PARTITION BY position) AS top FROM boost_values),
+boost_cuts AS (SELECT DISTINCT position, feature, v AS cut FROM boost_ranks
+    WHERE v < top AND floor(rk * {bins}.0 / n) BETWEEN 1 AND {bins - 1} AND ceil(floor(rk * {bins}.0 / n) * n / {bins}.0) = rk),
+boost_sums AS (SELECT position, v, sum(count(*)) OVER (PARTITION BY position ORDER BY v) AS ln, sum(sum(y)) OVER (PARTITION BY position ORDER BY v) AS lp
+    FROM boost_values GROUP BY position, v),
+boost_all AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(is_delayed) AS DOUBLE) AS p, CAST(sum(is_delayed) AS DOUBLE) / count(*) AS rate FROM {rows}),
+boost_sides AS (SELECT position, feature, cut, n, p, rate, CAST(ln AS DOUBLE) AS ln, rate * ln - lp AS lg, rate * (1 - rate) * ln AS lh,
+    rate * (n - ln) - (p - lp) AS rg, rate * (1 - rate) * (n - ln) AS rh
+    FROM boost_cuts JOIN boost_sums s USING (position) CROSS JOIN boost_all WHERE s.v = cut),
+boost_gains AS (SELECT *, lg * lg / (lh + {g.l2}) + rg * rg / (rh + {g.l2}) - (lg + rg) * (lg + rg) / (lh + rh + {g.l2}) AS gain
+    FROM boost_sides WHERE lh >= {g.min_hessian} AND rh >= {g.min_hessian}),
+root_splits AS (SELECT * FROM boost_gains WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY position ORDER BY gain DESC, cut) = 1),
+stump AS (SELECT feature, cut, ln(rate / (1 - rate)) AS base, -{step} * lg / (lh + {g.l2}) AS lv, -{step} * rg / (rh + {g.l2}) AS rv
+    FROM root_splits ORDER BY gain DESC, position LIMIT 1)"""
+
+
+_SIDE = "CASE stump.feature " + " ".join(f"WHEN '{f}' THEN CAST({{t}}.{f} AS DOUBLE)" for f in ALL_FEATURES) + " END"
+
+
+def _stump_probability(t: str) -> str:
+    return f"1 / (1 + exp(-(base + CASE WHEN {_SIDE.format(t=t)} <= cut THEN lv ELSE rv END)))"
+
+
+def _stump(spark, tf, evaluate: bool = False):
+    return L.train_all(spark, tf, STUMP, models=["GBT_A"], evaluate=evaluate)
+
+
+@register("boost_root_splits", operators=("M5", "M6"), oracle=with_ctes(["flights_encoded"], """
+SELECT CAST(position AS INTEGER) AS position, feature, cut, round(gain, 5) AS gain, CAST(ln AS BIGINT) AS left_rows, CAST(n - ln AS BIGINT) AS right_rows
+FROM root_splits""", [_SPLIT, stump_sql("labelled")]))
+def boost_root_splits(spark, sf):
+    """Best split of every feature at the root of the first boosted tree, over all labelled rows."""
+    tf, _ = labelled_features(spark, sf)
+    return B.root_splits(tf, ALL_FEATURES, "label").select("position", "feature", "cut", F.round("gain", 5).alias("gain"),
+                                                           "left_rows", "right_rows")
 
 
 @register("train_models", operators=("M2", "M3", "M4", "M5", "M6", "M7", "M13", "M14", "M15"),
           oracle=with_ctes(["flights_encoded"], f"""
 SELECT CAST(position AS INTEGER) AS position, model, 'FlightDelay_' || model AS run_name, CAST(train_size AS VARCHAR) AS train_size,
  CAST(test_size AS VARCHAR) AS test_size, '{len(ALL_FEATURES)}' AS n_features, test_size AS scored_rows, test_positives AS scored_positives,
- true AS auc_above_floor, true AS values_in_range, true AS winner_has_best_auc, CAST(1 AS BIGINT) AS winners
-FROM {_MODELS}, sizes""", [_SPLIT]))
+ round(ln(rate / (1 - rate)), 6) AS empty_log_odds, round(-(rate * ln(rate) + (1 - rate) * ln(1 - rate)), 6) AS empty_loss
+FROM {_MODELS}, sizes, (SELECT avg(is_delayed) AS rate FROM split WHERE NOT test) r""", [_SPLIT]))
 def train_models(spark, sf):
     """All four models with the full presets, the runs stored and read back:
-    one row per model."""
+    one row per model, with the numbers of the model without features."""
     tf, _ = labelled_features(spark, sf)
     res = L.train_all(spark, tf, L.Presets())
     root = work_dir(spark, "runs")
@@ -63,14 +108,13 @@ def train_models(spark, sf):
     runs = spark.read.parquet(f"{root}/runs")
     counts = res.scored.groupBy("model").agg(F.count(F.lit(1)).alias("scored_rows"),
                                              F.sum("label").cast("bigint").alias("scored_positives"))
-    best = runs.agg(F.max(F.when(F.col("is_best"), F.col("metrics")["roc_auc"])).alias("best"),
-                    F.max(F.col("metrics")["roc_auc"]).alias("top"), F.count(F.when(F.col("is_best"), 1)).alias("winners"))
-    out = runs.join(counts, "model").join(res.metrics, "model").crossJoin(best)     # four rows, one row
+    rate = F.col("params")["train_positive_rate"].cast("double")
+    out = runs.join(counts, "model").join(res.metrics.select("position", "model"), "model")
     return out.select(
         "position", "model", "run_name", F.col("params")["train_size"].alias("train_size"),
         F.col("params")["test_size"].alias("test_size"), F.col("params")["n_features"].alias("n_features"),
-        "scored_rows", "scored_positives", (F.col("roc_auc") > AUC_FLOOR).alias("auc_above_floor"),
-        _in_range().alias("values_in_range"), (F.col("best") == F.col("top")).alias("winner_has_best_auc"), "winners")
+        "scored_rows", "scored_positives", F.round(F.log(rate / (1 - rate)), 6).alias("empty_log_odds"),
+        F.round(-(rate * F.log(rate) + (1 - rate) * F.log(1 - rate)), 6).alias("empty_loss"))
 
 
 @register("scaler_parameters", operators=("M2",), oracle=with_ctes(["flights_encoded"], " UNION ALL ".join(
@@ -96,39 +140,26 @@ def top_correlations(spark, sf):
     return L.top_importances(c, 5).select("feature", F.round("importance", 6).alias("importance"))
 
 
-@register("feature_importance", operators=("M16",), oracle="""
-SELECT model, CAST(10 AS BIGINT) AS n, true AS descending, true AS not_negative, true AS known_features
-FROM (VALUES ('LogisticRegression'), ('RandomForest')) AS m(model)""")
+@register("feature_importance", operators=("M16", "M5"), oracle=with_ctes(["flights_encoded"], f"""
+SELECT f.feature, CASE WHEN f.feature = stump.feature THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS importance
+FROM (VALUES {", ".join(f"('{f}')" for f in ALL_FEATURES)}) AS f(feature), stump""", [_SPLIT, stump_sql("(SELECT * FROM split WHERE NOT test)")]))
 def feature_importance(spark, sf):
-    """Top-10 importances of the linear model (|coefficients|) and the forest
-    (impurity importances), full presets: one row per model with what holds."""
+    """Importances of the boosted model of one split: its feature has all of it."""
     tf, _ = labelled_features(spark, sf)
-    names = ["LogisticRegression", "RandomForest"]
-    res = L.train_all(spark, tf, L.Presets(), models=names, evaluate=False)
-    out = None
-    for m in names:
-        top = L.top_importances(L.feature_importance(spark, res.models[m]), 10)
-        part = top.agg(F.collect_list("importance").alias("v"), F.collect_list("feature").alias("f"))     # ten rows
-        part = part.select(F.lit(m).alias("model"), F.size("v").cast("bigint").alias("n"),
-                           (F.col("v") == F.reverse(F.array_sort("v"))).alias("descending"),
-                           F.forall("v", lambda x: x >= 0).alias("not_negative"),
-                           (F.size(F.array_except("f", F.array(*[F.lit(f) for f in ALL_FEATURES]))) == 0).alias("known_features"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-@register("batch_score_model", operators=("I8", "M7", "F13"), oracle=with_ctes(["requests"], """
-SELECT flight_id, airline, origin || '→' || destination AS route, true AS probability_ok, true AS bands_agree
-FROM req_valid WHERE reject_reason = ''""", [_REQ_VALID]))
+    return L.feature_importance(spark, _stump(spark, tf).models["GBT_A"])
+
+
+@register("batch_score_model", operators=("I8", "M5", "M7", "F13"), oracle=with_ctes(["requests", "flights_encoded"], f"""
+SELECT flight_id, airline, route, CASE WHEN p >= 0.5 THEN 'Delayed' ELSE 'On Time' END AS prediction, round(p, 4) AS delay_probability,
+ CASE WHEN p < 0.3 THEN 'LOW' WHEN p < 0.5 THEN 'MODERATE' WHEN p < 0.7 THEN 'HIGH' ELSE 'VERY HIGH' END AS risk_level
+FROM (SELECT r.flight_id, v.airline, v.origin || '→' || v.destination AS route, {_stump_probability("r")} AS p
+      FROM req_features r JOIN req_valid v USING (flight_id) CROSS JOIN stump) s""",
+          [_REQ_VALID, _REQ_FEATURES, _SPLIT, stump_sql("(SELECT * FROM split WHERE NOT test)")]))
 def batch_score_model(spark, sf):
-    """Valid requests scored by the logistic model trained on the flights."""
+    """Valid requests scored by the boosted model of one split, trained on the flights."""
     tf, d = labelled_features(spark, sf)
-    res = L.train_all(spark, tf, L.Presets(), models=["LogisticRegression"], evaluate=False)
     req = validate_requests(tables.requests(spark, sf)).where("is_valid")
-    out = SC.batch_score(req, d, model=res.models["LogisticRegression"])
-    p = F.col("delay_probability")
-    return out.select("flight_id", "airline", "route", p.between(0, 1).alias("probability_ok"),
-                      ((F.col("prediction") == "Delayed") == F.col("risk_level").isin("HIGH", "VERY HIGH")).alias("bands_agree"))
+    return SC.batch_score(req, d, model=_stump(spark, tf).models["GBT_A"])
 
 
 @register("model_roundtrip", operators=("S10", "M7"), oracle=with_ctes(["requests"], """
@@ -164,17 +195,43 @@ def runs_roundtrip(spark, sf):
         "feature_count", F.lit(loads).alias("model_loads"))
 
 
-@register("full_evaluation", operators=("M17", "M11", "M12", "M15"), oracle=with_ctes(["flights_encoded"], """
-SELECT t.name, CASE t.name WHEN 'comparison' THEN 5 WHEN 'confusion' THEN 4 WHEN 'report' THEN 5 END AS n,
- CASE t.name WHEN 'comparison' THEN 1 ELSE test_size END AS total
-FROM (VALUES ('comparison'), ('confusion'), ('report')) AS t(name), sizes""", [_SPLIT]))
+_EVALUATED = f"""
+evaluated AS (SELECT is_delayed AS y, {_stump_probability("t")} AS p FROM split t CROSS JOIN stump WHERE t.test),
+cells AS (SELECT count(*) AS n, count(*) FILTER (WHERE y = 1 AND p >= 0.5) AS tp, count(*) FILTER (WHERE y = 0 AND p >= 0.5) AS fp,
+    count(*) FILTER (WHERE y = 1 AND p < 0.5) AS fn, count(*) FILTER (WHERE y = 0 AND p < 0.5) AS tn FROM evaluated),
+by_score AS (SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM evaluated GROUP BY p),
+auc AS (SELECT CAST(sum(pos * (coalesce(below, 0) + neg / 2.0)) AS DOUBLE) / CAST(sum(pos) * sum(neg) AS DOUBLE) AS auc FROM (
+    SELECT pos, neg, sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM by_score) b),
+shown(part, name, value) AS (
+  SELECT 'comparison', 'roc_auc', auc FROM auc
+  UNION ALL SELECT 'comparison', 'accuracy', (tp + tn) / CAST(n AS DOUBLE) FROM cells
+  UNION ALL SELECT 'comparison', 'precision', coalesce(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 0) FROM cells
+  UNION ALL SELECT 'comparison', 'recall', coalesce(tp / CAST(nullif(tp + fn, 0) AS DOUBLE), 0) FROM cells
+  UNION ALL SELECT 'comparison', 'f1', coalesce(2 * tp / CAST(nullif(2 * tp + fp + fn, 0) AS DOUBLE), 0) FROM cells
+  UNION ALL SELECT 'confusion', 'actual 0 predicted 0', CAST(tn AS DOUBLE) FROM cells
+  UNION ALL SELECT 'confusion', 'actual 0 predicted 1', CAST(fp AS DOUBLE) FROM cells
+  UNION ALL SELECT 'confusion', 'actual 1 predicted 0', CAST(fn AS DOUBLE) FROM cells
+  UNION ALL SELECT 'confusion', 'actual 1 predicted 1', CAST(tp AS DOUBLE) FROM cells
+  UNION ALL SELECT 'roc', 'points', CAST(count(*) + 1 AS DOUBLE) FROM by_score
+  UNION ALL SELECT 'report', 'On Time support', CAST(tn + fp AS DOUBLE) FROM cells
+  UNION ALL SELECT 'report', 'Delayed support', CAST(tp + fn AS DOUBLE) FROM cells)"""
+
+
+@register("full_evaluation", operators=("M17", "M8", "M9", "M11", "M12", "M15"), oracle=with_ctes(
+    ["flights_encoded"], "SELECT part, name, round(value, 4) AS value FROM shown",
+    [_SPLIT, stump_sql("(SELECT * FROM split WHERE NOT test)"), _EVALUATED]))
 def full_evaluation_tables(spark, sf):
-    """The evaluation tables of a training run: rows and totals of each."""
+    """The evaluation tables of the boosted model of one split on the test rows, with their values."""
     tf, _ = labelled_features(spark, sf)
-    res = L.train_all(spark, tf, L.Presets(), models=["LogisticRegression"])
-    t = full_evaluation(res.scored, res.best_name)
-    count = F.count(F.lit(1)).cast("int")
-    parts = [t["comparison"].agg(count.alias("n"), F.count_distinct("model").alias("total")).select(F.lit("comparison").alias("name"), "n", "total"),
-             t["confusion"].agg(count.alias("n"), F.sum("n").alias("total")).select(F.lit("confusion").alias("name"), "n", "total"),
-             t["report"].agg(count.alias("n"), F.max("support").alias("total")).select(F.lit("report").alias("name"), "n", "total")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    res = _stump(spark, tf, evaluate=True)
+    t = full_evaluation(res.scored, "GBT_A")
+
+    def rows(part, name, value, table):
+        return table.select(F.lit(part).alias("part"), name.alias("name"), F.round(value.cast("double"), 4).alias("value"))
+
+    cell = F.format_string("actual %d predicted %d", F.col("actual"), F.col("predicted"))
+    report = t["report"].where(F.col("label").isin("On Time", "Delayed"))
+    return (rows("comparison", F.col("metric"), F.col("value"), t["comparison"])
+            .unionByName(rows("confusion", cell, F.col("n"), t["confusion"]))
+            .unionByName(rows("roc", F.lit("points"), F.col("n"), t["roc"].agg(F.count(F.lit(1)).alias("n"))))
+            .unionByName(rows("report", F.concat("label", F.lit(" support")), F.col("support"), report)))

@@ -35,6 +35,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.ansi.enabled", "true")
+        .config("spark.python.unix.domain.socket.enabled", "true")     # shorter waits between the JVM and Python workers
     )
     for k, v in REQUIRED_CONF.items():
         builder = builder.config(k, v)
