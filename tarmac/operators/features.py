@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tarmac.functions.scalar import distance_bucket, is_peak_hour, is_weekend, season
 from tarmac.operators.lookup import BROADCAST_MAX_ROWS, lookup_join
@@ -84,10 +84,11 @@ def fit_dictionary(df: DataFrame) -> Dictionary:
     inside = Window.partitionBy("column_name", "head").orderBy("value")
     table = (distinct.withColumn("pos", F.row_number().over(inside)).join(heads, ["column_name", "head"])
              .select("column_name", "value", (F.col("offset") + F.col("pos") - 1).cast("int").alias("code")))
-    # written once, counted while it is written; lookups and the caller read the stored table
-    path, seen = work_dir(spark, "dictionary"), Observation()
-    table.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return Dictionary(spark.read.schema(table.schema).parquet(path), int(seen.get["n"]), tuple(present))
+    # ranked and written once; the count, the lookups and the caller read the stored table
+    path = work_dir(spark, "dictionary")
+    table.write.parquet(path)
+    stored = spark.read.schema(table.schema).parquet(path)
+    return Dictionary(stored, stored.count(), tuple(present))
 
 
 def encode(df: DataFrame, dictionary: Dictionary | None,
