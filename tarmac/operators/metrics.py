@@ -54,6 +54,37 @@ def score_groups(scored: DataFrame, label_col: str, prob_col: str, by: list[str]
     )
 
 
+def auc_bounds(scored: DataFrame, label_col: str = "label", prob_col: str = "probability", by: list[str] = (),
+               bins: int = 1000) -> DataFrame:
+    """(*by, lower, upper, positives, negatives): bounds of the exact ROC-AUC
+    from one aggregation into score bins, whose counts of positives and
+    negatives add up over partitions, days or tables. Pairs in different bins
+    are ordered; pairs in one bin count not at all (lower) or whole (upper),
+    so the exact value lies between. NULL with a single class."""
+    by = list(by)
+    p = F.col(prob_col)
+    place = F.least(F.greatest(F.floor(p * bins), F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin")
+    y = F.col(label_col)
+    cells = scored.where(p.isNotNull()).groupBy(*by, place).agg(F.sum(y).cast("bigint").alias("pos"),
+                                                               F.sum(F.lit(1) - y).cast("bigint").alias("neg"))
+    return auc_bounds_of(cells, by)
+
+
+def auc_bounds_of(cells: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Bounds from stored bin counts (*by, bin, pos, neg), several rows of a
+    bin added up; the window runs over at most ``bins`` rows of a group."""
+    by, dec = list(by), "decimal(38,0)"
+    cells = cells.groupBy(*by, "bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    terms = cells.withColumn("_sure", F.col("pos").cast(dec) * below.cast(dec)) \
+                 .withColumn("_open", F.col("pos").cast(dec) * F.col("neg").cast(dec))
+    agg = terms.groupBy(*by).agg(F.sum("_sure").alias("_sure"), F.sum("_open").alias("_open"),
+                                 F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
+    den = F.col("positives").cast("double") * F.col("negatives").cast("double")
+    return agg.select(*by, F.try_divide(F.col("_sure").cast("double"), den).alias("lower"),
+                      F.try_divide((F.col("_sure") + F.col("_open")).cast("double"), den).alias("upper"), "positives", "negatives")
+
+
 def roc_auc(scored: DataFrame, label_col: str = "label", prob_col: str = "probability",
             by: list[str] = ()) -> DataFrame:
     """Exact ROC-AUC per group: the rank statistic with ties counted half,

@@ -40,10 +40,12 @@ def prediction_counts(log: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc("prediction"))
 
 
-def probability_histogram(log: DataFrame, bins: int = HIST_BINS) -> DataFrame:
+def probability_histogram(log: DataFrame, bins: int = HIST_BINS, weight: str | None = None) -> DataFrame:
     """Equal-width bins from min to max (last bin closed); equal min and max
-    widen by 0.5 on each side; empty bins present."""
-    p = log.select(F.col("probability").alias("p")).where(F.col("p").isNotNull())
+    widen by 0.5 on each side; empty bins present. ``weight`` names a column
+    that says how often a row counts."""
+    times = F.col(weight) if weight else F.lit(1)
+    p = log.select(F.col("probability").alias("p"), times.cast("bigint").alias("w")).where(F.col("p").isNotNull())
     mm = p.agg(F.min("p").alias("lo0"), F.max("p").alias("hi0")).select(
         F.when(F.col("lo0") == F.col("hi0"), F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),
         F.when(F.col("lo0") == F.col("hi0"), F.col("hi0") + 0.5).otherwise(F.col("hi0")).alias("hi"),
@@ -58,7 +60,7 @@ def probability_histogram(log: DataFrame, bins: int = HIST_BINS) -> DataFrame:
     raw = F.least(F.floor((F.col("p") - lo) * (F.lit(bins) / (hi - lo))), F.lit(bins - 1)).cast("int")
     b1 = F.when(F.col("p") < edge(raw), raw - 1).otherwise(raw)
     b2 = F.when((F.col("p") >= edge(b1 + 1)) & (b1 != bins - 1), b1 + 1).otherwise(b1)
-    counts = p.crossJoin(mm).select(b2.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = p.crossJoin(mm).select(b2.alias("bin"), "w").groupBy("bin").agg(F.sum("w").alias("n"))
     grid = p.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).crossJoin(mm)
     grid = grid.select("bin", edge(F.col("bin")).alias("bin_start"), edge(F.col("bin") + 1).alias("bin_end"))
     return grid.join(counts, "bin", "left").select(
@@ -170,6 +172,12 @@ def monitoring_report(log: DataFrame, as_of, baseline: float = DRIFT_BASELINE,
         F.count(F.when(recent, 1)).alias("recent_predictions"),
         F.count(F.when(recent & (F.col("prediction") == F.lit(DELAYED)), 1)).alias("_recent_delayed"),
     ).withColumn("has_rows", F.col("total_predictions") > 0)
+    return report_rows(row, as_of, baseline, window_days, threshold, min_rows)
+
+
+def report_rows(row: DataFrame, as_of, baseline: float, window_days: int, threshold: float, min_rows: int) -> DataFrame:
+    """The report's rows from one row of totals (total_predictions, delay_rate,
+    avg_probability, high_risk_count, recent_predictions, _recent_delayed, has_rows)."""
     row = row.select("total_predictions", "delay_rate", "avg_probability", "high_risk_count",
                      *_drift_columns(baseline, window_days, threshold, min_rows))
     z = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))

@@ -163,3 +163,20 @@ FROM split""", [_SPLIT.strip()]))
 def split_stats(spark, sf):
     s = _scored(spark, sf).select("flight_id", "label")
     return L.split_stats(L.stratified_split(s, "label", "flight_id", 0.2, 42), "label")
+
+
+@register("auc_bounds", operators=("M9",), oracle=with_ctes(["flights_scored"], """
+SELECT model, round(CAST(sum(pos * b) AS DOUBLE) / CAST(sum(pos) * sum(neg) AS DOUBLE), 6) AS lower,
+ round(CAST(sum(pos * (b + neg)) AS DOUBLE) / CAST(sum(pos) * sum(neg) AS DOUBLE), 6) AS upper,
+ CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives, true AS holds_exact
+FROM below GROUP BY model""", [_TWO, """
+cells AS (SELECT model, CAST(least(greatest(floor(probability * 1000), 0), 999) AS INTEGER) AS bin, sum(label) AS pos, sum(1 - label) AS neg
+          FROM two_scorers GROUP BY ALL),
+below AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY model ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM cells)"""]))
+def auc_bounds(spark, sf):
+    """Bounds of the AUC from mergeable bin counts; the exact value lies between them."""
+    s = _two_scorers(spark, sf)
+    exact = M.roc_auc(s, by=["model"])
+    b = M.auc_bounds(s, by=["model"]).join(exact, "model")
+    return b.select("model", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"), "positives", "negatives",
+                    (F.col("roc_auc").between(F.col("lower") - 1e-12, F.col("upper") + 1e-12)).alias("holds_exact"))

@@ -7,9 +7,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarmac.operators import monitor as MO
+from tarmac.operators import rollup as RO
 from tarmac.plans.oracle import with_ctes
 from tarmac.plans.registry import register
-from tarmac.sources import tables
+from tarmac.session import work_dir
+from tarmac.sources import io, tables
 
 AS_OF = "2024-01-31 00:00:00"
 CUTOFF = "2024-01-24 00:00:00"  # AS_OF - 7 days
@@ -79,6 +81,44 @@ def recent_log(spark, sf):
     return r.withColumn("timestamp", F.col("timestamp").cast("string"))
 
 
+def _dated_log(spark, sf):
+    """The log written in two appends, as a growing log is."""
+    path, log = f"{work_dir(spark, 'log')}/log", _log(spark, sf)
+    half = F.col("timestamp") < F.lit("2024-01-16").cast("timestamp")
+    io.append_inference_log(log.where(half), path)
+    return path, log.where(~half | F.col("timestamp").isNull())
+
+
+@register("recent_log_dates", operators=("A5", "S5"), oracle=with_ctes(["inference_log"], f"""
+SELECT {_LOG_COLS}, (SELECT count(*) FROM last) AS total,
+ (SELECT coalesce(avg(CAST(coalesce(prediction = 'Delayed', false) AS DOUBLE)), 0.0) FROM last) AS window_delay_rate
+FROM last""", ["""
+last AS (SELECT * FROM inference_log ORDER BY "timestamp" DESC, flight_id DESC LIMIT 100)"""]))
+def recent_log_dates(spark, sf):
+    """The last 100 rows of a date-partitioned log, reading its newest dates only."""
+    path, rest = _dated_log(spark, sf)
+    io.append_inference_log(rest, path)
+    r = RO.recent_rows(spark, path, 100).drop("log_date")
+    return r.withColumn("timestamp", F.col("timestamp").cast("string"))
+
+
+@register("log_distinct_sketches", operators=("A1", "P12"), oracle=with_ctes(["inference_log"], """
+SELECT 'airline' AS "column", count(DISTINCT airline) AS n, true AS within FROM inference_log
+UNION ALL SELECT 'origin', count(DISTINCT origin), true FROM inference_log
+UNION ALL SELECT 'destination', count(DISTINCT destination), true FROM inference_log
+UNION ALL SELECT 'flight_id', count(DISTINCT flight_id), true FROM inference_log"""))
+def log_distinct_sketches(spark, sf):
+    """Distinct values from stored per-date sketches beside the exact counts; ``within``: the estimate keeps its bound."""
+    cols = ["airline", "origin", "destination", "flight_id"]
+    log = _log(spark, sf).withColumn("log_date", F.to_date("timestamp"))
+    path = f"{work_dir(spark, 'sketch')}/sketches"
+    RO.sketches(log, cols).write.parquet(path)
+    found = RO.distinct_counts(spark.read.parquet(path)).withColumnRenamed("n", "estimate")
+    exact = log.agg(*[F.count_distinct(c).alias(c) for c in cols]).unpivot([], cols, "column", "n")
+    ok = F.abs(F.col("estimate") - F.col("n")) <= F.lit(RO.SKETCH_ERROR) * F.col("n")
+    return exact.join(found, "column").select("column", "n", ok.alias("within"))
+
+
 @register("session_sequence", operators=("A8", "P17"), oracle=with_ctes(["inference_log"], f"""
 SELECT flight_id, row_number() OVER (ORDER BY "timestamp", flight_id) AS seq,
  CAST(replace({_pct_sql('probability')}, '%', '') AS DOUBLE) / 100 AS probability_shown,
@@ -130,7 +170,7 @@ def drift_check(spark, sf):
     return MO.drift_check(_log(spark, sf), AS_OF)
 
 
-@register("monitoring_report", operators=("O3", "S12"), oracle=with_ctes(["inference_log"], f"""
+_REPORT_SQL = with_ctes(["inference_log"], f"""
 SELECT section, metric, CAST(value AS DOUBLE) AS value, text FROM (
  SELECT 'PREDICTION STATS' AS section, 'total_predictions' AS metric, round(CAST(tp AS DOUBLE), 6) AS value,
         CAST(tp AS VARCHAR) AS text FROM st
@@ -149,7 +189,36 @@ SELECT section, metric, CAST(value AS DOUBLE) AS value, text FROM (
  UNION ALL SELECT 'REPORT', 'generated', NULL, '{AS_OF}'
 ) t""", [_DRIFT, """
 st AS (SELECT count(*) AS tp, avg(CAST(coalesce(prediction = 'Delayed', false) AS DOUBLE)) AS dr,
-   avg(probability) AS ap, count(*) FILTER (WHERE probability > 0.7) AS hr FROM inference_log)"""]))
+   avg(probability) AS ap, count(*) FILTER (WHERE probability > 0.7) AS hr FROM inference_log)"""])
+
+
+@register("monitoring_report", operators=("O3", "S12"), oracle=_REPORT_SQL)
 def monitoring_report(spark, sf):
     report = MO.monitoring_report(_log(spark, sf), AS_OF)
     return report.withColumn("value", F.round("value", 6))
+
+
+@register("rollup_report", operators=("O3", "A2", "O2"), oracle=_REPORT_SQL)
+def rollup_report(spark, sf):
+    """The report from a per-date rollup that was extended by the dates of a second append."""
+    path, rest = _dated_log(spark, sf)
+    kept = f"{work_dir(spark, 'rollup')}/rollup"
+    RO.update(spark, path, kept)
+    io.append_inference_log(rest, path)
+    RO.update(spark, path, kept)
+    report = RO.report(RO.load(spark, kept), io.load_inference_log(spark, path), AS_OF)
+    return report.withColumn("value", F.round("value", 6))
+
+
+@register("rollup_counts", operators=("A3", "A4"), oracle=with_ctes(["inference_log"], """
+SELECT prediction AS name, count(*) AS n FROM inference_log WHERE prediction IS NOT NULL GROUP BY prediction
+UNION ALL SELECT 'probabilities', count(probability) FROM inference_log"""))
+def rollup_counts(spark, sf):
+    """Value counts from the rollup, and the rows that its histogram holds."""
+    path, rest = _dated_log(spark, sf)
+    io.append_inference_log(rest, path)
+    kept = f"{work_dir(spark, 'rollup')}/rollup"
+    RO.update(spark, path, kept)
+    r = RO.load(spark, kept)
+    total = RO.histogram(r).agg(F.lit("probabilities").alias("name"), F.sum("n").alias("n"))
+    return RO.counts(r).select(F.col("prediction").alias("name"), "n").unionByName(total)

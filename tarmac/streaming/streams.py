@@ -117,11 +117,18 @@ def drift_windows(log: DataFrame, window_days: int = DRIFT_WINDOW_DAYS, slide_da
     ``slide_days``): predictions, delay rate and the drift rule. Rows later
     than the watermark are dropped (Spark filters late input with the
     watermark reached by the previous micro-batch); a window is emitted once
-    the watermark passes its end. State is one row per open window."""
+    the watermark passes its end.
+
+    Two chained aggregations: rows are summed into panes of ``slide_days``,
+    and closed panes into windows. So a row is counted once, and only a pane's
+    one row of sums is repeated for the windows that hold it. State is one row
+    per open pane and open window."""
     s = log.withColumn("_ts", F.col(ts_col).cast("timestamp")).withWatermark("_ts", delay)
-    agg = s.groupBy(F.window("_ts", f"{window_days} days", f"{slide_days} day").alias("w")).agg(
+    panes = s.groupBy(F.window("_ts", f"{slide_days} days").alias("pane")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count(F.when(F.col("prediction") == F.lit(DELAYED), 1)).alias("delayed"))
+    agg = panes.groupBy(F.window(F.window_time("pane"), f"{window_days} days", f"{slide_days} days").alias("w")).agg(
+        F.sum("n").alias("n"), F.sum("delayed").alias("delayed"))
     rate = F.col("delayed") / F.col("n").cast("double")
     return agg.select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
