@@ -334,4 +334,4 @@ def best_run(spark: SparkSession, runs_path: str) -> DataFrame:
     """Latest best run: model name, metrics, feature count, model path."""
     runs = spark.read.parquet(runs_path)
     return runs.where("is_best").orderBy(F.desc("created_at")).limit(1).select(
-        "model", "metrics", F.lit(len(ALL_FEATURES)).alias("feature_count"), "model_path")
+        "run_id", "model", "params", "metrics", F.lit(len(ALL_FEATURES)).alias("feature_count"), "model_path")

@@ -4,6 +4,7 @@ the given folders (shared storage on a cluster)."""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,8 +54,11 @@ def training_run(spark: SparkSession, raw: DataFrame, artifacts: Artifacts,
     if not ok:
         raise ValueError(message)
     enc, d = FE.build_features(cleaned)
+    own = FE.save_dictionary(d, f"{artifacts.dictionary}-{uuid.uuid4().hex}")     # kept with the runs that were trained on it
     FE.save_dictionary(d, artifacts.dictionary)
     res = L.train_all(spark, L.training_frame(enc, id_col=id_col), presets, id_col=id_col)
+    for run in res.runs:
+        run["params"]["dictionary"] = own
     L.record_runs(spark, res, artifacts.runs, artifacts.models)
     tables = full_evaluation(res.scored, res.best_name)
     tables |= {"summary": C.data_summary(cleaned), "cleaning": C.cleaning_report(raw)}
@@ -76,7 +80,7 @@ def batch_score_file(spark: SparkSession, csv_path: str, artifacts: Artifacts, o
     written to ``out_path``; rejected rows are written next to it."""
     best = L.best_run(spark, artifacts.runs).first()
     model = L.load_model(best["model_path"])
-    d = FE.load_dictionary(spark, artifacts.dictionary)
+    d = FE.load_dictionary(spark, best["params"].get("dictionary") or artifacts.dictionary)
     req = io.read_batch_requests(spark, csv_path)
     keep = [id_col] if id_col else []
     scored = SC.batch_score(req.where("is_valid"), d, model=model, keep=tuple(keep),
@@ -94,41 +98,60 @@ def monitoring_run(spark: SparkSession, log_path: str, as_of, report_path: str)
     return report
 
 
+class CurrentModel:
+    """The latest best run of a runs table: its model and the dictionary that
+    it was trained with, loaded when the run changes."""
+
+    def __init__(self, spark: SparkSession, artifacts: Artifacts):
+        self.spark, self.artifacts = spark, artifacts
+        self.version = self.name = self.model = self.dictionary = None
+
+    def refresh(self) -> CurrentModel:
+        best = L.best_run(self.spark, self.artifacts.runs).first()          # one row
+        if best["run_id"] != self.version:
+            self.model = L.load_model(best["model_path"])
+            self.dictionary = FE.load_dictionary(self.spark, best["params"].get("dictionary") or self.artifacts.dictionary)
+            self.version, self.name = best["run_id"], best["model"]
+        return self
+
+
+def score_batch(batch: DataFrame, current: CurrentModel, log_path: str, key: str = "flight_id",
+                responses_path: str | None = None, rejects_path: str | None = None, risk_scheme: str = "A") -> None:
+    """One micro-batch of requests, scored by the run that is best now and
+    added to the log (and to the dated response and reject tables). What an
+    earlier attempt of the batch has written is not written again."""
+    now = current.refresh()
+    resp = ST.responses_stream(batch, now.dictionary, now.name, model=now.model, key=key, risk_scheme=risk_scheme)
+    resp = resp.withColumn("model_version", F.lit(now.version)).persist()
+    try:
+        if responses_path:
+            out = resp.select(key, "inference_id", "prediction", "delay_probability", "confidence", "risk_level",
+                              "model_name", "model_version", "response_ts")
+            ST.append_once(out, responses_path, key="inference_id", ts_col="response_ts")
+        ST.append_once(SC.log_rows(resp, keep=[key]), log_path, key=key)
+        if rejects_path:
+            ST.append_once(ST.rejected_requests_stream(batch), rejects_path, key=key, ts_col="request_ts")
+    finally:
+        resp.unpersist()
+
+
 def start_scoring_stream(spark: SparkSession, requests_dir: str, schema, artifacts: Artifacts,
                          log_path: str, checkpoint: str, trigger_seconds: int | None = 10,
                          key: str = "flight_id", responses_path: str | None = None,
                          rejects_path: str | None = None, risk_scheme: str = "A") -> list:
     """Live path: request files -> validated, scored responses -> appended to
     the inference log, with the request key; responses (id, confidence, risk,
-    model) and rejected requests (with reasons) go to their own tables if
-    paths are given. One stream per output, each exactly once through its own
-    checkpoint below ``checkpoint``."""
-    best = L.best_run(spark, artifacts.runs).first()
-    model = L.load_model(best["model_path"])
-    d = FE.load_dictionary(spark, artifacts.dictionary)
-
-    def requests() -> DataFrame:
-        return ST.read_stream(spark, requests_dir, schema)
-
-    def responses() -> DataFrame:
-        return ST.responses_stream(requests(), d, best["model"], model=model, key=key, risk_scheme=risk_scheme)
-
-    def start(name: str, rows: DataFrame, path: str, dated: bool):
-        w = rows.writeStream.format("parquet").outputMode("append")
-        w = w.partitionBy("log_date") if dated else w
-        w = w.option("checkpointLocation", f"{checkpoint}/{name}").option("path", path)
-        return (w.trigger(processingTime=f"{trigger_seconds} seconds") if trigger_seconds
-                else w.trigger(availableNow=True)).start()
-
-    log = SC.log_rows(responses(), keep=[key]).withColumn("log_date", F.to_date("timestamp"))
-    streams = [start("log", log, log_path, True)]
-    if responses_path:
-        out = responses().select(key, "inference_id", "prediction", "delay_probability", "confidence", "risk_level",
-                                 "model_name", "response_ts")
-        streams.append(start("responses", out, responses_path, False))
-    if rejects_path:
-        streams.append(start("rejects", ST.rejected_requests_stream(requests()), rejects_path, False))
-    return streams
+    model and its version) and rejected requests (with reasons) go to their
+    own dated tables if paths are given.
+
+    The best run is looked up for every micro-batch: a new training takes over
+    at the next batch, without a restart, with its own dictionary."""
+    current = CurrentModel(spark, artifacts)
+    requests = ST.read_stream(spark, requests_dir, schema)
+    w = requests.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda batch, _: score_batch(batch, current, log_path, key, responses_path, rejects_path, risk_scheme))
+    w = w.trigger(processingTime=f"{trigger_seconds} seconds") if trigger_seconds else w.trigger(availableNow=True)
+    return [w.start()]
 
 
 def model_info(spark: SparkSession, artifacts: Artifacts) -> DataFrame:

@@ -190,7 +190,7 @@ def runs_roundtrip(spark, sf):
     best = L.best_run(spark, f"{root}/runs")
     loads = len(L.load_model(best.first()["model_path"]).stages) == 3
     runs = spark.read.parquet(f"{root}/runs").select("model", "run_name", "is_best", F.col("params")["test_size"].alias("test_size"))
-    return runs.join(best, "model").select(
+    return runs.join(best.drop("params"), "model").select(
         "model", "run_name", "is_best", "test_size", F.array_join(F.array_sort(F.map_keys("metrics")), ",").alias("metric_names"),
         "feature_count", F.lit(loads).alias("model_loads"))
 

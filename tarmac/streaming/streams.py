@@ -70,28 +70,26 @@ def responses_stream(requests: DataFrame, dictionary: Dictionary | None, model_n
     return out.withColumn("inference_id", F.concat(F.lit("INF-"), F.substring(digest, 1, 16)))
 
 
-def append_log_stream(log: DataFrame, sink: str, checkpoint: str, key: str = "flight_id",
-                      ts_col: str = "timestamp", horizon: str = "1 hour", available_now: bool = True,
-                      trigger_seconds: int = 10):
-    """T3, skew-proof: every micro-batch is de-duplicated as a batch
-    (``dropDuplicates`` combines map-side, so a key re-delivered millions of
-    times is reduced before the shuffle), then anti-joined with the rows
-    already in the log from ``horizon`` before the batch's first timestamp to
-    ``horizon`` after its last (a date-pruned read), then appended. A batch
-    commits atomically, so a replayed batch writes nothing twice.
+def append_once(batch: DataFrame, sink: str, key: str = "flight_id", ts_col: str = "timestamp",
+                horizon: str = "1 hour") -> None:
+    """Append the rows of a micro-batch that the dated table ``sink`` does not
+    hold yet: de-duplicated as a batch (``dropDuplicates`` combines map-side,
+    so a key re-delivered millions of times is reduced before the shuffle), then anti-joined with
+    the stored rows from ``horizon`` before the batch's first timestamp to
+    ``horizon`` after its last (a date-pruned read). The batch is evaluated
+    once. A batch that failed half way and is run again adds what is missing.
 
     A delivery is known again by its key; rows without a key are known by all
     their values. Rows without a timestamp are kept (in the NULL date) and
-    compared with the log's rows without a timestamp."""
-    spark = log.sparkSession
-    cols = log.columns
-    values = F.struct(*[F.col(c) for c in cols if c != key])
+    compared with the stored rows without a timestamp."""
+    from tarmac.sources.io import path_exists, write_dated
+    spark = batch.sparkSession
+    values = F.struct(*[F.col(c) for c in batch.columns if c != key])
     mark = F.when(F.col(key).isNull(), F.xxhash64(values.cast("string")))
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        from tarmac.sources.io import path_exists, write_dated
-        rows = batch.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withColumn("_mark", mark)
-        rows = rows.dropDuplicates([key, "_mark"]).withColumn("log_date", F.to_date(ts_col))
+    rows = batch.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withColumn("_mark", mark)
+    rows = rows.dropDuplicates([key, "_mark"]).withColumn("log_date", F.to_date(ts_col)).persist()
+    try:
+        new = rows
         if path_exists(spark, sink):
             span = rows.agg(F.min(ts_col).alias("a"), F.max(ts_col).alias("b")).first()  # one row
             near = F.col("log_date").isNull()
@@ -101,10 +99,19 @@ def append_log_stream(log: DataFrame, sink: str, checkpoint: str, key: str = "fl
                 near = near | (F.col("log_date").between(F.to_date(lo), F.to_date(hi)) & F.col(ts_col).between(lo, hi))
             seen = spark.read.schema(rows.drop("_mark").schema).parquet(sink).where(near).withColumn("_mark", mark)
             seen = seen.select(F.col(key).alias("_k"), F.col("_mark").alias("_m"))
-            rows = rows.join(seen, F.col(key).eqNullSafe(F.col("_k")) & F.col("_mark").eqNullSafe(F.col("_m")), "left_anti")
-        write_dated(rows.drop("_mark"), sink)
+            new = rows.join(seen, F.col(key).eqNullSafe(F.col("_k")) & F.col("_mark").eqNullSafe(F.col("_m")), "left_anti")
+        write_dated(new.drop("_mark"), sink)
+    finally:
+        rows.unpersist()
 
-    w = log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+def append_log_stream(log: DataFrame, sink: str, checkpoint: str, key: str = "flight_id",
+                      ts_col: str = "timestamp", horizon: str = "1 hour", available_now: bool = True,
+                      trigger_seconds: int = 10):
+    """T3, skew-proof: every micro-batch goes through ``append_once``, so
+    re-delivered rows and a repeated batch write nothing twice within the horizon."""
+    w = log.writeStream.foreachBatch(lambda batch, _: append_once(batch, sink, key, ts_col, horizon))
+    w = w.option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{trigger_seconds} seconds")
     return w.start()
 

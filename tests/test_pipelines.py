@@ -67,3 +67,29 @@ def test_end_to_end(spark):
     d = {r["metric"]: r for r in rep.collect()}
     assert d["total_predictions"]["value"] == 60.0
     assert d["status"]["text"] != "N/A"  # 60 recent rows: evaluated
+
+
+def test_a_new_run_takes_over_between_micro_batches(spark):
+    root = work_dir(spark, "swap")
+    art = P.Artifacts(root + "/artifacts")
+    one = L.Presets(lr_max_iter=5, rf_trees=2, rf_depth=2, gbt_rounds=1)
+    P.training_run(spark, synthetic.generate(spark, 400, seed=5), art, one)
+    schema = ("flight_id long, request_ts timestamp, airline string, origin string, destination string, "
+              "departure_delay double, distance double, day_of_week int, month int, hour int")
+    t0 = dt.datetime(2024, 1, 29, 12)
+
+    def batch(first):
+        rows = [(i, t0 + dt.timedelta(minutes=i), "aa", "jfk", "lax", float(i % 40), 900.0, 1, 1, 9) for i in range(first, first + 20)]
+        return spark.createDataFrame(rows, schema)
+
+    current, paths = P.CurrentModel(spark, art), (root + "/log", "flight_id", root + "/responses", root + "/rejects")
+    P.score_batch(batch(0), current, *paths)
+    old = current.version
+    P.training_run(spark, synthetic.generate(spark, 500, seed=6), art, one)
+    P.score_batch(batch(20), current, *paths)
+    P.score_batch(batch(20), current, *paths)               # the batch is run again: nothing twice
+    P.score_batch(batch(0), current, *paths)                # re-delivered after the swap: kept as it was scored
+    assert current.version != old
+    got = spark.read.parquet(root + "/responses").groupBy("model_version").agg(F.count("*").alias("n"), F.min("flight_id").alias("a"))
+    assert {(r.model_version, r.n, r.a) for r in got.collect()} == {(old, 20, 0), (current.version, 20, 20)}
+    assert io.load_inference_log(spark, root + "/log").count() == 40
