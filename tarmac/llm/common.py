@@ -115,12 +115,15 @@ def filter_rows(docs: DataFrame, text_col: str,
     """The rows of ``docs`` that a batch predicate over the texts keeps, all
     columns unchanged. ``keep_of`` runs once in each task and returns the
     predicate (texts -> boolean array)."""
+    at = docs.columns.index(text_col)
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])      # mapInArrow takes no names with dots
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = keep_of()
         for b in batches:
             if b.num_rows:
-                yield b.filter(pa.array(keep(column_texts(b, text_col))))
-    return docs.mapInArrow(run, docs.schema)
+                yield b.filter(pa.array(keep(b.column(at).to_pylist())))
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
 
 
 def grouped_prefix(df: DataFrame, group: list[str], bucket: str, order: list[Column],

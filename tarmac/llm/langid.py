@@ -13,6 +13,7 @@ each language, chosen by a hash of the id.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +31,8 @@ SMOOTH = 0.5
 CLIP = 8.0                 # largest advantage one word gives a language (nats)
 SWITCH = 10.0              # penalty for changing the language (nats)
 PIECE = 1 << 19            # code points scored at a time
-MIN_SCORE = 0.3            # a share that a caller may ask for; the pipeline stage does not
+LONG_WORDS = 4096          # texts of more words are labelled in blocks
+CELLS = 1 << 21            # block scores held at once
 UNKNOWN = "und"
 
 # Code point ranges of scripts (fixed values, inclusive).
@@ -66,19 +68,45 @@ class LangModel:
     allowed: np.ndarray         # bool[scripts, languages]
 
 
+_SPACE = re.compile(r"[ \t-\r]")
+
+
+def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """(document of each part, parts) of about PIECE code points together. A
+    longer text is cut at white space, so no word is cut and every window stays as it is."""
+    of: list[int] = []
+    group: list[str] = []
+    size = 0
+    for i, t in enumerate(texts):
+        t = t or ""
+        at = 0
+        while True:
+            end = len(t)
+            if end - at > PIECE:
+                m = _SPACE.search(t, at + PIECE)
+                end = m.start() if m else end
+            if group and size + end - at > PIECE:
+                yield np.array(of), group
+                of, group, size = [], [], 0
+            of.append(i)
+            group.append(t[at:end])
+            size += end - at
+            at = end
+            if at >= len(t):
+                break
+    if group:
+        yield np.array(of), group
+
+
 def _windows(texts: list[str | None]) -> Iterator[tuple[np.ndarray, ...]]:
     """Pieces of the texts as (document of word, letters of word, script of
     word, first window of word, hashes of two, hashes of three). Windows are
     centred on letters; anything else is a boundary. A piece ends at a
-    document's end; words without a letter are left out."""
+    document's end, in a longer document at white space; words without a
+    letter are left out."""
     letter, script = _planes()
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end] or "") <= PIECE):
-            size += len(texts[end] or "")
-            end += 1
-        low = [(t or "").lower() for t in texts[at:end]]
+    for of, group in _pieces(texts):
+        low = [t.lower() for t in group]
         u = np.frombuffer(("\n" + "\n".join(low) + "\n").encode("utf-32-le"), "<u4")
         first = np.cumsum([1] + [len(t) + 1 for t in low])
         pos = np.flatnonzero(letter[u])
@@ -92,9 +120,8 @@ def _windows(texts: list[str | None]) -> Iterator[tuple[np.ndarray, ...]]:
             word = np.cumsum(space)[pos]
             start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             letters = np.diff(np.append(start, len(pos)))
-            doc = at + np.searchsorted(first, pos[start], side="right") - 1
+            doc = of[np.searchsorted(first, pos[start], side="right") - 1]
             yield doc, letters, script[u[pos[start]]], start, two.astype(np.int64), three.astype(np.int64)
-        at = end
 
 
 def word_scores(model: LangModel, texts: list[str | None]) -> tuple[np.ndarray, ...]:
@@ -119,14 +146,63 @@ def word_scores(model: LangModel, texts: list[str | None]) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def _block_path(scores: np.ndarray, switch: float) -> np.ndarray:
+    """Best path of one long text, in blocks of about the square root of its
+    words that advance together. Max-plus products give the best scores with
+    which each block is entered; from there every block takes the ordinary
+    steps, and blocks are joined by the states in which they are entered."""
+    n, k = scores.shape
+    size = int(np.ceil(np.sqrt(n)))
+    blocks = -(-n // size)
+    s = np.zeros((blocks * size, k))
+    s[:n] = scores                                          # padding scores zero: nothing changes behind the end
+    s = s.reshape(blocks, size, k)
+    own = np.arange(k, dtype=np.int16)
+    enter = np.zeros((blocks, k))                           # best scores of the word before the block
+    chunk = max(1, CELLS // (k * k))
+    for a in range(0, blocks, chunk):
+        part = s[a:a + chunk]
+        through = -switch * (1.0 - np.eye(k)) + part[:, 0, None, :]     # [block, state before it, state]
+        for t in range(1, size):
+            through = np.maximum(through, through.max(axis=2, keepdims=True) - switch) + part[:, t, None, :]
+        for i in range(len(part)):
+            if a + i + 1 < blocks:
+                enter[a + i + 1] = (enter[a + i][:, None] + through[i]).max(axis=0)
+    came = np.empty((size, blocks, k), np.int16)
+    best, every = enter, np.arange(blocks)
+    for t in range(size):
+        top = best.argmax(axis=1)
+        lead = best[every, top] - switch
+        came[t] = np.where(best >= lead[:, None], own, top[:, None].astype(np.int16))
+        best = np.maximum(best, lead[:, None]) + s[:, t]
+    start = np.tile(own, (blocks, 1))                       # state before the block, for each state at its end
+    for t in range(size - 1, -1, -1):
+        start = np.take_along_axis(came[t], start.astype(np.int64), axis=1)
+    state = np.empty(blocks, np.int64)
+    state[-1] = best[-1].argmax()
+    for i in range(blocks - 1, 0, -1):
+        state[i - 1] = start[i, state[i]]
+    path = np.empty((size, blocks), np.int16)
+    for t in range(size - 1, -1, -1):
+        path[t] = state
+        state = came[t][every, state].astype(np.int64)
+    return path.T.reshape(-1)[:n]
+
+
 def viterbi(doc: np.ndarray, scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best language number of every word. All documents advance together,
-    longest first; a tie stays in the same language, then takes the first."""
+    longest first; a tie stays in the same language, then takes the first.
+    Documents of more than LONG_WORDS words are labelled on their own."""
     n, k = scores.shape
     path = np.zeros(n, np.int16)
     if not n or k < 2:
         return path
     _, first, count = np.unique(doc, return_index=True, return_counts=True)
+    for a, c in zip(first[count > LONG_WORDS].tolist(), count[count > LONG_WORDS].tolist()):
+        path[a:a + c] = _block_path(scores[a:a + c], switch)
+    first, count = first[count <= LONG_WORDS], count[count <= LONG_WORDS]
+    if not len(first):
+        return path
     order = np.argsort(-count, kind="stable")
     first, count = first[order], count[order]
     falling = -count
@@ -182,13 +258,13 @@ def fit_languages(docs: DataFrame, learn: Column | None = None, per_lang: int =
     Only (doc_id, lang) is sampled; the chosen ids are bounded by ``per_lang``
     times the number of languages. Counting runs on the executors; per task and
     language one table of fixed size returns. Rows with NULL lang, text or id
-    teach nothing; no usable row gives a model without languages.
+    teach nothing (a chosen row without a text is not replaced by another); no
+    usable row gives a model without languages.
     """
     learn = learnable() if learn is None else learn
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
+    rows = docs.where(learn & F.col("lang").isNotNull()).select("doc_id", "lang")      # no text is read to choose
     ids = hashed_sample(rows, ["lang"], per_lang, 5)
-    sample = (docs.select("doc_id", "lang", "text").where("text IS NOT NULL")
-              .join(F.broadcast(ids), ["doc_id", "lang"])
+    sample = (docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).where("text IS NOT NULL")
               .groupBy("doc_id", "lang").agg(F.min("text").alias("text")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +282,14 @@ def fit_languages(docs: DataFrame, learn: Column | None = None, per_lang: int =
                 [pa.array([lang]), *(pa.array([x.astype("<f4").tobytes()], pa.binary()) for x in parts)],
                 names=["lang", "two", "three", "used"])
 
-    rows = (sample.select("lang", "text").coalesce(8)
-            .mapInArrow(count, "lang string, two binary, three binary, used binary").collect())
+    def add(key, got):
+        sums = [sum(np.frombuffer(x.as_py(), "<f4") for x in got.column(c)).astype("<f4").tobytes() for c in ("two", "three", "used")]
+        return pa.table({"lang": pa.array([key[0].as_py()], pa.string()),
+                         **{c: pa.array([x], pa.binary()) for c, x in zip(("two", "three", "used"), sums)}})
+
+    schema = "lang string, two binary, three binary, used binary"
+    rows = (sample.select("lang", "text").coalesce(8).mapInArrow(count, schema)
+            .groupBy("lang").applyInArrow(add, schema).collect())           # one row for each language
     langs = sorted({r["lang"] for r in rows})
     size, k = 1 << BITS, len(langs)
     two, three, used = np.zeros((size, k)), np.zeros((size, k)), np.zeros((len(SCRIPT_NAMES), k))

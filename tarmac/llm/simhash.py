@@ -232,11 +232,13 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
     rows = (fps.join(chosen.select("doc_id"), "doc_id", "left_semi")
             .groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
     rows = materialise(rows.select(F.col("doc_id").alias(key), "n"), "keep")
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]      # names may hold dots
     single = keyed.join(rows.where("n = 1").select(key), key, "left_semi")
     if rows.where("n > 1").isEmpty():
-        return single.select(*docs.columns)
+        return single.select(*own)
     several = keyed.join(rows.where("n > 1").select(key), key, "left_semi")
-    several = (with_fingerprint(several, mark, shingle)
-               .join(chosen.select(F.col("doc_id").alias(key), F.col("fp").alias(mark)), [key, mark], "left_semi"))
-    several = several.groupBy(key, mark).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return single.select(*docs.columns).unionByName(several)
+    several = with_fingerprint(several.select(key, "text", F.struct(*own).alias("_row")), mark, shingle)
+    several = several.join(chosen.select(F.col("doc_id").alias(key), F.col("fp").alias(mark)), [key, mark], "left_semi")
+    # any of the rows with one id and fingerprint, chosen by its text form: maps have no order of their own
+    several = several.groupBy(key, mark).agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row.*")
+    return single.select(*own).unionByName(several)

@@ -13,7 +13,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tarmac.llm import queries, spelling, tokenfile, tokens, whitening
+from tarmac.llm import langid, queries, spelling, tokenfile, tokens, whitening
 from tarmac.session import work_dir
 from tests.conftest import SF_SMALL as SF
 
@@ -344,3 +344,72 @@ def test_filters_have_no_false_negatives(spark):
     assert len(f.find(spelling.word_hashes(words), 7)) == len(words)
     other = spelling.word_hashes([w.upper() for w in words])
     assert len(f.find(other, 7)) < 0.02 * len(words) and len(f.find(other, 9)) == 0
+
+
+# ---------------------------------------------------------------- op3, long texts
+def _plain_viterbi(scores, switch):
+    best, came = scores[0].astype(np.float64), []
+    for row in scores[1:]:
+        lead = best.max() - switch
+        came.append(np.where(best >= lead, np.arange(len(best)), best.argmax()))
+        best = np.maximum(best, lead) + row
+    path = [int(best.argmax())]
+    for c in reversed(came):
+        path.append(int(c[path[-1]]))
+    return path[::-1]
+
+
+@pytest.mark.parametrize("n,k", [(1, 2), (2, 3), (7, 2), (50, 4), (333, 5), (2000, 3)])
+def test_block_path_equals_word_by_word(n, k, monkeypatch):
+    rng = np.random.default_rng(n * 10 + k)
+    scores = (-rng.integers(0, 64, size=(n, k)) / 8).astype(np.float32)
+    want = _plain_viterbi(scores, 10.0)
+    assert langid._block_path(scores, 10.0).tolist() == want
+    monkeypatch.setattr(langid, "CELLS", 1)
+    assert langid._block_path(scores, 10.0).tolist() == want
+    doc = np.repeat([0, 1, 2], [3, n, 2])
+    both = np.concatenate([scores[:1].repeat(3, 0), scores, scores[:1].repeat(2, 0)])
+    short = langid.viterbi(doc, both)
+    monkeypatch.setattr(langid, "LONG_WORDS", 2)
+    assert langid.viterbi(doc, both).tolist() == short.tolist()
+
+
+def test_long_texts_in_pieces_equal_the_whole(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit_languages(docs)
+    texts = [r.text for r in docs.limit(40).collect()]
+    mixed = [" ".join(t or "" for t in texts), None, "", "x" * 5000, "a\tb\n" * 900, *texts]
+    whole = langid.predict(model, mixed)
+    monkeypatch.setattr(langid, "PIECE", 700)
+    monkeypatch.setattr(langid, "LONG_WORDS", 50)
+    cut = langid.predict(model, mixed)
+    assert cut[0] == whole[0] and np.allclose(cut[1], whole[1]) and cut[2].tolist() == whole[2].tolist()
+
+
+def test_an_eight_megabyte_text_is_labelled_in_seconds(spark):
+    import time
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit_languages(docs)
+    text = " ".join(r.text or "" for r in docs.collect())
+    text = (text * (1 + (8 << 20) // len(text)))[:8 << 20]
+    t = time.process_time()
+    lang, score, _ = langid.predict(model, [text])
+    assert lang[0] in model.langs and score[0] > 0.2 and time.process_time() - t < 20     # 69 s word by word
+
+
+def test_simhash_stage_with_map_and_dotted_columns(spark):
+    from tarmac.llm import simhash
+    rows = [(1, "one two three four five", {"a": 1}, "x"), (1, "something else entirely here now", {"b": 2}, "y"),
+            (1, "one two three four five", {"a": 1}, "x"), (2, "one two three four five", {}, "z"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, `a.b` string")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [
+        (0, ""), (1, "one two three four five"), (1, "something else entirely here now")]
+
+
+def test_language_stage_with_map_and_dotted_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit_languages(docs)
+    odd = docs.limit(30).withColumns({"m": F.create_map(F.lit("a"), F.lit(1)), "a.b": F.lit("z")})
+    kept = langid.keep_identified(odd, model)
+    assert kept.columns == odd.columns and 0 < kept.count() <= 30 and kept.first()["a.b"] == "z"
