@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO = 1_000_000           # units remembered, in two halves
+MEMO = 700_000             # units remembered, in two halves
 ARENA = 8_000_000          # ids remembered in a half
 LONG = 64                  # longer units are not remembered
 GROUP = 8 << 20            # bytes of text whose units are numbered together
