@@ -8,7 +8,10 @@ cluster the caller brings its own session and only ``work_dir`` is used.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -23,6 +26,7 @@ REQUIRED_CONF = {
 
 
 _work_dirs: list[str] = []
+_open = threading.local()
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
@@ -84,17 +88,33 @@ def work_dir(spark: SparkSession, name: str) -> str:
     ``remove_work_dirs`` removes all that this process asked for."""
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     _work_dirs.append(path)
+    for made in getattr(_open, "stack", ()):
+        made.append(path)
     return path
 
 
-def remove_work_dirs(spark: SparkSession) -> int:
-    """Delete the folders that ``work_dir`` named in this process, for when no
-    DataFrame over them is needed any more; returns how many existed."""
+@contextmanager
+def noted_work_dirs() -> Iterator[list[str]]:
+    """The folders that this thread asks ``work_dir`` for inside the block."""
+    made: list[str] = []
+    _open.stack = [*getattr(_open, "stack", ()), made]
+    try:
+        yield made
+    finally:
+        _open.stack = [m for m in _open.stack if m is not made]
+
+
+def remove_work_dirs(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete folders that ``work_dir`` named in this process (``paths``, or
+    all of them), for when no DataFrame over them is needed any more; returns
+    how many existed."""
     conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     gone = 0
-    while _work_dirs:
-        p = path(_work_dirs.pop())
-        gone += bool(p.getFileSystem(conf).delete(p, True))
+    for name in list(_work_dirs) if paths is None else paths:
+        if name in _work_dirs:
+            _work_dirs.remove(name)
+            p = path(name)
+            gone += bool(p.getFileSystem(conf).delete(p, True))
     return gone
 
 

@@ -35,3 +35,18 @@ def test_work_dirs_are_removed(spark, monkeypatch):
     assert path_exists(spark, path)
     assert remove_work_dirs(spark) >= 1 and not path_exists(spark, path)
     assert remove_work_dirs(spark) == 0
+
+
+def test_noted_work_dirs_are_removed_alone(spark):
+    from tarmac.session import noted_work_dirs, remove_work_dirs, work_dir
+    from tarmac.sources.io import path_exists
+    other = work_dir(spark, "other")
+    spark.range(2).write.parquet(other)
+    with noted_work_dirs() as outer:
+        a = work_dir(spark, "a")
+        with noted_work_dirs() as inner:
+            b = work_dir(spark, "b")
+    assert outer == [a, b] and inner == [b]
+    spark.range(2).write.parquet(b)
+    assert remove_work_dirs(spark, outer) == 1 and not path_exists(spark, b)    # a was never written
+    assert path_exists(spark, other) and remove_work_dirs(spark, inner) == 0
