@@ -38,9 +38,45 @@ def _key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source.cast("string")))
 
 
-def _shuffled(doc_id: Column) -> Column:
+def _same(doc_id: Column, text: Column) -> Column:
+    """32 hexadecimal digits that rows of equal id and equal text share (NULL text: empty)."""
+    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), digest).cast("binary"))
+
+
+def _shuffled(same: Column, chunk: Column) -> Column:
     """32 hexadecimal digits that order the documents of a source."""
-    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":mix")).cast("binary"))
+    return F.md5(F.concat(same, F.lit(":"), chunk.cast("string")).cast("binary"))
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, skey, size, mixkey, row) of every row, and (skey, size, mixkey)
+    as a stored table.
+
+    ``mixkey`` deals the documents of a source into buckets: a hash of id and
+    text, so rows without an id, or with one id, are dealt out by their texts.
+    Equal rows beyond BUCKET_ROWS are numbered by their place in a table
+    written once, and each chunk of BUCKET_ROWS of them has a key of its own.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(F.col("source")).alias("skey"),
+                       word_count(F.col("text")).alias("size"), _same(F.col("doc_id"), F.col("text")).alias("same"),
+                       F.struct("*").alias("row"))
+    narrow = materialise(rows.select("skey", "same", "size"), "mixsizes")        # the texts are counted once here
+    hot = materialise(narrow.groupBy("skey", "same").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET_ROWS)
+                      .select("skey", "same"), "mixhot")
+    first = _shuffled(F.col("same"), F.lit(0)).alias("mixkey")
+    if hot.isEmpty():
+        return rows.select("doc_id", "skey", "size", first, "row"), narrow.select("skey", "size", first)
+    many = materialise(rows.join(hot, ["skey", "same"], "left_semi"), "mixcopies")
+    at = many.metadataColumn("_metadata")
+    place = F.struct(at["file_path"].alias("file"), F.floor(at["row_index"] / BUCKET_ROWS).alias("chunk"))
+    many = many.select("*", at["row_index"].alias("place"), F.lit(1).alias("one"), place.alias("chunk"))
+    many = grouped_prefix(many, ["skey", "same"], "chunk", [F.col("place")], "one", "number")
+    many = many.withColumn("mixkey", _shuffled(F.col("same"), F.expr(f"number DIV {BUCKET_ROWS}")))
+    few = rows.join(hot, ["skey", "same"], "left_anti").select("doc_id", "skey", "size", first, "row")
+    narrow_few = narrow.join(hot, ["skey", "same"], "left_anti").select("skey", "size", first)
+    return (few.unionByName(many.select(few.columns)),
+            materialise(narrow_few.unionByName(many.select("skey", "size", "mixkey")), "mixkeys"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
@@ -114,19 +150,21 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                                        F.when(F.col("taken") > 0, F.col("slot0")).alias("first_slot"), "row")
 
 
+def _bucket() -> Column:
+    """Bucket of a row in its source: ranges of ``mixkey``, about BUCKET_ROWS rows each."""
+    share = F.conv(F.substring("mixkey", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    return F.floor(share * F.ceil(F.col("source_docs") / BUCKET_ROWS))
+
+
 def _played(docs: DataFrame, block: int) -> DataFrame:
     """Every document with its words taken and its slots in both epochs.
 
     Documents of a source are ordered in buckets of about BUCKET_ROWS rows,
     so no task holds a whole source; a bucket carries the slots of its blocks.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(F.col("source")).alias("skey"),
-                       word_count(F.col("text")).alias("size"), _shuffled(F.col("doc_id")).alias("mixkey"),
-                       F.struct("*").alias("row"))
-    narrow = materialise(rows.select("skey", "mixkey", "size"), "mixsizes")      # the texts are counted once here
+    rows, narrow = _keyed(docs)
     targets = materialise(source_targets(narrow, block=block), "targets")
-    share = F.conv(F.substring("mixkey", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    bucket = F.floor(share * F.ceil(F.col("source_docs") / BUCKET_ROWS)).alias("bucket")
+    bucket = _bucket().alias("bucket")
 
     front = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (narrow.join(targets.select("skey", "source_docs"), "skey").select("skey", "size", bucket)
@@ -181,8 +219,9 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 ORACLE_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
-    md5(coalesce(CAST(doc_id AS VARCHAR), '-') || ':mix') AS mixkey,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || md5(coalesce(text, ''))) AS same,
     CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey FROM documents),
+c AS (SELECT *, md5(same || ':' || CAST((row_number() OVER (PARTITION BY skey, same) - 1) // {BUCKET_ROWS} AS VARCHAR)) AS mixkey FROM d),
 p AS (SELECT skey, CAST(sum(size) AS BIGINT) AS source_size,
         [{", ".join(map(str, WEIGHTS))}][(row_number() OVER (ORDER BY skey) - 1) % {len(WEIGHTS)} + 1] AS weight FROM d GROUP BY skey),
 r AS (SELECT *, source_size * {MOST} AS cap, CAST(source_size * {MOST} AS DOUBLE) / weight AS ratio,
@@ -198,8 +237,8 @@ k AS (SELECT g AS position, fmod((g >> 26) * CAST({GOLDEN_HIGH!r} AS DOUBLE) + (
       FROM generate_series(0, (SELECT coalesce(max(length), 0) - 1 FROM v)) s(g)),
 h AS (SELECT skey, position, row_number() OVER (PARTITION BY skey ORDER BY position) - 1 AS rank
       FROM k JOIN v ON take > 0 AND x >= cum / whole AND x < (cum + take) / whole),
-b AS (SELECT d.*, source_size, target, take, length, CAST(coalesce(sum(size) OVER (PARTITION BY d.skey ORDER BY mixkey, doc_id NULLS FIRST, size
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d JOIN v USING (skey)),
+b AS (SELECT c.*, source_size, target, take, length, CAST(coalesce(sum(size) OVER (PARTITION BY c.skey ORDER BY mixkey, doc_id NULLS FIRST, size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM c JOIN v USING (skey)),
 o AS (SELECT *, CAST(greatest(least(start + size, take) - start, 0) + greatest(least(start + size, take - source_size) - start, 0) AS BIGINT) AS taken FROM b)
 SELECT doc_id, size, source_size, target, taken,
   CASE WHEN taken > 0 THEN coalesce(h.position, length) END AS first_slot

@@ -13,7 +13,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tarmac.llm import langid, queries, spelling, tokenfile, tokens, whitening
+from tarmac.llm import langid, mixing, queries, spelling, tokenfile, tokens, whitening
 from tarmac.session import work_dir
 from tests.conftest import SF_SMALL as SF
 
@@ -413,3 +413,30 @@ def test_language_stage_with_map_and_dotted_columns(spark):
     odd = docs.limit(30).withColumns({"m": F.create_map(F.lit("a"), F.lit(1)), "a.b": F.lit("z")})
     kept = langid.keep_identified(odd, model)
     assert kept.columns == odd.columns and 0 < kept.count() <= 30 and kept.first()["a.b"] == "z"
+
+
+# ---- op10 ------------------------------------------------------------------------------------------------------
+
+def _mixed_by_sql(rows):
+    import duckdb
+    db = duckdb.connect()
+    db.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()),
+                                       "source": pa.array([r[1] for r in rows], pa.string()),
+                                       "text": pa.array([r[2] for r in rows], pa.string())}))
+    return sorted(map(str, db.execute(mixing.ORACLE_SQL).fetchall()))
+
+
+@pytest.mark.parametrize("kind", ["no id", "one id", "equal rows"])
+def test_mixing_buckets_stay_small(spark, kind):
+    n = 20_000
+    rows = [(None if kind == "no id" else 5, "a", "same words" if kind == "equal rows" else f"text {i} " + "x " * (i % 7)) for i in range(n)]
+    rows += [(10 + i, "b", f"other {i}") for i in range(300)] + [(None, None, None), (None, None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    keyed, narrow = mixing._keyed(docs)
+    targets = mixing.source_targets(narrow)
+    sizes = narrow.join(targets, "skey").groupBy("skey", mixing._bucket().alias("bucket")).count().collect()
+    assert sum(r["count"] for r in sizes) == len(rows) == keyed.count()
+    assert max(r["count"] for r in sizes) <= (3 if kind == "equal rows" else 1.1) * mixing.BUCKET_ROWS
+    got = mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "first_slot").collect()
+    assert sorted(str(tuple(r)) for r in got) == _mixed_by_sql(rows)
+    assert sum(r.taken for r in got) == sum(r.take for r in targets.collect())
