@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tarmac.llm import langid, mixing, packing, simhash, toxicity
 from tarmac.llm.common import materialise, table
 from tarmac.llm.queries import tokenizer_path
+from tarmac.session import noted_work_dirs, remove_work_dirs
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +54,15 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; what a stage returns is written and read
-    again before the next one starts."""
-    docs = table(spark, sf_dir, "documents")
+    again before the next one starts. Once it is written, its input and the
+    tables that the stage kept for itself are deleted; the tables behind the
+    result stay."""
+    docs, held = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with noted_work_dirs() as made:
+            kept = stage(spark, docs, sf_dir)
+            with noted_work_dirs() as out:
+                docs = materialise(kept, f"stage-{name}")
+        remove_work_dirs(spark, held + [path for path in made if path not in out])
+        held = out
     return STAGES[-1][1](spark, docs, sf_dir)
