@@ -333,5 +333,5 @@ def record_runs(spark: SparkSession, result: TrainResult, runs_path: str, model_
 def best_run(spark: SparkSession, runs_path: str) -> DataFrame:
     """Latest best run: model name, metrics, feature count, model path."""
     runs = spark.read.parquet(runs_path)
-    return runs.where("is_best").orderBy(F.desc("created_at")).limit(1).select(
+    return runs.where("is_best").orderBy(F.desc("created_at"), F.desc("run_id")).limit(1).select(
         "run_id", "model", "params", "metrics", F.lit(len(ALL_FEATURES)).alias("feature_count"), "model_path")

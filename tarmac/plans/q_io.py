@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarmac.operators import clean as C
+from tarmac.operators import logstore
 from tarmac.operators.features import engineer, fit_dictionary, load_dictionary, save_dictionary
 from tarmac.operators.monitor import monitoring_report
 from tarmac.operators.requests import validate_requests
@@ -159,6 +160,38 @@ def log_append_load(spark, sf):
     return out.withColumn("timestamp", F.col("timestamp").cast("string")).withColumn("log_date", F.col("log_date").cast("string"))
 
 
+@register("stream_log_redelivered", operators=("T3", "S5", "S6"), oracle=with_ctes(["inference_log"], """
+SELECT flight_id, CAST("timestamp" AS VARCHAR) AS "timestamp", prediction, round(probability, 4) AS probability FROM inference_log
+UNION ALL
+SELECT -flight_id - 1, CAST("timestamp" + INTERVAL 30 DAY AS VARCHAR), prediction, round(probability, 4) FROM inference_log
+WHERE flight_id % 5 = 0"""))
+def stream_log_redelivered(spark, sf):
+    """The log, then every fifth key once more 30 days later (long after the
+    horizon; dropped) together with as many new keys (kept)."""
+    src, sink, ckpt = ST.fresh_paths(spark, "stream-late-log")
+    log = tables.inference_log(spark, sf).select("flight_id", F.col("timestamp").cast("timestamp").alias("timestamp"), "prediction",
+                                                 F.round("probability", 4).alias("probability"))
+    later = log.where(F.col("flight_id") % 5 == 0).withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 30 DAYS"))
+    later = later.unionByName(later.withColumn("flight_id", -F.col("flight_id") - 1))
+    for part in (log, later):
+        ST.stage_as_files(part, src)
+        ST.append_log_stream(ST.read_stream(spark, src, log.schema), sink, ckpt, filters=f"{sink}-filters").awaitTermination()
+    out = io.load_inference_log(spark, sink).drop("log_date")
+    return out.withColumn("timestamp", F.col("timestamp").cast("string"))
+
+
+@register("log_compacted", operators=("S5", "S6"), oracle=QUERIES["log_append_load"].oracle)
+def log_compacted(spark, sf):
+    """The log appended in four parts, its closed dates compacted, and loaded."""
+    path, log = f"{work_dir(spark, 'log')}/log", _log_with_gaps(spark, sf)
+    part = F.pmod(F.xxhash64("flight_id", "timestamp"), F.lit(4))
+    for i in range(4):
+        io.append_inference_log(log.where(part == i), path)
+    logstore.compact(spark, path, before=AS_OF[:10])
+    out = io.load_inference_log(spark, path)
+    return out.withColumn("timestamp", F.col("timestamp").cast("string")).withColumn("log_date", F.col("log_date").cast("string"))
+
+
 @register("load_existing", operators=("S3",), oracle=QUERIES["clean_flights"].oracle)
 def load_existing(spark, sf):
     """Load-or-generate where the file is there: nothing is generated."""

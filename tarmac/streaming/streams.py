@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarmac.operators import logstore
 from tarmac.operators.features import Dictionary, feature_columns, score_features
 from tarmac.operators.requests import validate_requests
+from tarmac.operators.rollup import on_dates
 from tarmac.operators.scoring import batch_score, respond
 from tarmac.schema import (DELAYED, DRIFT_BASELINE, DRIFT_MIN_ROWS, DRIFT_THRESHOLD,
                            DRIFT_WINDOW_DAYS)
@@ -71,7 +73,7 @@ def responses_stream(requests: DataFrame, dictionary: Dictionary | None, model_n
 
 
 def append_once(batch: DataFrame, sink: str, key: str = "flight_id", ts_col: str = "timestamp",
-                horizon: str = "1 hour") -> None:
+                horizon: str = "1 hour", filters: str | None = None) -> None:
     """Append the rows of a micro-batch that the dated table ``sink`` does not
     hold yet: de-duplicated as a batch (``dropDuplicates`` combines map-side,
     so a key re-delivered millions of times is reduced before the shuffle), then anti-joined with
@@ -97,7 +99,10 @@ def append_once(batch: DataFrame, sink: str, key: str = "flight_id", ts_col: str
                 lo = F.lit(span["a"]) - F.expr(f"INTERVAL {horizon}")
                 hi = F.lit(span["b"]) + F.expr(f"INTERVAL {horizon}")
                 near = near | (F.col("log_date").between(F.to_date(lo), F.to_date(hi)) & F.col(ts_col).between(lo, hi))
-            seen = spark.read.schema(rows.drop("_mark").schema).parquet(sink).where(near).withColumn("_mark", mark)
+            schema = rows.drop("_mark").schema
+            if filters:
+                near = F.col("log_date").isNull() | _filtered_dates(rows, sink, filters, key, mark, schema, span, horizon)
+            seen = spark.read.schema(schema).parquet(sink).where(near).withColumn("_mark", mark)
             seen = seen.select(F.col(key).alias("_k"), F.col("_mark").alias("_m"))
             new = rows.join(seen, F.col(key).eqNullSafe(F.col("_k")) & F.col("_mark").eqNullSafe(F.col("_m")), "left_anti")
         write_dated(new.drop("_mark"), sink)
@@ -105,12 +110,30 @@ def append_once(batch: DataFrame, sink: str, key: str = "flight_id", ts_col: str
         rows.unpersist()
 
 
+def _filtered_dates(rows: DataFrame, sink: str, filters: str, key: str, mark, schema, span, horizon: str):
+    """The dates of ``sink`` that may hold a delivery of ``rows``: those that
+    the horizon touches, and those whose filter answers."""
+    spark, open_dates, near = rows.sparkSession, None, F.lit(False)
+    if span["a"] is not None:
+        edge = F.expr(f"INTERVAL {horizon}")
+        ends = spark.range(1).select(F.to_date(F.lit(span["a"]) - edge).cast("string").alias("a"),
+                                     F.to_date(F.lit(span["b"]) + edge).cast("string").alias("b")).first()      # one row
+        open_dates = (ends["a"], ends["b"])
+        near = F.col("log_date").between(F.lit(ends["a"]).cast("date"), F.lit(ends["b"]).cast("date"))
+
+    def hashed(log: DataFrame) -> DataFrame:
+        return log.withColumn("_mark", mark).select("log_date", logstore.delivery_hash(key, "_mark").alias("h"))
+    logstore.update_filters(spark, sink, filters, hashed, schema, open_dates)
+    return near | on_dates(logstore.answering_dates(spark, hashed(rows.drop("_mark")), filters, open_dates))
+
+
 def append_log_stream(log: DataFrame, sink: str, checkpoint: str, key: str = "flight_id",
                       ts_col: str = "timestamp", horizon: str = "1 hour", available_now: bool = True,
-                      trigger_seconds: int = 10):
+                      trigger_seconds: int = 10, filters: str | None = None):
     """T3, skew-proof: every micro-batch goes through ``append_once``, so
-    re-delivered rows and a repeated batch write nothing twice within the horizon."""
-    w = log.writeStream.foreachBatch(lambda batch, _: append_once(batch, sink, key, ts_col, horizon))
+    re-delivered rows and a repeated batch write nothing twice within the
+    horizon, and with ``filters`` (a folder for key filters) at any distance."""
+    w = log.writeStream.foreachBatch(lambda batch, _: append_once(batch, sink, key, ts_col, horizon, filters))
     w = w.option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{trigger_seconds} seconds")
     return w.start()
