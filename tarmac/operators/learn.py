@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.operators import boosting
+from tarmac.operators import runs as run_table
 from tarmac.operators.features import complete_rows_expr, feature_columns
 from tarmac.operators.metrics import binary_metrics
 from tarmac.operators.ranking import first_n_per_group
@@ -300,10 +301,6 @@ def top_importances(fi: DataFrame, n: int = 10) -> DataFrame:
 
 
 # ---------------------------------------------------------------- persistence
-RUNS_SCHEMA = ("run_id string, run_name string, model string, params map<string,string>, "
-               "metrics map<string,double>, model_path string, created_at timestamp, is_best boolean")
-
-
 def save_model(model: PipelineModel, path: str) -> str:
     model.write().overwrite().save(path)
     return path
@@ -317,7 +314,8 @@ def load_model(path: str) -> PipelineModel:
 
 
 def record_runs(spark: SparkSession, result: TrainResult, runs_path: str, model_root: str) -> DataFrame:
-    """Append one row per trained model to the ``runs`` table (parquet)."""
+    """Store the trained models and add one row for each to the ``runs`` table,
+    as a version of its own (see ``runs``); returns the rows."""
     now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     rows = []
     for r in result.runs:
@@ -325,13 +323,11 @@ def record_runs(spark: SparkSession, result: TrainResult, runs_path: str, model_
         save_model(result.models[r["model"]], path)
         rows.append((r["run_id"], r["run_name"], r["model"], r["params"], r["metrics"], path, now,
                      r["model"] == result.best_name))
-    df = spark.createDataFrame(rows, RUNS_SCHEMA)
-    df.write.mode("append").parquet(runs_path)
-    return df
+    version = run_table.add_runs(spark, runs_path, rows)
+    return run_table.read_runs(spark, runs_path).where(F.col("version") == version)
 
 
 def best_run(spark: SparkSession, runs_path: str) -> DataFrame:
-    """Latest best run: model name, metrics, feature count, model path."""
-    runs = spark.read.parquet(runs_path)
-    return runs.where("is_best").orderBy(F.desc("created_at"), F.desc("run_id")).limit(1).select(
-        "run_id", "model", "params", "metrics", F.lit(len(ALL_FEATURES)).alias("feature_count"), "model_path")
+    """Best run of the newest training: model name, metrics, feature count, model path, version."""
+    return run_table.newest_best(run_table.read_runs(spark, runs_path)).select(
+        "run_id", "model", "params", "metrics", F.lit(len(ALL_FEATURES)).alias("feature_count"), "model_path", "version")

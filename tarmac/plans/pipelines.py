@@ -163,7 +163,8 @@ def model_info(spark: SparkSession, artifacts: Artifacts) -> DataFrame:
     metrics = best.select(F.lit("metric").alias("kind"), F.explode("metrics").alias("name", "value"))
     feats = spark.createDataFrame([("feature", f, float(i)) for i, f in enumerate(ALL_FEATURES)],
                                   "kind string, name string, value double")
-    d = FE.vocabulary(spark, FE.load_dictionary(spark, artifacts.dictionary))
+    own = best.first()["params"].get("dictionary")
+    d = FE.vocabulary(spark, FE.load_dictionary(spark, own or artifacts.dictionary))
     known = d.select("kind", F.col("value").alias("name"), F.lit(None).cast("double").alias("value"))
     return model.unionByName(metrics).unionByName(feats).unionByName(known)
 

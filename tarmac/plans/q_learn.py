@@ -10,21 +10,26 @@ The tests hold the full models against direct solves and hand-walked trees."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from tarmac.operators import boosting as B
 from tarmac.operators import clean as C
 from tarmac.operators import features as FE
 from tarmac.operators import learn as L
+from tarmac.operators import runs as R
 from tarmac.operators import scoring as SC
 from tarmac.operators.metrics import full_evaluation
 from tarmac.operators.requests import validate_requests
+from tarmac.plans import pipelines as P
 from tarmac.plans.oracle import with_ctes
 from tarmac.plans.q_features import _REQ_FEATURES, _REQ_VALID
 from tarmac.plans.registry import register
 from tarmac.schema import ALL_FEATURES
 from tarmac.session import work_dir
 from tarmac.sources import tables
+from tarmac.streaming import streams as ST
 
 METRICS = ["roc_auc", "accuracy", "precision", "recall", "f1"]
 
@@ -105,7 +110,7 @@ def train_models(spark, sf):
     res = L.train_all(spark, tf, L.Presets())
     root = work_dir(spark, "runs")
     L.record_runs(spark, res, f"{root}/runs", f"{root}/models")
-    runs = spark.read.parquet(f"{root}/runs")
+    runs = R.read_runs(spark, f"{root}/runs")
     counts = res.scored.groupBy("model").agg(F.count(F.lit(1)).alias("scored_rows"),
                                              F.sum("label").cast("bigint").alias("scored_positives"))
     rate = F.col("params")["train_positive_rate"].cast("double")
@@ -189,7 +194,7 @@ def runs_roundtrip(spark, sf):
     L.record_runs(spark, res, f"{root}/runs", f"{root}/models")
     best = L.best_run(spark, f"{root}/runs")
     loads = len(L.load_model(best.first()["model_path"]).stages) == 3
-    runs = spark.read.parquet(f"{root}/runs").select("model", "run_name", "is_best", F.col("params")["test_size"].alias("test_size"))
+    runs = R.read_runs(spark, f"{root}/runs").select("model", "run_name", "is_best", F.col("params")["test_size"].alias("test_size"))
     return runs.join(best.drop("params"), "model").select(
         "model", "run_name", "is_best", "test_size", F.array_join(F.array_sort(F.map_keys("metrics")), ",").alias("metric_names"),
         "feature_count", F.lit(loads).alias("model_loads"))
@@ -235,3 +240,63 @@ def full_evaluation_tables(spark, sf):
             .unionByName(rows("confusion", cell, F.col("n"), t["confusion"]))
             .unionByName(rows("roc", F.lit("points"), F.col("n"), t["roc"].agg(F.count(F.lit(1)).alias("n"))))
             .unionByName(rows("report", F.concat("label", F.lit(" support")), F.col("support"), report)))
+
+
+WRITERS = 4
+
+
+@register("runs_versions", operators=("S11", "M14"), oracle=with_ctes(["flights_encoded"], f"""
+SELECT version, 'GBT_A' AS model, round(value, 4) AS roc_auc, version = {WRITERS} AS is_current
+FROM generate_series(1, {WRITERS}) AS v(version), shown WHERE name = 'roc_auc'""",
+    [_SPLIT, stump_sql("(SELECT * FROM split WHERE NOT test)"), _EVALUATED]))
+def runs_versions(spark, sf):
+    """Trainings that end together: each gets a version of its own, and one is the current best."""
+    tf, _ = labelled_features(spark, sf)
+    res = _stump(spark, tf, evaluate=True)
+    root = work_dir(spark, "runs")
+    with ThreadPoolExecutor(WRITERS) as pool:
+        for done in [pool.submit(L.record_runs, spark, res, f"{root}/runs", f"{root}/models/{i}") for i in range(WRITERS)]:
+            done.result()
+    best = L.best_run(spark, f"{root}/runs").select("version", F.lit(True).alias("is_current"))
+    return R.read_runs(spark, f"{root}/runs").join(best, "version", "left").select(
+        "version", "model", F.round(F.col("metrics")["roc_auc"], 4).alias("roc_auc"),
+        F.coalesce("is_current", F.lit(False)).alias("is_current"))
+
+
+def _stored_stump(spark, tf, d) -> P.Artifacts:
+    """The boosted model of one split, trained, evaluated and stored as a training run keeps it."""
+    art = P.Artifacts(f"{work_dir(spark, 'artifacts')}/artifacts")
+    res = _stump(spark, tf, evaluate=True)
+    FE.save_dictionary(d, art.dictionary)
+    L.record_runs(spark, res, art.runs, art.models)
+    return art
+
+
+@register("model_info", operators=("S10", "S11", "F11", "M14"), oracle=with_ctes(["flights_encoded", "encoder_dictionary"], f"""
+SELECT 'model' AS kind, 'GBT_A' AS name, CAST(NULL AS DOUBLE) AS value
+UNION ALL SELECT 'metric', name, round(value, 4) FROM shown WHERE part = 'comparison'
+UNION ALL SELECT 'feature', name, value FROM (VALUES {", ".join(f"('{f}', {i}.0::DOUBLE)" for i, f in enumerate(ALL_FEATURES))}) AS f(name, value)
+UNION ALL SELECT CASE WHEN column_name = 'OP_CARRIER' THEN 'airline' ELSE 'airport' END, value, NULL
+FROM encoder_dictionary WHERE column_name IN ('OP_CARRIER', 'ORIGIN')""",
+    [_SPLIT, stump_sql("(SELECT * FROM split WHERE NOT test)"), _EVALUATED]))
+def model_info(spark, sf):
+    """What the current model is: its metrics, its features, the airlines and airports it knows."""
+    info = P.model_info(spark, _stored_stump(spark, *labelled_features(spark, sf)))
+    return info.withColumn("value", F.round("value", 4))
+
+
+@register("stream_score_model", operators=("T1", "I6", "I8", "M7"), oracle=with_ctes(["requests", "flights_encoded"], f"""
+SELECT flight_id, CASE WHEN p >= 0.5 THEN 'Delayed' ELSE 'On Time' END AS prediction, round(p, 4) AS delay_probability,
+ CASE WHEN p < 0.3 THEN 'LOW' WHEN p < 0.5 THEN 'MODERATE' WHEN p < 0.7 THEN 'HIGH' ELSE 'VERY HIGH' END AS risk_level, 'GBT_A' AS model_name
+FROM (SELECT r.flight_id, {_stump_probability("r")} AS p FROM req_features r CROSS JOIN stump) s""",
+          [_REQ_VALID, _REQ_FEATURES, _SPLIT, stump_sql("(SELECT * FROM split WHERE NOT test)")]))
+def stream_score_model(spark, sf):
+    """The live path with the stored best model: request files are scored by it and written as responses."""
+    art = _stored_stump(spark, *labelled_features(spark, sf))
+    src, sink, ckpt = ST.fresh_paths(spark, "stream-model")
+    req = tables.requests(spark, sf).withColumn("request_ts", F.lit("2024-01-31 00:00:00").cast("timestamp"))
+    ST.stage_as_files(req, src)
+    for q in P.start_scoring_stream(spark, src, req.schema, art, f"{sink}/log", ckpt, trigger_seconds=None,
+                                    responses_path=f"{sink}/responses"):
+        q.awaitTermination()
+    return spark.read.parquet(f"{sink}/responses").select("flight_id", "prediction", "delay_probability", "risk_level", "model_name")
