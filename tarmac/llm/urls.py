@@ -2,14 +2,16 @@
 
 A rule names a host and a path prefix; it fits the host and its subdomains.
 The longest rule that fits decides. Where none fits, an Aho-Corasick automaton
-finds the vocabulary's terms in the lower-cased url; a hit counts only if it
-is bounded by characters other than letters and digits. Strict terms weigh
-REJECT, soft terms one, each distinct term once; a url is blocked at a weight
-of REJECT or more: one strict term, or several distinct soft terms.
+finds the vocabulary's terms in the url, with A-Z lower-cased and escapes of unreserved
+characters (``%61``) read as what they stand for (other escapes stay, and end a word); a hit counts only if it is bounded by
+characters other than letters and digits of any script. Strict terms weigh REJECT,
+soft terms have weights below it, each distinct term counts once; a url is blocked at
+a weight of REJECT or more: one strict term, or several distinct soft terms.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +28,20 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-STRICT = ("adult", "casino", "escort", "hentai", "malware", "porn", "spam", "warez", "xxx")
-SOFT = ("ads", "bet", "bets", "bonus", "cam", "cheap", "deal", "download", "farm", "free", "gamble", "jackpot",
-        "loan", "lottery", "pills", "poker", "popup", "sex", "slots", "track", "viagra", "win")
-REJECT = 2
+REJECT = 4
+# Terms that reject alone.
+STRICT = ("adult", "bdsm", "camgirl", "camgirls", "camsex", "casino", "escort", "escorts", "fetish", "hentai", "keygen", "keygens",
+          "malware", "milf", "nsfw", "phishing", "porn", "porno", "pornography", "ransomware", "spam", "spyware", "warez", "xxx")
+# Soft terms by weight: rarely, often and mostly met in clean urls.
+SOFT_TERMS = {
+    3: ("bet", "bets", "betting", "bingo", "blackjack", "cialis", "erotic", "gamble", "gambling", "jackpot", "loan", "loans", "lottery",
+        "nude", "payday", "pills", "poker", "roulette", "sex", "sexy", "slots", "sportsbook", "torrent", "torrents", "viagra", "wager"),
+    2: ("ads", "adserver", "affiliate", "bonus", "cam", "cams", "cheap", "clickbait", "crack", "cracked", "dating", "discount", "doorway",
+        "farm", "forex", "hack", "hot", "invest", "linkfarm", "lucky", "pharma", "pharmacy", "popup", "prize", "promo", "replica",
+        "serial", "track", "tracker", "tracking", "win", "winner"),
+    1: ("buy", "click", "coupon", "credit", "deal", "deals", "download", "free", "mp3", "offer", "online", "sale", "shop", "stream"),
+}
+SOFT = {term: weight for weight, terms in SOFT_TERMS.items() for term in terms}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,25 +73,31 @@ class Vocabulary:
     def __init__(self, strict=STRICT, soft=SOFT, reject: int = REJECT):
         import ahocorasick
         self.auto = ahocorasick.Automaton()
-        for terms, weight in ((soft, 1), (strict, reject)):
-            for t in terms:
-                self.auto.add_word(t, (t, weight))
+        for term, weight in {**soft, **dict.fromkeys(strict, reject)}.items():
+            self.auto.add_word(term, (term, weight))
         self.auto.make_automaton()
 
     def weight(self, url: str | None) -> tuple[int, int]:
         """(weight, distinct terms) of a url."""
         if not url:
             return 0, 0
-        low, found = url.translate(_LOWER), {}
+        low, found = plain(url), {}
         for end, (term, weight) in self.auto.iter(low):
             start = end - len(term)
-            if (start < 0 or low[start] not in _WORD) and (end + 1 == len(low) or low[end + 1] not in _WORD):
+            if (start < 0 or not low[start].isalnum()) and (end + 1 == len(low) or not low[end + 1].isalnum()):
                 found[term] = weight
         return sum(found.values()), len(found)
 
 
 _LOWER = str.maketrans(UPPER, LOWER)
-_WORD = frozenset(LOWER + "0123456789")
+_UNRESERVED = {f"%{ord(c):02x}": c.translate(_LOWER) for c in UPPER + LOWER + "0123456789-._~"}
+_ESCAPE = re.compile("%[0-9a-f]{2}")
+
+
+def plain(url: str) -> str:
+    """A url with A-Z lowered and the escapes of unreserved characters replaced, once."""
+    low = url.translate(_LOWER)
+    return _ESCAPE.sub(lambda m: _UNRESERVED.get(m[0], m[0]), low) if "%" in low else low
 
 
 def judge(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, reject: int = REJECT) -> DataFrame:
@@ -107,16 +125,20 @@ def judge(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, reject: int =
 
 
 def _oracle() -> str:
+    weights = {**SOFT, **dict.fromkeys(STRICT, REJECT)}
+    escapes = ", ".join(f"'{k}': '{v}'" for k, v in _UNRESERVED.items())
     low = f"translate(coalesce(url, ''), '{UPPER}', '{LOWER}')"
-    hit = lambda t: f"CAST(regexp_matches({low}, '(^|[^a-z0-9]){t}($|[^a-z0-9])') AS INT)"
-    weight = " + ".join([f"{REJECT} * {hit(t)}" for t in STRICT] + [hit(t) for t in SOFT])
-    terms = " + ".join(hit(t) for t in (*STRICT, *SOFT))
+    low = f"""CASE WHEN contains(url, '%') THEN array_to_string(list_transform(regexp_extract_all({low}, '(?s)%[0-9a-f]{{2}}|.'),
+      lambda x: coalesce(MAP {{{escapes}}}[x], x)), '') ELSE {low} END"""
+    hit = lambda t: f"CAST(regexp_matches(low, '(^|[^\\pL\\pN]){t}($|[^\\pL\\pN])') AS INT)"
+    weight = " + ".join(f"{w} * {hit(t)}" for t, w in weights.items())
+    terms = " + ".join(hit(t) for t in weights)
     fits = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     when = lambda pick: " ".join(
         f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{pick(v, h + p)}'" for v, h, p in fits)
     return f"""
 WITH r AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest,
-             CAST({weight} AS BIGINT) AS weight, CAST({terms} AS BIGINT) AS n_terms FROM pages),
+             CAST({weight} AS BIGINT) AS weight, CAST({terms} AS BIGINT) AS n_terms FROM (SELECT page_id, url, {low} AS low FROM pages) l),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, weight, n_terms FROM r)
 SELECT page_id, host, path, CASE {when(lambda v, t: t)} ELSE NULL END AS rule,
