@@ -165,3 +165,16 @@ def test_forest_probability_is_the_mean_of_its_trees(spark, data):
         imp = t.featureImportances.toArray()
         total += imp
     assert clf.featureImportances.toArray() == pytest.approx(total / total.sum(), rel=1e-6)
+
+
+def test_cuts_are_exact_ranks_over_many_rows(spark):
+    """The values at ranks ceil(i n / bins), for more rows than a sketch keeps apart."""
+    n, bins = 300_000, 64
+    df = spark.range(n).select((F.xxhash64("id") % 1_000_000_007).cast("double").alias("a"), (F.xxhash64("id") % 5).alias("b"),
+                               F.when(F.col("id") % 3 == 0, F.col("id")).alias("c"), F.lit(None).cast("double").alias("d"))
+    got = B.cut_points(df, ["a", "b", "c", "d"], bins)
+    for name, cuts in zip("abc", got):
+        v = np.sort(np.array([r[0] for r in df.where(f"{name} IS NOT NULL").select(F.col(name).cast("double")).collect()]))
+        want = {v[math.ceil(i * len(v) / bins) - 1] for i in range(1, bins)} - {v[-1]}
+        assert cuts == sorted(want)
+    assert got[3] == []

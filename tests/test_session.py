@@ -50,3 +50,10 @@ def test_noted_work_dirs_are_removed_alone(spark):
     spark.range(2).write.parquet(b)
     assert remove_work_dirs(spark, outer) == 1 and not path_exists(spark, b)    # a was never written
     assert path_exists(spark, other) and remove_work_dirs(spark, inner) == 0
+
+
+def test_stages_stay_within_what_the_jvm_compiles(spark):
+    """HotSpot interprets methods above 8,000 bytes: longer stages must not be generated whole."""
+    from tarmac.session import apply_conf
+    apply_conf(spark)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
