@@ -178,3 +178,18 @@ def test_cuts_are_exact_ranks_over_many_rows(spark):
         want = {v[math.ceil(i * len(v) / bins) - 1] for i in range(1, bins)} - {v[-1]}
         assert cuts == sorted(want)
     assert got[3] == []
+
+
+def test_levels_read_margins_that_hold_all_earlier_trees(data, monkeypatch):
+    """Over several partitions no job walks a finished tree again."""
+    _, _, df = data
+    monkeypatch.setattr(B, "PARTITION_ROWS", 130)
+    merged, seen = B._merged, []
+
+    def asked(blocks, ask):
+        seen.append(len(ask.done))
+        return merged(blocks, ask)
+
+    monkeypatch.setattr(B, "_merged", asked)
+    m = B.fit(df, replace(PLAIN, rounds=4), id_col="flight_id")
+    assert len(m.trees) == 4 and seen and max(seen) == 0
