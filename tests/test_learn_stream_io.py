@@ -136,3 +136,31 @@ def test_log_csv_and_normalised_flights(spark):
     plan = cleaned._jdf.queryExecution().executedPlan().toString()
     assert "ARR_DELAY" in plan.split("PushedFilters")[1].split("]")[0]
     assert cleaned.count() == C.clean(synthetic.generate(spark, 200, seed=3)).count()
+
+
+def test_queries_pass_over_stored_flights(spark, tmp_path, monkeypatch):
+    """Dictionary, labelled rows and requests read the flights stored once, in files that many cores
+    can read, and not the events with their projection again; the rows are the projection's."""
+    from datetime import datetime, timedelta
+    from tarmac.operators import clean as C
+    from tarmac.plans import q_learn
+    from tarmac.sources import tables
+    events = [(i, datetime(2024, 1, 1) + timedelta(hours=i), i * 7, "view", (i * 37 % 1200) / 10, f'{{"k": {i * 13 % 100}}}') for i in range(60)]
+    events += [events[7], (71, None, 1, "view", 20.0, '{"k": 3}'), (72, events[0][1], None, None, 30.0, '{"k": 4}'),
+               (73, events[0][1], 5, "view", None, '{"k": 5}'), (74, events[0][1], 5, "view", 25.0, None), (75, events[0][1], 5, "view", 25.0, "none")]
+    spark.createDataFrame(events, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string") \
+        .coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(tables, "FILE_ROWS", 10)
+    flights = tables.stored_flights(spark, str(tmp_path))
+    raw = tables.flights_raw(spark, str(tmp_path))
+    assert flights.schema.simpleString() == raw.schema.simpleString() and len(flights.inputFiles()) == 7
+    text = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    assert text(flights) == text(raw)
+    tf, _ = q_learn.labelled_features(spark, str(tmp_path), flights)
+    own, _ = q_learn.labelled_features(spark, str(tmp_path))
+    plain = L.training_frame(FE.build_features(C.clean(raw))[0])
+    assert text(tf) == text(own) == text(plain) and tf.count() > 30
+    req = tables.requests(spark, str(tmp_path), flights)
+    assert text(req) == text(tables.requests(spark, str(tmp_path)))
+    for df in (tf, own, req):
+        assert not any("events.parquet" in f for f in df.inputFiles())
