@@ -69,10 +69,15 @@ def test_every_split_is_the_best_of_the_drawn_features(data):
 def test_partitions_do_not_change_the_trees(data, monkeypatch):
     _, _, df = data
     one = _grown(df)[2]
-    monkeypatch.setattr(B, "PARTITION_ROWS", 130)
-    rows, _, many = _grown(df.repartition(5))
-    assert rows.blocks.getNumPartitions() == 6
-    assert all((getattr(one, a) == getattr(many, a)).all() for a in ("feature", "cut", "rows", "positives"))
+    blocks = B.BLOCK_ROWS
+    for partition, block in ((130, blocks), (700, 1)):      # six partitions; one partition of several blocks
+        monkeypatch.setattr(B, "PARTITION_ROWS", partition)
+        monkeypatch.setattr(B, "BLOCK_ROWS", block)
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "90")
+        rows, packed, many = _grown(df.repartition(5))
+        df.sparkSession.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert rows.blocks.getNumPartitions() == -(-700 // partition) and len(packed) >= 6
+        assert all((getattr(one, a) == getattr(many, a)).all() for a in ("feature", "cut", "rows", "positives"))
 
 
 def test_stored_model_walks_the_same_trees(spark, data):
